@@ -29,6 +29,8 @@ class Tree:
         self.to_end = array("q", data["min_to_end"])
         self._offset = array("q", data["offset"])
         self._child = array("q", data["child"])
+        self._z1, self._z2 = array("q", data["z1"]), array("q", data["z2"])
+        self._named: dict | None = None
         self._kids: dict[int, dict[int, int]] = {}
         self._memo: dict = {}
 
@@ -89,6 +91,27 @@ class Tree:
         skipped = self.level[hit] - self.level[node] - sync
         return hit, sync, skipped + len(open_events) - sync
 
+    def nearest_end(self, node: int, open_events: list, limit: int) -> tuple[int, int] | None:
+        """(cost, level) of the cheapest end below ``node`` with cost under ``limit``; ties go to the nearer end.
+
+        Cost is the insert/delete distance between the open events and the way down, one row of it per node.
+        """
+        best = None
+        n = len(open_events)
+        stack = [(c, list(range(n + 1))) for c in self.kids(node).values()]
+        while stack:
+            at, above = stack.pop()
+            row = [above[0] + 1]
+            for j, e in enumerate(open_events):
+                row.append(above[j] if e == self.symbol[at] else min(above[j + 1], row[j]) + 1)
+            if min(row) >= limit and (best is None or min(row) > best[0]):
+                continue
+            if self.to_end[at] == 0 and row[n] < limit and (best is None or (row[n], self.level[at]) < best):
+                best = (row[n], self.level[at])
+                limit = min(limit, row[n] + 1)
+            stack.extend((c, row) for c in self.kids(at).values())
+        return best
+
     def label(self, symbol):
         return self.labels[symbol] if type(symbol) is int else symbol
 
@@ -100,6 +123,12 @@ class Tree:
             down_to = self.parent[down_to]
         return out[::-1]
 
+    def find_node(self, level: int, z1: int, z2: int) -> int:
+        """Number of a node by its identity."""
+        if self._named is None:
+            self._named = {k: i for i, k in enumerate(zip(self.level, self._z1, self._z2))}
+        return self._named[(level, z1, z2)]
+
     def key(self, node: int):
         """Name of a node that any task understands."""
         return node
@@ -188,6 +217,18 @@ def build(data: dict) -> Tree:
     return TableTree(data) if "path" in data else Tree(data)
 
 
+_TREES: dict[int, Tree] = {}
+
+
+def local_tree(shipped) -> Tree:
+    """The tree of this worker process; kept while the same broadcast is used."""
+    key = id(shipped.value)
+    if key not in _TREES:
+        _TREES.clear()
+        _TREES[key] = build(shipped.value)
+    return _TREES[key]
+
+
 def pack(pdf, labels: list[str], avg_len: int, patterns: dict, root_to_end: int) -> dict:
     """Arrays of the whole tree from the collected node table (level, z1, z2, p_z1, p_z2, symbol, first_trace, min_to_end)."""
     pdf = pdf.sort_values(["level", "first_trace"], kind="stable").reset_index(drop=True)
@@ -210,5 +251,7 @@ def pack(pdf, labels: list[str], avg_len: int, patterns: dict, root_to_end: int)
         "level": ints(0, pdf["level"]),
         "min_to_end": ints(root_to_end, pdf["min_to_end"]),
         "offset": offset.tobytes(),
+        "z1": ints(0, pdf["z1"]),
+        "z2": ints(0, pdf["z2"]),
         "child": (by_parent + 1).astype(np.int64).tobytes(),
     }

@@ -20,6 +20,7 @@ from tracefold.session import shared_dir, with_fields, write_through
 MAX_BROADCAST_NODES = 1_000_000
 MAX_BROADCAST_PATTERNS = 1_000_000
 BUCKET_NODES = 50_000
+CACHE_ROWS = 50_000_000  # larger model logs are read again instead of being kept
 EVENTS_PER_TASK = 250_000
 RESULT = ["cost", "n_states", "open_events", "flag", "replayed", "complete_cost"]
 RESULT_DDL = ", ".join(f"{c} int" for c in RESULT)
@@ -37,7 +38,8 @@ class Model:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return trace_rows(self.log, self.order or BY_TIME).persist()
+        rows = trace_rows(self.log, self.order or BY_TIME)
+        return rows.persist() if self.log.count() <= CACHE_ROWS else rows
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -85,18 +87,6 @@ class Model:
         return kept[with_patterns]
 
 
-_TREES: dict[int, tree.Tree] = {}
-
-
-def local_tree(shipped) -> tree.Tree:
-    """The tree of this worker process; kept while the same model is used."""
-    key = id(shipped.value)
-    if key not in _TREES:
-        _TREES.clear()
-        _TREES[key] = tree.build(shipped.value)
-    return _TREES[key]
-
-
 def check(log: DataFrame, model: Model, params: Params | list[Params] = Params(), alignments: bool = False,
           ewma_keys: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """One row per event: the input columns plus the columns of RESULT.
@@ -149,7 +139,7 @@ def fold(log: DataFrame, sets: list[Params], shipped, alignments: bool = False,
 
 
 def _fold(batches, shipped, sets: list[Params], alignments: bool):
-    model = local_tree(shipped)
+    model = tree.local_tree(shipped)
     number = model.number
     now, case, p = None, None, None
     for batch in batches:

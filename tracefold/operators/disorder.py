@@ -62,7 +62,7 @@ def ewma_multiplier(
 
 def _in_order(log: DataFrame, part: list[str]) -> DataFrame:
     n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = log.repartition(n, *part) if part else log.coalesce(1)  # no part: at most GLOBAL_ROWS rows in all
+    spread = log.repartition(n, *part) if part else log.repartition(1)  # no part: at most GLOBAL_ROWS rows in all
     return spread.sortWithinPartitions(*part, "arrival_seq")
 
 
@@ -184,30 +184,40 @@ def _draw(x: Column, salt: int) -> Column:
     return (v * 16807 + salt) % m
 
 
-def inject_disorder(log: DataFrame, prob: float, max_dist: int, seed: int = 1, limit: int | None = None) -> DataFrame:
-    """Swap events of a case in the delivery order; they keep their timestamps.
+def inject_disorder(
+    log: DataFrame, settings: dict[str, int] = SWAP_SETTINGS, seed: int = 1, limit: int | None = None
+) -> DataFrame:
+    """The log once per setting (column ``setting``), with events of a case swapped in the delivery order.
 
-    Each event proposes, with probability ``prob``, a partner at most ``max_dist`` places away in its case.  Of proposals that
-    share an event only the one with the smallest draw counts, so an event moves at most once and no case is ever held
-    in one place.
+    A setting is a probability in percent and the largest distance.  Each event proposes, with that probability, a partner
+    at most that many places away in its case.  Of proposals that share an event only the one with the smallest draw
+    counts, so an event moves at most once, no case is ever held in one place, and timestamps stay with their events.
     """
     rows = position(log, ["case_id"], ["arrival_seq"], "idx", limit)
-    x = F.col("arrival_seq")
-    dist = 1 + _draw(x, 7 * seed + 1) % max_dist
-    other = F.col("idx") + F.when(_draw(x, 7 * seed + 2) % 2 == 0, -dist).otherwise(dist)
-    wants = _draw(x, 7 * seed + 3) % 1_000_000 < int(round(prob * 1_000_000))
-    asks = rows.filter(wants).select("case_id", F.col("idx").alias("i"), other.alias("j"), _draw(x, 7 * seed + 4).alias("draw"), x.alias("i_seq"))
-    # the partner must exist
+    kinds = [(k, int(k) * 10_000, dist, seed * 1000 + i * 10) for i, (k, dist) in enumerate(settings.items())]
+    each = F.array(*[F.struct(F.lit(k).alias("setting"), F.lit(p).alias("ppm"), F.lit(d).alias("dist"), F.lit(s).alias("salt")) for k, p, d, s in kinds])
+    x, salt = F.col("arrival_seq"), F.col("k.salt")
+    away = 1 + _draw(x, salt + 1) % F.col("k.dist")
+    asks = (
+        rows.withColumn("k", F.explode(each))
+        .filter(_draw(x, salt + 3) % 1_000_000 < F.col("k.ppm"))
+        .select(
+            "k.setting", "case_id", F.col("idx").alias("i"), x.alias("i_seq"), _draw(x, salt + 4).alias("draw"),
+            (F.col("idx") + F.when(_draw(x, salt + 2) % 2 == 0, -away).otherwise(away)).alias("j"),
+        )
+    )
+    # the partner must exist; both ends must have no better proposal
     places = rows.select("case_id", F.col("idx").alias("j"), x.alias("j_seq"))
     asks = asks.join(places, ["case_id", "j"]).withColumn("rank", F.struct("draw", "i_seq"))
-    ends = asks.select("case_id", F.explode(F.array("i", "j")).alias("at"), "rank")
-    least = ends.groupBy("case_id", "at").agg(F.min("rank").alias("least"))
-    ok = (
-        asks.join(least.withColumnsRenamed({"at": "i", "least": "li"}), ["case_id", "i"])
-        .join(least.withColumnsRenamed({"at": "j", "least": "lj"}), ["case_id", "j"])
-        .filter("rank = li and rank = lj")
+    ends = asks.select("setting", F.explode(F.array("i_seq", "j_seq")).alias("seq"), "rank")
+    least = ends.groupBy("setting", "seq").agg(F.min("rank").alias("least"))
+    won = asks.select("setting", "rank", F.explode(F.array(F.struct(F.col("i_seq").alias("a"), F.col("j_seq").alias("b")),
+                                                           F.struct(F.col("j_seq").alias("a"), F.col("i_seq").alias("b")))).alias("m"))
+    won = won.join(least, (won["setting"] == least["setting"]) & (F.col("m.a") == F.col("seq"))).select(
+        won["setting"], "m.a", "m.b", "rank", (F.col("rank") == F.col("least")).alias("ok")
     )
-    moves = ok.select(F.explode(F.array(F.struct(F.col("i_seq").alias("arrival_seq"), F.col("j_seq").alias("new_seq")),
-                                        F.struct(F.col("j_seq").alias("arrival_seq"), F.col("i_seq").alias("new_seq")))).alias("m")).select("m.*")
-    out = rows.drop("idx").join(moves, "arrival_seq", "left")
-    return out.withColumn("arrival_seq", F.coalesce("new_seq", "arrival_seq")).drop("new_seq").select(*log.columns)
+    moves = won.groupBy("setting", "rank").agg(F.bool_and("ok").alias("both"), F.collect_list(F.struct("a", "b")).alias("m"))  # two rows
+    moves = moves.filter("both").select("setting", F.inline("m")).withColumnsRenamed({"a": "arrival_seq", "b": "new_seq"})
+    out = rows.select("*", F.explode(F.lit(list(settings))).alias("setting")).join(moves, ["setting", "arrival_seq"], "left")
+    out = out.withColumn("arrival_seq", F.coalesce("new_seq", "arrival_seq"))
+    return out.select("setting", *log.columns)

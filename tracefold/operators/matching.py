@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.operators.hotkeys import running
 from tracefold.operators.model import BY_TIME, NODE, PARENT, order_in_case, step_hash, with_prefix
 
-ID = F.struct("first_trace", "level")
-
 
 def case_prefixes(log: DataFrame, order: list[str] = BY_TIME, limit: int | None = None) -> DataFrame:
     """Each event with the identity of the case prefix that ends at it."""
@@ -161,44 +160,33 @@ def unknown_case_cost(log: DataFrame, nodes: DataFrame, requested: DataFrame) ->
     return requested.join(log.select("case_id"), "case_id", "left_anti").crossJoin(F.broadcast(cost))  # cost is one row
 
 
-def best_leaf(states: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Cheapest end below a state: the fewest log and model moves between its open events and the rest of a trace.
+def best_leaf(states: DataFrame, model) -> DataFrame:
+    """Cheapest end strictly below a state: the fewest log and model moves between its open events and the rest of a trace.
 
-    ``states``: ``state_id``, node identity, ``postfix`` ARRAY<STRING> (as long as the retention at most), ``base_cost`` and
-    ``cost_limit``; only results below the limit are kept.  Ends deeper than ``level + |postfix| + cost_limit - 1`` cannot
-    be cheap enough and are left out of the join.
+    ``states``: ``state_id``, the node as (``first_trace``, ``level``), ``postfix`` ARRAY<STRING> (the open events, as many as the
+    retention at most), ``base_cost`` and ``cost_limit``.  Only results below the limit are kept.  Each state walks the tree
+    downwards and turns back where no continuation can stay below the limit, so no (state, end) pairs are formed.
     """
-    reach = F.col("level") + F.size("postfix") + F.col("cost_limit") - 1
-    starts = states.select(*NODE, F.col("state_id").alias("start_id"), reach.alias("max_level"), F.col("level").alias("s_level"))
-    ends = nodes.filter("is_end").select(F.col("first_end").alias("trace_id"), F.col("level").alias("leaf_level"))
-    paths = rows.select(*NODE, "trace_id").join(ends, "trace_id").filter("leaf_level > level")
-    near = paths.join(starts, NODE).filter("leaf_level <= max_level").select("start_id", "trace_id", "leaf_level", "s_level")
-    tail = rows.select("trace_id", F.col("level").alias("t_level"), "activity").join(near, "trace_id")
-    tail = tail.filter("t_level > s_level and t_level <= leaf_level").groupBy("start_id", "trace_id", "leaf_level").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("t_level", "activity"))), lambda s: s["activity"]).alias("rest")
-    )
-    scored = tail.withColumnRenamed("start_id", "state_id").join(states.select("state_id", "postfix", "base_cost", "cost_limit"), "state_id")
-    scored = scored.withColumn("cost", F.col("base_cost") + indel(F.col("postfix"), F.col("rest"))).filter("cost < cost_limit")
-    return scored.groupBy("state_id").agg(
-        F.min("cost").alias("cost"), F.min_by("trace_id", F.struct("cost", "leaf_level", "trace_id")).alias("leaf_trace")
-    )
-
-
-def indel(a: Column, b: Column) -> Column:
-    """Insert/delete distance of two short arrays: one dynamic-programming row per element of ``a``."""
-    first = F.transform(b, lambda _x, i: (i + 1).cast("int"))
-    row0 = F.concat(F.array(F.lit(0)), first)
-
-    def next_row(row, x):
-        start = F.array(F.get(row, F.lit(0)) + 1)
-
-        def cell(acc, j):
-            left = F.element_at(acc, -1) + 1
-            up = F.get(row, j + 1) + 1
-            same = F.when(F.get(b, j) == x, F.get(row, j)).otherwise(F.lit(2**30))
-            return F.concat(acc, F.array(F.least(left, up, same)))
-
-        places = F.transform(b, lambda _x, i: i.cast("int"))
-        return F.aggregate(places, start, cell)
-
-    return F.element_at(F.aggregate(a, row0, next_row), -1)
+    steps = model.rows.select(F.col("trace_id").alias("first_trace"), "level", "z1", "z2")
+    placed = states.join(steps, ["first_trace", "level"]).drop("first_trace")
+    shipped = model.ship(False)
+
+    def search(batches):
+        from tracefold.functions.tree import local_tree
+
+        tree = local_tree(shipped)
+        for batch in batches:
+            found = [
+                tree.nearest_end(tree.find_node(level, z1, z2), [tree.number.get(a, a) for a in postfix], limit - base)
+                for level, z1, z2, postfix, base, limit in zip(
+                    *(batch.column(c).to_pylist() for c in ("level", "z1", "z2", "postfix", "base_cost", "cost_limit"))
+                )
+            ]
+            cost = [None if f is None else b + f[0] for f, b in zip(found, batch.column("base_cost").to_pylist())]
+            leaf = [None if f is None else f[1] for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("state_id"), pa.array(cost, pa.int32()), pa.array(leaf, pa.int32())], ["state_id", "cost", "leaf_level"]
+            )
+
+    kind = dict(states.dtypes)["state_id"]
+    return placed.mapInArrow(search, f"state_id {kind}, cost int, leaf_level int").filter("cost is not null")

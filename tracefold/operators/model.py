@@ -172,7 +172,7 @@ def model_stats(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def ngrams(log: DataFrame, max_len: int = MAX_PATTERN, order: list[str] = BY_TIME, limit: int | None = None) -> DataFrame:
     """Contiguous activity patterns of length 2..max_len with their number of occurrences; max_len below 2 gives none."""
-    grams = _windows_ahead(order_in_case(log, order, limit), max(max_len, 1), limit)
+    grams = windows_ahead(order_in_case(log, order, limit), max(max_len, 1), limit)
     lengths = F.sequence(F.lit(2), F.size("ahead"))
     grams = grams.filter(F.size("ahead") >= 2).select("ahead", F.explode(lengths).alias("n"))
     return grams.select(F.slice("ahead", F.lit(1), F.col("n")).alias("pattern")).groupBy("pattern").agg(
@@ -180,7 +180,7 @@ def ngrams(log: DataFrame, max_len: int = MAX_PATTERN, order: list[str] = BY_TIM
     )
 
 
-def _windows_ahead(ordered: DataFrame, max_len: int, limit: int | None) -> DataFrame:
+def windows_ahead(ordered: DataFrame, max_len: int, limit: int | None = None) -> DataFrame:
     """Each event with the next ``max_len - 1`` activities of its case.
 
     A case is cut into blocks of ``span`` positions; the first rows of a block are also given to the block before it,
@@ -192,7 +192,8 @@ def _windows_ahead(ordered: DataFrame, max_len: int, limit: int | None) -> DataF
     homes = F.when((block > 0) & into, F.array(block, block - 1)).otherwise(F.array(block))
     spread = ordered.select("case_id", "pos", "activity", block.alias("home"), F.explode(homes).alias("block"))
     frame = Window.partitionBy("case_id", "block").orderBy("pos").rowsBetween(0, max_len - 1)
-    return spread.withColumn("ahead", F.collect_list("activity").over(frame)).filter("home = block").select("ahead")
+    ahead = spread.withColumn("ahead", F.collect_list("activity").over(frame))
+    return ahead.filter("home = block").select("case_id", "pos", "ahead")
 
 
 def pattern_rank(patterns: DataFrame, limit: int | None = None) -> DataFrame:
