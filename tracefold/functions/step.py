@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right
 
+import pyarrow as pa
+
 from tracefold.functions.ties import arrange
 from tracefold.functions.tree import Tree
 from tracefold.params import Params
@@ -30,7 +32,7 @@ class Case:
         """Plain values, for state stores and hand-over between tasks (without alignments)."""
         tail = [tree.label(s) for s in self.tail]
         gens = self.gens and [[k, c, d, [tree.key(n) for n in nodes]] for k, c, d, nodes in self.gens]
-        return [self.size, self.cost, tail, self.times, gens, self.mult]
+        return [self.size, self.cost, tail, self.times.copy(), gens, self.mult]
 
     @classmethod
     def load(cls, data: list, tree: Tree) -> "Case":
@@ -101,21 +103,17 @@ def _advance(tree: Tree, p: Params, case: Case, sym: int, mult: float, last: boo
             if to is not None:
                 nodes.setdefault(to, (al, ((sym, sym),)) if keep else None)
     if not nodes:
-        best = 1 << 60
+        best = min(cost + k + 1 for k, cost, _, _ in gens)
         for k, cost, _, at in reversed(gens):  # newest first
             events = (*case.tail[len(case.tail) - k :], sym)
-            if cost + k + 1 <= best:
-                if cost + k + 1 < best:
-                    best, nodes = cost + k + 1, {}
+            if cost + k + 1 == best:
                 for n, al in at.items():
                     nodes.setdefault(n, (al, tuple((e, None) for e in events)) if keep else None)
             for n, al in at.items():
-                for to, sync, extra in tree.ahead(n, events):
-                    if cost + extra > best:
-                        continue
+                for to, sync, extra in tree.ahead(n, events, best - cost):
                     if cost + extra < best:
                         best, nodes = cost + extra, {}
-                    if to not in nodes:
+                    if cost + extra == best and to not in nodes:
                         nodes[to] = (al, _moves(tree, n, to, events, sync)) if keep else None
     grown = [[k + 1, c, d - 1 if last else d, at] for k, c, d, at in gens if d >= 2]
     case.size += 1
@@ -134,6 +132,12 @@ def _moves(tree: Tree, start: int, to: int, events: tuple, sync: int) -> tuple:
     )
 
 
+def millis(times) -> list[int]:
+    """Epoch milliseconds of an Arrow timestamp column; finer digits are cut, as ties are defined on milliseconds."""
+    us = times.cast(pa.timestamp("us", times.type.tz)).cast(pa.int64()).to_numpy()
+    return (us // 1000).tolist()
+
+
 def states(case: Case) -> int:
     return sum(len(g[3]) for g in case.gens)
 

@@ -53,33 +53,47 @@ class Tree:
                 return None
         return node
 
-    def ahead(self, node: int, open_events: tuple) -> list[tuple[int, int, int]]:
-        """Where model moves can lead: [(node, synchronous events at the end, extra cost)].
+    def ahead(self, node: int, events: tuple, budget: int) -> list[tuple[int, int, int]]:
+        """Where model moves can lead: [(node, synchronous events at the end, extra cost)] with extra cost <= budget.
 
         The open events must be reached over at least one skipped node and at most as many as there are open events,
         the fewest that work.  If nothing works the oldest open event is given up and the rest is tried again.
         """
-        if type(open_events[-1]) is str:
+        if budget < 0 or type(events[-1]) is str:
             return []
-        key = (node, open_events)
+        key = (node, events, budget)
         got = self._memo.get(key)
         if got is None:
-            got = self._ahead(node, open_events)
-            self._memo[key] = got
+            got = self._memo[key] = [s for s in self._ahead(node, events, budget) if s[2] <= budget]
         return got
 
-    def _ahead(self, node: int, open_events: tuple) -> list[tuple[int, int, int]]:
-        known = next((i for i, s in enumerate(reversed(open_events)) if type(s) is str), len(open_events))
-        for given_up in range(len(open_events) - known, len(open_events)):
-            seq = open_events[given_up:]
-            layer = [node]
-            for _ in seq:
-                layer = [c for p in layer for c in self.kids(p).values()]
-                hits = [h for h in (self.walk(c, seq) for c in layer) if h is not None]
-                if hits:
-                    return [self._score(node, h, open_events) for h in hits]
-                if not layer:
-                    break
+    def _ahead(self, node: int, events: tuple, budget: int) -> list[tuple[int, int, int]]:
+        """Of all (events given up, nodes skipped) the first pair that hits counts.
+
+        Its cost is the sum of the two, unless the events also fit directly below the node after giving up fewer of them.
+        So without such a direct fit only pairs within the budget are tried, and the costlier pairs before a hit are
+        looked at only once there is one.
+        """
+        n = len(events)
+        known = next((i for i, s in enumerate(reversed(events)) if type(s) is str), n)
+        first = n - known
+        layers = [[node]]
+
+        def hits(given_up: int, skipped: int) -> list[int]:
+            while len(layers) <= skipped:
+                layers.append([c for p in layers[-1] for c in self.kids(p).values()])
+            seq = events[given_up:]
+            return [h for h in (self.walk(c, seq) for c in layers[skipped]) if h is not None]
+
+        direct = any(self.walk(node, events[h:]) is not None for h in range(first, min(budget, n - 2) + 1))
+        for g in range(first, n if direct else min(n, budget)):
+            for d in range(1, (n if direct else min(budget, n)) - g + 1):
+                found = hits(g, d)
+                if found:
+                    before = () if direct else range(first, g)
+                    if any(hits(g2, d2) for g2 in before for d2 in range(budget - g2 + 1, n - g2 + 1)):
+                        return []
+                    return [self._score(node, h, events) for h in found]
         return []
 
     def _score(self, node: int, hit: int, open_events: tuple) -> tuple[int, int, int]:
@@ -130,11 +144,11 @@ class Tree:
         return self._named[(level, z1, z2)]
 
     def key(self, node: int):
-        """Name of a node that any task understands."""
-        return node
+        """Name of a node that any task understands, also with a later model that still has the prefix."""
+        return [self.level[node], self._z1[node], self._z2[node]]
 
     def find(self, key) -> int:
-        return key
+        return self.find_node(*key)
 
 
 class TableTree(Tree):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import step, tree
 from tracefold.operators import disorder
+from tracefold.operators.hot_fold import HOT_EVENTS, RESULT, RESULT_DDL, fold_hot, hot_cases
 from tracefold.operators.model import BY_TIME, leaf_visits, ngrams, node_table, trace_rows
 from tracefold.operators.ordering import best_pattern_per_bag
 from tracefold.params import Params
@@ -22,8 +23,6 @@ MAX_BROADCAST_PATTERNS = 1_000_000
 BUCKET_NODES = 50_000
 CACHE_ROWS = 50_000_000  # larger model logs are read again instead of being kept
 EVENTS_PER_TASK = 250_000
-RESULT = ["cost", "n_states", "open_events", "flag", "replayed", "complete_cost"]
-RESULT_DDL = ", ".join(f"{c} int" for c in RESULT)
 MOVES = "array<struct<log:string,model:string,cost:int>>"
 
 
@@ -98,18 +97,30 @@ def check(log: DataFrame, model: Model, params: Params | list[Params] = Params()
     many = isinstance(params, list)
     sets = params if many else [params]
     shipped = model.ship(any(p.order == "ngrams" for p in sets))
+    plan = FoldPlan.of(log, limit)
     parts = []
     for i, p in enumerate(sets):
-        mine = _with_multiplier(log, model, p, shipped, ewma_keys, limit)
+        mine = _with_multiplier(log, model, p, shipped, ewma_keys, limit, plan)
         parts.append(mine.withColumn("setting", F.lit(i)))
-    both = parts[0]
-    for more in parts[1:]:
-        both = both.unionByName(more)
-    out = fold(both, sets, shipped, alignments, limit)
+    out = fold(reduce(DataFrame.unionByName, parts), sets, shipped, plan, alignments)
     return out.drop("multiplier") if many else out.drop("multiplier", "setting")
 
 
-def _with_multiplier(log: DataFrame, model: Model, p: Params, shipped, keys, limit) -> DataFrame:
+@dataclass(frozen=True)
+class FoldPlan:
+    """What is known about a log before the fold: its size and its cases that are too long for one task."""
+
+    total: int
+    limit: int
+    hot: tuple
+
+    @classmethod
+    def of(cls, log: DataFrame, limit: int | None) -> "FoldPlan":
+        limit, total = limit or HOT_EVENTS, log.count()
+        return cls(total, limit, tuple(hot_cases(log, total, limit)))
+
+
+def _with_multiplier(log: DataFrame, model: Model, p: Params, shipped, keys, limit, plan) -> DataFrame:
     if not p.adapts:
         return log.withColumn("multiplier", F.lit(float(p.multiplier)))
     flagged = disorder.first_flags(log, p.order, limit)
@@ -120,7 +131,7 @@ def _with_multiplier(log: DataFrame, model: Model, p: Params, shipped, keys, lim
     # flag of a round is right in the next, so this ends; usually after one or two rounds.
     before = write_through(flagged.select("arrival_seq", "flag"), "flags")
     while True:
-        result = fold(done.withColumn("setting", F.lit(0)), [p], shipped, False, limit)
+        result = fold(done.withColumn("setting", F.lit(0)), [p], shipped, plan)
         now = write_through(result.select(*log.columns, "flag"), "flags")
         changed = now.join(before.withColumnRenamed("flag", "old"), "arrival_seq").filter("not (flag <=> old)").limit(1).count()
         if not changed:
@@ -129,10 +140,23 @@ def _with_multiplier(log: DataFrame, model: Model, p: Params, shipped, keys, lim
         before = now.select("arrival_seq", "flag")
 
 
-def fold(log: DataFrame, sets: list[Params], shipped, alignments: bool = False, limit: int | None = None) -> DataFrame:
-    """The fold itself: cases are spread by hash, sorted by arrival, and read once per task with one case in memory."""
-    rows = log.count()
-    n = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // EVENTS_PER_TASK)
+def fold(log: DataFrame, sets: list[Params], shipped, plan: FoldPlan, alignments: bool = False) -> DataFrame:
+    """The fold itself: cases are spread by hash, sorted by arrival, and read once per task with one case in memory.
+
+    Hot cases are cut into blocks (not with alignments, which grow with the case anyway).
+    """
+    total = plan.total * len(sets)
+    if not plan.hot or alignments:
+        return fold_plain(log, total, sets, shipped, alignments)
+    cases = F.broadcast(log.sparkSession.createDataFrame([(c,) for c, _ in plan.hot], "case_id string"))
+    rest = fold_plain(log.join(cases, "case_id", "left_anti"), total, sets, shipped)
+    hot = [(i, c, n) for i in range(len(sets)) for c, n in plan.hot]
+    long = fold_hot(log.join(cases, "case_id", "left_semi"), hot, sets, shipped, plan.limit)
+    return rest.unionByName(long)
+
+
+def fold_plain(log: DataFrame, total: int, sets: list[Params], shipped, alignments: bool = False) -> DataFrame:
+    n = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // EVENTS_PER_TASK)
     ranged = log.repartition(n, "setting", "case_id").sortWithinPartitions("setting", "case_id", "arrival_seq")
     schema = with_fields(log.schema, RESULT_DDL + (f", alignment {MOVES}" if alignments else ""))
     return ranged.mapInArrow(lambda it: _fold(it, shipped, sets, alignments), schema)
@@ -145,7 +169,7 @@ def _fold(batches, shipped, sets: list[Params], alignments: bool):
     for batch in batches:
         cols = (batch.column(c).to_pylist() for c in ("setting", "case_id", "activity", "multiplier"))
         out, moves = [], []
-        for setting, case_id, activity, mult, ts in zip(*cols, _millis(batch.column("event_time"))):
+        for setting, case_id, activity, mult, ts in zip(*cols, step.millis(batch.column("event_time"))):
             if (setting, case_id) != now:
                 now, p = (setting, case_id), sets[setting]
                 case = step.Case(p.multiplier)
@@ -161,9 +185,3 @@ def _fold(batches, shipped, sets: list[Params], alignments: bool):
             kind = pa.list_(pa.struct([("log", pa.string()), ("model", pa.string()), ("cost", pa.int32())]))
             result = result.append_column("alignment", pa.array(moves, kind))
         yield result
-
-
-def _millis(times: pa.Array) -> list[int]:
-    """Epoch milliseconds; finer digits are cut, as ties are defined on milliseconds."""
-    us = times.cast(pa.timestamp("us", times.type.tz)).cast(pa.int64()).to_numpy()
-    return (us // 1000).tolist()

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracefold.session import write_through
+
 HOT_ROWS = 5_000_000
 GLOBAL_ROWS = 1_000_000
 MAX_CHUNKS = 1024
@@ -60,13 +62,15 @@ def with_chunks(df: DataFrame, keys: list[str], order: list[str], limit: int | N
     grid = F.lit([i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)])
     hot_rows = _join(df.select(*keys, *order), hot, keys, "inner").withColumn("_f", place.cast("double"))
     cuts = hot_rows.groupBy(*keys).agg(F.percentile_approx("_f", grid, F.lit(10_000)).alias("_q"), F.first("_n").alias("_n"))
+    # written tables: the input is read again for totals and values, its plan must not be repeated each time
     step = F.ceil(F.lit(MAX_CHUNKS) / F.greatest(F.lit(2), F.least(F.lit(MAX_CHUNKS), F.ceil(2 * F.col("_n") / threshold))))
     cuts = cuts.withColumn("_step", step).select(
         *keys, F.expr("array_distinct(filter(_q, (x, i) -> (i + 1) % _step = 0))").alias("_cuts")
     )
+    cuts = write_through(cuts, "cuts")
     marked = _join(_join(df, hot, keys, "left"), cuts, keys, "left").withColumn("_f", place.cast("double"))
     marked = marked.withColumn(CHUNK, F.coalesce(F.expr("size(filter(_cuts, x -> x < _f))"), F.lit(0)))
-    return marked.drop("_n", "_a0", "_b0", "_b1", "_cuts", "_f"), True
+    return write_through(marked.drop("_n", "_a0", "_b0", "_b1", "_cuts", "_f"), "chunks"), True
 
 
 def _join(df: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
