@@ -8,6 +8,7 @@ model table when the model is too large to be broadcast; both number nodes from
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from collections import OrderedDict
 
@@ -180,16 +181,9 @@ class TableTree(Tree):
     def _bucket(self, b: int):
         got = self._loaded.pop(b, None)
         if got is None:
-            import pyarrow.dataset as ds
-            from pyarrow import fs
-
-            system, path = fs.FileSystem.from_uri(self._path) if "://" in self._path or ":/" in self._path else (fs.LocalFileSystem(), self._path)
-            path = f"{path}/bucket={b}"
-            if system.get_file_info(path).type == fs.FileType.NotFound:
-                got = {}
-            else:
-                rows = ds.dataset(path, filesystem=system, format="parquet").to_table().to_pydict()
-                got = {}
+            rows = read_folder(f"{self._path}/bucket={b}")
+            got = {}
+            if rows is not None:
                 for pl, p1, p2, sym, lv, z1, z2, e in zip(*(rows[c] for c in ("p_level", "p_z1", "p_z2", "symbol", "level", "z1", "z2", "min_to_end"))):
                     got.setdefault((pl, p1, p2), []).append((sym, (lv, z1, z2), e))
                 for kids in got.values():
@@ -231,7 +225,26 @@ def build(data: dict) -> Tree:
     return TableTree(data) if "path" in data else Tree(data)
 
 
-_TREES: dict[int, Tree] = {}
+def read_folder(path: str) -> dict | None:
+    """Columns of a small parquet folder in the shared storage, read inside a task; None if it is not there."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    return ds.dataset(path, filesystem=system, format="parquet").to_table().to_pydict()
+
+
+_TREES: dict = {}
+
+
+def published_tree(path: str) -> Tree:
+    """The tree whose data ``Model.publish`` wrote; kept by the worker process."""
+    if path not in _TREES:
+        _TREES.clear()
+        _TREES[path] = build(pickle.loads(read_folder(path)["data"][0]))
+    return _TREES[path]
 
 
 def local_tree(shipped) -> Tree:

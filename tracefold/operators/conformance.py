@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from dataclasses import dataclass
 from functools import cached_property, reduce
@@ -85,6 +86,14 @@ class Model:
             kept[with_patterns] = self.log.sparkSession.sparkContext.broadcast(self.data(with_patterns))
         return kept[with_patterns]
 
+    def publish(self, with_patterns: bool) -> str:
+        """Folder with the data for tasks, for places that cannot take broadcasts (stateful streams)."""
+        spark = self.log.sparkSession
+        path = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+        row = [(bytearray(pickle.dumps(self.data(with_patterns))),)]
+        spark.createDataFrame(row, "data binary").coalesce(1).write.parquet(path)
+        return path
+
 
 def check(log: DataFrame, model: Model, params: Params | list[Params] = Params(), alignments: bool = False,
           ewma_keys: list[str] | None = None, limit: int | None = None) -> DataFrame:

@@ -26,14 +26,14 @@ OUTPUT = f"case_id string, activity string, event_time timestamp, arrival_seq bi
 
 
 class CaseProcessor(StatefulProcessor):
-    def __init__(self, shipped, params: Params, ttl_ms: int | None):
-        self._shipped, self._params, self._ttl = shipped, params, ttl_ms
+    def __init__(self, model_path: str, params: Params, ttl_ms: int | None):
+        self._model_path, self._params, self._ttl = model_path, params, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._case = handle.getValueState("case", STATE, self._ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        model, p = tree.local_tree(self._shipped), self._params
+        model, p = tree.published_tree(self._model_path), self._params
         model.rest()
         case = step.Case.load(json.loads(self._case.get()[0]), model) if self._case.exists() else step.Case(p.multiplier)
         # one key's rows may come in several frames and in any order
@@ -54,10 +54,10 @@ class CaseProcessor(StatefulProcessor):
 
 def check_stream(log: DataFrame, model: Model, params: Params = Params(), ttl_ms: int | None = None) -> DataFrame:
     """One row per event, appended.  ``ttl_ms`` forgets cases that have not been seen for that long."""
-    shipped = model.ship(params.order == "ngrams")
+    published = model.publish(params.order == "ngrams")
     keyed = log.withColumn("ts_ms", F.unix_millis("event_time")).groupBy("case_id")
     return keyed.transformWithStateInPandas(
-        statefulProcessor=CaseProcessor(shipped, params, ttl_ms),
+        statefulProcessor=CaseProcessor(published, params, ttl_ms),
         outputStructType=StructType.fromDDL(OUTPUT),
         outputMode="append",
         timeMode="ProcessingTime" if ttl_ms else "None",
