@@ -23,6 +23,7 @@ def make_log(spark):
     from pyspark.sql import functions as F
 
     def make(rows):
+        rows = [(c, a, float(t), i) for c, a, t, i in rows]
         df = spark.createDataFrame(rows, "case_id string, activity string, event_time double, arrival_seq bigint")
         return df.withColumn("event_time", F.timestamp_micros((F.col("event_time") * 1_000_000).cast("bigint")))
 

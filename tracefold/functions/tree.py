@@ -111,6 +111,12 @@ class Tree:
 
         Cost is the insert/delete distance between the open events and the way down, one row of it per node.
         """
+        key = ("end", node, tuple(open_events), limit)
+        if key not in self._memo:
+            self._memo[key] = self._nearest_end(node, open_events, limit)
+        return self._memo[key]
+
+    def _nearest_end(self, node: int, open_events: list, limit: int) -> tuple[int, int] | None:
         best = None
         n = len(open_events)
         stack = [(c, list(range(n + 1))) for c in self.kids(node).values()]

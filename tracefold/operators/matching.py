@@ -176,6 +176,7 @@ def best_leaf(states: DataFrame, model) -> DataFrame:
 
         tree = local_tree(shipped)
         for batch in batches:
+            tree.rest()
             found = [
                 tree.nearest_end(tree.find_node(level, z1, z2), [tree.number.get(a, a) for a in postfix], limit - base)
                 for level, z1, z2, postfix, base, limit in zip(
