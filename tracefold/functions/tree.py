@@ -9,12 +9,14 @@ model table when the model is too large to be broadcast; both number nodes from
 from __future__ import annotations
 
 import pickle
+import zlib
 from array import array
 from collections import OrderedDict
 
 import numpy as np
 
 ROOT_SYMBOL = -1
+SEPARATOR = "\x1f"  # between labels in the text of a bag
 MEMO_LIMIT = 200_000
 
 
@@ -23,7 +25,7 @@ class Tree:
         self.labels = data["labels"]  # in order of the symbol number
         self.number = {a: i for i, a in enumerate(self.labels)}
         self.avg_len = data["avg_len"]
-        self.patterns = data["patterns"]  # sorted symbols -> most frequent order
+        self.patterns = pattern_lookup(data["patterns"], self)  # sorted symbols -> most frequent order
         self.parent = array("q", data["parent"])
         self.symbol = array("q", data["symbol"])
         self.level = array("q", data["level"])
@@ -168,8 +170,9 @@ class TableTree(Tree):
     KEEP_NODES = 1_000_000
 
     def __init__(self, data: dict):
-        self.labels, self.avg_len, self.patterns = data["labels"], data["avg_len"], data["patterns"]
+        self.labels, self.avg_len = data["labels"], data["avg_len"]
         self.number = {a: i for i, a in enumerate(self.labels)}
+        self.patterns = pattern_lookup(data["patterns"], self)
         self._path, self._buckets, self._root_to_end = data["path"], data["buckets"], data["root_to_end"]
         self._loaded: OrderedDict = OrderedDict()
         self._reset()
@@ -227,6 +230,31 @@ class TableTree(Tree):
         return self.walk(0, [self.number[a] for a in key])
 
 
+class TablePatterns:
+    """Most frequent orders from their table in the shared folder, one file per bucket of bags."""
+
+    def __init__(self, data: dict, tree: Tree):
+        self._path, self._buckets, self._tree = data["path"], data["buckets"], tree
+        self._loaded: OrderedDict = OrderedDict()
+
+    def get(self, symbols: tuple) -> tuple | None:
+        text = SEPARATOR.join(self._tree.labels[s] for s in symbols)  # symbols are numbered in the order of labels
+        b = zlib.crc32(text.encode()) % self._buckets
+        rows = self._loaded.pop(b, None)
+        if rows is None:
+            cols = read_folder(f"{self._path}/bucket={b}") or {"bag": [], "pattern": []}
+            rows = dict(zip(cols["bag"], cols["pattern"]))
+        self._loaded[b] = rows
+        if len(self._loaded) > TableTree.KEEP_BUCKETS:
+            self._loaded.popitem(last=False)
+        found = rows.get(text)
+        return tuple(self._tree.number[a] for a in found) if found else None
+
+
+def pattern_lookup(data: dict, tree: Tree):
+    return TablePatterns(data, tree) if "path" in data else data
+
+
 def build(data: dict) -> Tree:
     return TableTree(data) if "path" in data else Tree(data)
 

@@ -21,6 +21,7 @@ from tracefold.session import shared_dir, with_fields, write_through
 
 MAX_BROADCAST_NODES = 1_000_000
 MAX_BROADCAST_PATTERNS = 1_000_000
+MAX_LABELS = 1_000_000
 BUCKET_NODES = 50_000
 CACHE_ROWS = 50_000_000  # larger model logs are read again instead of being kept
 EVENTS_PER_TASK = 250_000
@@ -35,6 +36,7 @@ class Model:
     order: list[str] | None = None
     max_pattern: int = 10
     max_nodes: int = MAX_BROADCAST_NODES
+    max_patterns: int = MAX_BROADCAST_PATTERNS
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -59,7 +61,10 @@ class Model:
     def data(self, with_patterns: bool) -> dict:
         """What a task needs.  Up to ``max_nodes`` the tree itself; beyond, the place of its written table."""
         size = self.nodes.agg(F.count(F.lit(1)), F.min(F.col("min_to_end") + F.col("level"))).first()
-        labels = [r["symbol"] for r in self.nodes.select("symbol").distinct().orderBy("symbol").collect()]  # the alphabet
+        labels = [r["symbol"] for r in self.nodes.select("symbol").distinct().limit(MAX_LABELS + 1).collect()]
+        if len(labels) > MAX_LABELS:
+            raise ValueError(f"more than {MAX_LABELS} different activities")
+        labels.sort()
         bags = self._bags(labels) if with_patterns else {}
         if size[0] <= self.max_nodes:
             pdf = self.nodes.select("level", "z1", "z2", "p_z1", "p_z2", "symbol", "first_trace", "min_to_end").toPandas()
@@ -72,12 +77,21 @@ class Model:
         return {"path": path, "buckets": buckets, "labels": labels, "avg_len": self.avg_len, "patterns": bags, "root_to_end": size[1]}
 
     def _bags(self, labels: list[str]) -> dict:
-        best = best_pattern_per_bag(self.patterns)
-        rows = best.select("pattern").limit(MAX_BROADCAST_PATTERNS + 1).collect()
-        if len(rows) > MAX_BROADCAST_PATTERNS:
-            raise ValueError(f"more than {MAX_BROADCAST_PATTERNS} tie patterns: lower max_pattern or use another order")
-        number = {a: i for i, a in enumerate(labels)}
-        return {tuple(sorted(number[a] for a in r[0])): tuple(number[a] for a in r[0]) for r in rows}
+        """Most frequent order per bag of activities: itself, or beyond the limit the place of its written table."""
+        best = best_pattern_per_bag(self.patterns).select("bag", "pattern").persist()
+        size = best.count()
+        if size > self.max_patterns:
+            path, buckets = f"{shared_dir(self.log.sparkSession)}/patterns-{uuid.uuid4().hex}", max(1, size // BUCKET_NODES)
+            text = F.array_join("bag", tree.SEPARATOR)
+            rows = best.select(text.alias("bag"), "pattern", (F.crc32(text.cast("binary")) % buckets).alias("bucket"))
+            rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
+            bags = {"path": path, "buckets": buckets}
+        else:
+            number = {a: i for i, a in enumerate(labels)}
+            rows = best.select("pattern").collect()
+            bags = {tuple(sorted(number[a] for a in r[0])): tuple(number[a] for a in r[0]) for r in rows}
+        best.unpersist()
+        return bags
 
     def ship(self, with_patterns: bool):
         """Broadcast for tasks, built once per kind."""
@@ -107,14 +121,44 @@ def check(log: DataFrame, model: Model, params: Params | list[Params] = Params()
     sets = params if many else [params]
     shipped = model.ship(any(p.order == "ngrams" for p in sets))
     plan = FoldPlan.of(log, limit)
-    parts = []
+    todo, done = [], []
     for i, p in enumerate(sets):
-        mine = _with_multiplier(log, model, p, shipped, ewma_keys, limit, plan)
-        parts.append(mine.withColumn("setting", F.lit(i)))
-    out = fold(reduce(DataFrame.unionByName, parts), sets, shipped, plan, alignments)
+        tagged = log.withColumn("setting", F.lit(i))
+        if not p.adapts:
+            todo.append(tagged.withColumn("multiplier", F.lit(float(p.multiplier))))
+            continue
+        flagged = disorder.first_flags(tagged, p.order, limit).withColumnRenamed("flag", "used")
+        if p.order == "none" and p.min_decay >= 2:  # the flags need no fold
+            todo.append(_multiplier(flagged, p, ewma_keys, limit).drop("used"))
+        else:
+            settled = _settle(flagged, p, sets, shipped, plan, ewma_keys, limit)
+            if alignments:
+                todo.append(settled.drop("used", *RESULT))
+            else:
+                done.append(settled.drop("used"))
+    if todo:
+        done.append(fold(reduce(DataFrame.unionByName, todo), sets, shipped, plan, alignments))
+    out = reduce(DataFrame.unionByName, done)
     return out.drop("multiplier") if many else out.drop("multiplier", "setting")
 
 
+def _multiplier(flagged: DataFrame, p: Params, keys, limit) -> DataFrame:
+    return disorder.ewma_multiplier(flagged.withColumn("flag", F.col("used")), p.alpha, p.multiplier, limit, keys).drop("flag")
+
+
+def _settle(flagged: DataFrame, p: Params, sets, shipped, plan, keys, limit) -> DataFrame:
+    """Results of an adaptive run whose flags depend on the fold.
+
+    The flag of a tie depends on the order chosen for it, which depends on the multiplier so far.  The earliest wrong flag
+    of a round is right in the next, so this ends; usually after one or two rounds.
+    """
+    while True:
+        result = write_through(fold(_multiplier(flagged, p, keys, limit), sets, shipped, plan), "round")
+        if result.filter("not (flag <=> used)").isEmpty():
+            return result
+        flagged = result.drop("used", "multiplier", *RESULT[:3], *RESULT[4:]).withColumnRenamed("flag", "used")
+
+
 @dataclass(frozen=True)
 class FoldPlan:
     """What is known about a log before the fold: its size and its cases that are too long for one task."""
@@ -129,32 +173,12 @@ class FoldPlan:
         return cls(total, limit, tuple(hot_cases(log, total, limit)))
 
 
-def _with_multiplier(log: DataFrame, model: Model, p: Params, shipped, keys, limit, plan) -> DataFrame:
-    if not p.adapts:
-        return log.withColumn("multiplier", F.lit(float(p.multiplier)))
-    flagged = disorder.first_flags(log, p.order, limit)
-    done = disorder.ewma_multiplier(flagged, p.alpha, p.multiplier, limit, keys).drop("flag")
-    if p.order == "none" and p.min_decay >= 2:
-        return done
-    # The flag of a tie depends on the order chosen for it, which depends on the multiplier so far.  The earliest wrong
-    # flag of a round is right in the next, so this ends; usually after one or two rounds.
-    before = write_through(flagged.select("arrival_seq", "flag"), "flags")
-    while True:
-        result = fold(done.withColumn("setting", F.lit(0)), [p], shipped, plan)
-        now = write_through(result.select(*log.columns, "flag"), "flags")
-        changed = now.join(before.withColumnRenamed("flag", "old"), "arrival_seq").filter("not (flag <=> old)").limit(1).count()
-        if not changed:
-            return done
-        done = disorder.ewma_multiplier(now, p.alpha, p.multiplier, limit, keys).drop("flag")
-        before = now.select("arrival_seq", "flag")
-
-
 def fold(log: DataFrame, sets: list[Params], shipped, plan: FoldPlan, alignments: bool = False) -> DataFrame:
     """The fold itself: cases are spread by hash, sorted by arrival, and read once per task with one case in memory.
 
     Hot cases are cut into blocks (not with alignments, which grow with the case anyway).
     """
-    total = plan.total * len(sets)
+    total = plan.total * len(sets)  # an upper bound: not every set has to be in this log
     if not plan.hot or alignments:
         return fold_plain(log, total, sets, shipped, alignments)
     cases = F.broadcast(log.sparkSession.createDataFrame([(c,) for c, _ in plan.hot], "case_id string"))
