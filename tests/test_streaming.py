@@ -24,7 +24,7 @@ def test_stream_equals_batch(spark, order):
         chunk = log.filter(F.col("arrival_seq").between(part * 150, part * 150 + 149))
         as_messages(chunk).coalesce(1).write.mode("append").json(f"{folder}/in")
     source = message_files(spark, f"{folder}/in", max_files=1)
-    query = write_responses(check_stream(source, model, p), f"{folder}/out", f"{folder}/cp", all_available=True)
+    query = write_responses(check_stream(source, model, p, ttl_ms=3_600_000 if order == "ngrams" else None), f"{folder}/out", f"{folder}/cp", all_available=True)
     query.awaitTermination(180)
     assert query.exception() is None
     got = spark.read.parquet(f"{folder}/out")

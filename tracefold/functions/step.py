@@ -147,10 +147,21 @@ def complete_cost(tree: Tree, case: Case) -> int:
     return case.cost + min(tree.to_end[n] for n in case.gens[-1][3])
 
 
-def alignment(tree: Tree, case: Case) -> list[tuple]:
-    """Moves (log label, model label) of the reported state; None stands for a skip."""
-    al, parts = case.gens[-1][3][min(case.gens[-1][3])], []
+def alignment(tree: Tree, case: Case, node: int | None = None) -> list[tuple]:
+    """Moves (log label, model label) of a reported state; None stands for a skip."""
+    newest = case.gens[-1][3]
+    al, parts = newest[min(newest) if node is None else node], []
     while al is not None:
         al, moves = al
         parts.append(moves)
     return [tuple(None if s is None else tree.label(s) for s in m) for moves in reversed(parts) for m in moves]
+
+
+def complete_alignment(tree: Tree, case: Case) -> list[tuple]:
+    """Moves if the case ended now: of the newest states the one nearest to an end, then model moves to that end."""
+    node = min(case.gens[-1][3], key=lambda n: (tree.to_end[n], n))
+    moves = alignment(tree, case, node)
+    while tree.to_end[node] > 0:
+        symbol, node = min(tree.kids(node).items(), key=lambda kid: (tree.to_end[kid[1]], kid[0]))
+        moves.append((None, tree.labels[symbol]))
+    return moves

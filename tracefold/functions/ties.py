@@ -1,7 +1,7 @@
 """Order of events that share a timestamp.
 
 Strategies are registered by name; each gets (tree, group in delivery order, start nodes) and returns the group in a new
-order, or None to keep the delivery order.
+order, or None to keep the delivery order.  A strategy of your own must be registered in a module that tasks import too.
 """
 
 from __future__ import annotations

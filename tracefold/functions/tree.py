@@ -127,7 +127,9 @@ class Tree:
             row = [above[0] + 1]
             for j, e in enumerate(open_events):
                 row.append(above[j] if e == self.symbol[at] else min(above[j + 1], row[j]) + 1)
-            if min(row) >= limit and (best is None or min(row) > best[0]):
+            # at least to_end more nodes follow; those beyond the events left are model moves
+            least = min(r + max(0, self.to_end[at] - n + j) for j, r in enumerate(row))
+            if least >= limit:
                 continue
             if self.to_end[at] == 0 and row[n] < limit and (best is None or (row[n], self.level[at]) < best):
                 best = (row[n], self.level[at])

@@ -114,7 +114,8 @@ def check(log: DataFrame, model: Model, params: Params | list[Params] = Params()
     """One row per event: the input columns plus the columns of RESULT.
 
     With several parameter sets all run in the same job; ``setting`` is the index of the set.  ``alignments`` adds the moves
-    of the reported alignment: as long as the case so far, so only for logs of short cases.  The adaptive multiplier
+    of the reported alignment, and of the complete one if the case ended there: both as long as the case so far, so only
+    for logs of short cases.  The adaptive multiplier
     follows the whole log in delivery order, or each of ``ewma_keys``.
     """
     many = isinstance(params, list)
@@ -191,7 +192,7 @@ def fold(log: DataFrame, sets: list[Params], shipped, plan: FoldPlan, alignments
 def fold_plain(log: DataFrame, total: int, sets: list[Params], shipped, alignments: bool = False) -> DataFrame:
     n = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // EVENTS_PER_TASK)
     ranged = log.repartition(n, "setting", "case_id").sortWithinPartitions("setting", "case_id", "arrival_seq")
-    schema = with_fields(log.schema, RESULT_DDL + (f", alignment {MOVES}" if alignments else ""))
+    schema = with_fields(log.schema, RESULT_DDL + (f", alignment {MOVES}, complete_alignment {MOVES}" if alignments else ""))
     return ranged.mapInArrow(lambda it: _fold(it, shipped, sets, alignments), schema)
 
 
@@ -201,7 +202,7 @@ def _fold(batches, shipped, sets: list[Params], alignments: bool):
     now, case, p = None, None, None
     for batch in batches:
         cols = (batch.column(c).to_pylist() for c in ("setting", "case_id", "activity", "multiplier"))
-        out, moves = [], []
+        out, moves, ended = [], [], []
         for setting, case_id, activity, mult, ts in zip(*cols, step.millis(batch.column("event_time"))):
             if (setting, case_id) != now:
                 now, p = (setting, case_id), sets[setting]
@@ -210,11 +211,17 @@ def _fold(batches, shipped, sets: list[Params], alignments: bool):
             flag, redone = step.observe(model, p, case, number.get(activity, activity), ts, mult, alignments)
             out.append((case.cost, step.states(case), case.gens[0][0], flag, redone, step.complete_cost(model, case)))
             if alignments:
-                moves.append([{"log": a, "model": b, "cost": int(a is None or b is None)} for a, b in step.alignment(model, case)])
+                moves.append(_as_moves(step.alignment(model, case)))
+                ended.append(_as_moves(step.complete_alignment(model, case)))
         result = batch
         for name, values in zip(RESULT, zip(*out)):
             result = result.append_column(name, pa.array(values, pa.int32()))
         if alignments:
             kind = pa.list_(pa.struct([("log", pa.string()), ("model", pa.string()), ("cost", pa.int32())]))
             result = result.append_column("alignment", pa.array(moves, kind))
+            result = result.append_column("complete_alignment", pa.array(ended, kind))
         yield result
+
+
+def _as_moves(pairs: list[tuple]) -> list[dict]:
+    return [{"log": a, "model": b, "cost": int(a is None or b is None)} for a, b in pairs]

@@ -68,6 +68,11 @@ def read_results(spark: SparkSession, path: str, kind: str = "orig") -> DataFram
     return raw.drop("_block").withColumns(run_columns(name, kind))
 
 
+def numbered(results: DataFrame, order: str = "line") -> DataFrame:
+    """Row number ``rn`` within each result file."""
+    return results.withColumn("rn", F.row_number().over(Window.partitionBy("filename").orderBy(order)))
+
+
 def per_case(results: DataFrame, settings: list[str], order: str = "line") -> DataFrame:
     """Per file and case: time, cost after the last event, events."""
     return results.groupBy("case_id", "filename", *settings).agg(

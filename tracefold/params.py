@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-ORDERS = ("none", "ngrams", "greedy")
+from tracefold.functions.ties import STRATEGIES
 
 
 @dataclass(frozen=True)
@@ -19,8 +19,8 @@ class Params:
     discounted: bool = True  # False keeps states for min_decay events
 
     def __post_init__(self):
-        if self.order not in ORDERS:
-            raise ValueError(f"order must be one of {ORDERS}")
+        if self.order != "none" and self.order not in STRATEGIES:
+            raise ValueError(f"order must be none or one of {sorted(STRATEGIES)}")
         if self.min_decay < 1:
             raise ValueError("min_decay must be at least 1")
 

@@ -242,7 +242,8 @@ SQL: dict[str, str] = {
         "SELECT setting, count(*) FILTER (late) n_late, count(*) n_events FROM fl GROUP BY setting",
     ),
     "conforming_events": _with(
-        _model(USERS), _stream(DAYS), "SELECT s.case_id, s.arrival_seq, d.prefix IS NOT NULL conforms FROM spre s LEFT JOIN nodes d ON s.prefix = d.prefix"
+        _model(USERS), _stream(DAYS), "SELECT s.case_id, s.arrival_seq, count(d.prefix) OVER (PARTITION BY s.case_id ORDER BY s.level) matched,"
+        " d.prefix IS NOT NULL conforms, true AS bounded FROM spre s LEFT JOIN nodes d ON s.prefix = d.prefix"
     ),
     "first_event_cost": _with(
         _model(USERS), _log(ORDERS),
@@ -254,7 +255,7 @@ SQL: dict[str, str] = {
     ),
     "alignment_invariants": _with(
         _log(DAYS),
-        "SELECT arrival_seq, true AS cost_ok, true AS log_ok, row_number() OVER (PARTITION BY case_id ORDER BY arrival_seq) trace_size FROM log",
+        "SELECT arrival_seq, true AS cost_ok, true AS complete_cost_ok, true AS log_ok, true AS model_ok, true AS end_ok, row_number() OVER (PARTITION BY case_id ORDER BY arrival_seq) trace_size FROM log",
     ),
     "active_cases": _with(
         _log(DAYS),
@@ -266,7 +267,8 @@ SQL: dict[str, str] = {
         " (SELECT unnest([0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05]::DOUBLE[]) alpha), (SELECT unnest(['01', '10', '50']) swap), unnest(range(1, 4)) u(r)",
     ),
     "summary_case": _with(RESULTS, "SELECT case_id, filename, dataset, algo, swap, total_time_ms, cost, event_count FROM cases"),
-    "summary_last_cost": _with(RESULTS, "SELECT case_id, o_orderkey, algo, swap, last_cost AS cost FROM lasts"),
+    "summary_last_cost": _with(RESULTS, "SELECT case_id, o_orderkey, algo, swap, last_cost AS cost,"
+        " CAST(row_number() OVER (PARTITION BY filename ORDER BY t, o_orderkey) AS INTEGER) rn FROM lasts"),
     "summary_setting": _with(
         RESULTS,
         "agg AS (SELECT dataset, algo, swap, CAST(sum(total_time_ms) AS BIGINT) total_time_ms, CAST(sum(cost) AS BIGINT) AS cost,"

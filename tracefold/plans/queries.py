@@ -423,9 +423,16 @@ def disorder_levels(spark, sf_dir):
 
 @query
 def conforming_events(spark, sf_dir):
-    """In order, an event costs nothing exactly if the case so far is a path of the model."""
-    out = check(user_day_log(spark, sf_dir), _model(spark, sf_dir, "users"))
-    return out.select("case_id", "arrival_seq", (F.col("cost") == 0).alias("conforms"))
+    """In order, an event costs nothing exactly if the case so far is a path of the model, and at most one per later event."""
+    m = _model(spark, sf_dir, "users")
+    out = check(user_day_log(spark, sf_dir), m).select("arrival_seq", "cost")
+    at = matching.replay(matching.case_prefixes(user_day_log(spark, sf_dir)), m.nodes)
+    first_miss = Window.partitionBy("case_id").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumn("matched", F.count("first_trace").over(first_miss)).select("case_id", "arrival_seq", "level", "matched")
+    joined = at.join(out, "arrival_seq")
+    return joined.select(
+        "case_id", "arrival_seq", "matched", (F.col("cost") == 0).alias("conforms"), (F.col("cost") <= F.col("level") - F.col("matched")).alias("bounded")
+    )
 
 
 @query
@@ -500,19 +507,33 @@ def state_counts(spark, sf_dir):
 def prefix_alignments(spark, sf_dir):
     """The reported alignment of every event of the short user-day cases."""
     out = check(user_day_log(spark, sf_dir), _model(spark, sf_dir, "users"), Params(), alignments=True)
-    return out.select("case_id", "arrival_seq", "cost", al.text(F.col("alignment")).alias("alignment"))
+    return out.select(
+        "case_id", "arrival_seq", "cost", al.text(F.col("alignment")).alias("alignment"),
+        "complete_cost", al.text(F.col("complete_alignment")).alias("complete_alignment"),
+    )
 
 
 @query
 def alignment_invariants(spark, sf_dir):
-    """Each alignment costs what is reported, and its log side is the case so far."""
+    """Each alignment costs what is reported, its log side is the case so far, its model side is a path of the model, and
+    the complete one ends at the end of a trace."""
     out = check(user_day_log(spark, sf_dir), _model(spark, sf_dir, "users"), Params(), alignments=True)
     seen = F.array_join(F.collect_list("activity").over(Window.partitionBy("case_id").orderBy("arrival_seq").rowsBetween(-9, 0)), "")
     out = out.withColumn("tail", seen)
+    nodes = _model(spark, sf_dir, "users").nodes
+    zero = F.lit(0).cast("bigint")
+    model_side = lambda c: F.transform(F.filter(c, lambda m: m["model"].isNotNull()), lambda m: m["model"])
+    out = out.withColumns({"level": zero, "z1": zero, "z2": zero, "seq": model_side(F.col("alignment"))})
+    out = matching.complete_match(out, nodes).withColumnRenamed("match_trace", "on_path").drop("m_level", "seq")
+    ends = nodes.filter("is_end")
+    out = matching.complete_match(out.withColumn("seq", model_side(F.col("complete_alignment"))), ends)
     return out.select(
         "arrival_seq",
         (al.total_cost(F.col("alignment")) == F.col("cost")).alias("cost_ok"),
+        (al.total_cost(F.col("complete_alignment")) == F.col("complete_cost")).alias("complete_cost_ok"),
         al.log_projection(F.col("alignment")).endswith(F.col("tail")).alias("log_ok"),
+        ((F.size(model_side(F.col("alignment"))) == 0) | F.col("on_path").isNotNull()).alias("model_ok"),
+        F.col("match_trace").isNotNull().alias("end_ok"),
         al.trace_size(F.col("alignment")).cast("bigint").alias("trace_size"),
     )
 
@@ -557,8 +578,8 @@ def summary_case(spark, sf_dir):
 
 @query
 def summary_last_cost(spark, sf_dir):
-    rows = experiments.last_cost(_results(spark, sf_dir))
-    return rows.select("case_id", F.col("line.n").alias("o_orderkey"), "algo", "swap", "cost")
+    rows = experiments.numbered(experiments.last_cost(_results(spark, sf_dir)))
+    return rows.select("case_id", F.col("line.n").alias("o_orderkey"), "algo", "swap", "cost", "rn")
 
 
 @query
