@@ -23,8 +23,8 @@ from tracefold.params import Params
 from tracefold.session import with_fields, write_through
 
 HOT_EVENTS = 2_000_000
-MAX_HOT_CASES = 10_000
-MAX_BLOCKS = 20_000
+MAX_HOT_CASES = 50_000
+MAX_BLOCKS = 100_000
 KEY = ["setting", "case_id"]
 RESULT = ["cost", "n_states", "open_events", "flag", "replayed", "complete_cost"]
 RESULT_DDL = ", ".join(f"{c} int" for c in RESULT)
