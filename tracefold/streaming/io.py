@@ -28,6 +28,18 @@ def message_topic(spark: SparkSession, servers: str, topic: str) -> DataFrame:
 
 
 def write_responses(results: DataFrame, path: str, checkpoint: str, kind: str = "parquet", all_available: bool = False):
-    """Start the sink; files are written by every task.  ``all_available`` stops when the present input is done."""
+    """Start the sink; files are written by every task.
+
+    ``all_available`` stops when the present input is done.  Batches without data are off for it: a time-to-live would ask for
+    one after the other and the query would never end.
+    """
     writer = results.writeStream.format(kind).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(availableNow=True) if all_available else writer).start()
+    if not all_available:
+        return writer.start()
+    conf, name = results.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
