@@ -19,9 +19,9 @@ def build_tree(traces, max_pattern=10):
     ends = [tuple(t) for t in traces]
     for n, i in ids.items():
         if n:
-            rest = min(len(e) - len(n) for e in ends if e[: len(n)] == n)
-            rows.append((len(n), i, i, ids[n[:-1]], ids[n[:-1]], n[-1], i, rest))
-    cols = ["level", "z1", "z2", "p_z1", "p_z2", "symbol", "first_trace", "min_to_end"]
+            rest = [len(e) - len(n) for e in ends if e[: len(n)] == n]
+            rows.append((len(n), i, i, ids[n[:-1]], ids[n[:-1]], n[-1], i, min(rest), max(rest)))
+    cols = ["level", "z1", "z2", "p_z1", "p_z2", "symbol", "first_trace", "min_to_end", "max_to_end"]
     labels = naive.alphabet
     num = {a: i for i, a in enumerate(labels)}
     best = {}
@@ -30,7 +30,7 @@ def build_tree(traces, max_pattern=10):
         if key not in best or (-f, q) < best[key]:
             best[key] = (-f, q)
     bags = {k: tuple(num[a] for a in q) for k, (_, q) in best.items()}
-    data = tree.pack(pd.DataFrame(rows, columns=cols), labels, naive.avg, bags, min(map(len, ends)))
+    data = tree.pack(pd.DataFrame(rows, columns=cols), labels, naive.avg, bags, (min(map(len, ends)), max(map(len, ends))))
     return tree.build(data)
 
 

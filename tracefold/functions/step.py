@@ -104,12 +104,20 @@ def _advance(tree: Tree, p: Params, case: Case, sym: int, mult: float, last: boo
                 nodes.setdefault(to, (al, ((sym, sym),)) if keep else None)
     if not nodes:
         best = min(cost + k + 1 for k, cost, _, _ in gens)
+        height, tail, size = tree.height, case.tail, len(case.tail)
+        known = type(sym) is int
         for k, cost, _, at in reversed(gens):  # newest first
-            events = (*case.tail[len(case.tail) - k :], sym)
+            events = None
             if cost + k + 1 == best:
+                events = (*tail[size - k :], sym)
                 for n, al in at.items():
                     nodes.setdefault(n, (al, tuple((e, None) for e in events)) if keep else None)
+            if cost > best or not known:
+                continue
             for n, al in at.items():
+                if height[n] < 2:  # model moves need a node to skip and one to reach
+                    continue
+                events = events or (*tail[size - k :], sym)
                 for to, sync, extra in tree.ahead(n, events, best - cost):
                     if cost + extra < best:
                         best, nodes = cost + extra, {}

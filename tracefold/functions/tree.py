@@ -30,6 +30,7 @@ class Tree:
         self.symbol = array("q", data["symbol"])
         self.level = array("q", data["level"])
         self.to_end = array("q", data["min_to_end"])
+        self.height = array("q", data["max_to_end"])
         self._offset = array("q", data["offset"])
         self._child = array("q", data["child"])
         self._z1, self._z2 = array("q", data["z1"]), array("q", data["z2"])
@@ -77,9 +78,11 @@ class Tree:
         So without such a direct fit only pairs within the budget are tried, and the costlier pairs before a hit are
         looked at only once there is one.
         """
-        n = len(events)
+        n, room = len(events), self.height[node]
+        if room < 2:
+            return []
         known = next((i for i, s in enumerate(reversed(events)) if type(s) is str), n)
-        first = n - known
+        first = max(n - known, n + 1 - room)  # what is left after giving up must fit below a skipped node
         layers = [[node]]
 
         def hits(given_up: int, skipped: int) -> list[int]:
@@ -88,13 +91,16 @@ class Tree:
             seq = events[given_up:]
             return [h for h in (self.walk(c, seq) for c in layers[skipped]) if h is not None]
 
-        direct = any(self.walk(node, events[h:]) is not None for h in range(first, min(budget, n - 2) + 1))
+        def deepest(given_up: int) -> int:
+            return min(n - given_up, room - n + given_up)
+
+        direct = any(self.walk(node, events[h:]) is not None for h in range(max(first - 1, 0), min(budget, n - 2) + 1))
         for g in range(first, n if direct else min(n, budget)):
-            for d in range(1, (n if direct else min(budget, n)) - g + 1):
+            for d in range(1, (deepest(g) if direct else min(deepest(g), budget - g)) + 1):
                 found = hits(g, d)
                 if found:
                     before = () if direct else range(first, g)
-                    if any(hits(g2, d2) for g2 in before for d2 in range(budget - g2 + 1, n - g2 + 1)):
+                    if any(hits(g2, d2) for g2 in before for d2 in range(budget - g2 + 1, deepest(g2) + 1)):
                         return []
                     return [self._score(node, h, events) for h in found]
         return []
@@ -162,6 +168,9 @@ class Tree:
         return self.find_node(*key)
 
 
+BUCKET_COLUMNS = ["p_level", "p_z1", "p_z2", "symbol", "level", "z1", "z2", "min_to_end", "max_to_end"]
+
+
 class TableTree(Tree):
     """Children come from the model table in the shared folder: one file per bucket of parents, a few kept in memory.
 
@@ -175,12 +184,13 @@ class TableTree(Tree):
         self.labels, self.avg_len = data["labels"], data["avg_len"]
         self.number = {a: i for i, a in enumerate(self.labels)}
         self.patterns = pattern_lookup(data["patterns"], self)
-        self._path, self._buckets, self._root_to_end = data["path"], data["buckets"], data["root_to_end"]
+        self._path, self._buckets, self._root = data["path"], data["buckets"], data["root"]
         self._loaded: OrderedDict = OrderedDict()
         self._reset()
 
     def _reset(self) -> None:
-        self.parent, self.symbol, self.level, self.to_end = [-1], [ROOT_SYMBOL], [0], [self._root_to_end]
+        self.parent, self.symbol, self.level = [-1], [ROOT_SYMBOL], [0]
+        self.to_end, self.height = [self._root[0]], [self._root[1]]
         self._keys = [(0, 0, 0)]
         self._at = {(0, 0, 0): 0}
         self._kids, self._memo = {}, {}
@@ -195,8 +205,8 @@ class TableTree(Tree):
             rows = read_folder(f"{self._path}/bucket={b}")
             got = {}
             if rows is not None:
-                for pl, p1, p2, sym, lv, z1, z2, e in zip(*(rows[c] for c in ("p_level", "p_z1", "p_z2", "symbol", "level", "z1", "z2", "min_to_end"))):
-                    got.setdefault((pl, p1, p2), []).append((sym, (lv, z1, z2), e))
+                for pl, p1, p2, sym, lv, z1, z2, *ends in zip(*(rows[c] for c in BUCKET_COLUMNS)):
+                    got.setdefault((pl, p1, p2), []).append((sym, (lv, z1, z2), ends))
                 for kids in got.values():
                     kids.sort()
         self._loaded[b] = got
@@ -204,7 +214,7 @@ class TableTree(Tree):
             self._loaded.popitem(last=False)
         return got
 
-    def _add(self, parent: int, sym: int, key: tuple, to_end: int) -> int:
+    def _add(self, parent: int, sym: int, key: tuple, ends: list[int]) -> int:
         at = self._at.get(key)
         if at is None:
             at = self._at[key] = len(self._keys)
@@ -212,7 +222,8 @@ class TableTree(Tree):
             self.parent.append(parent)
             self.symbol.append(sym)
             self.level.append(key[0])
-            self.to_end.append(to_end)
+            self.to_end.append(ends[0])
+            self.height.append(ends[1])
         return at
 
     def kids(self, node: int) -> dict[int, int]:
@@ -292,8 +303,9 @@ def local_tree(shipped) -> Tree:
     return _TREES[key]
 
 
-def pack(pdf, labels: list[str], avg_len: int, patterns: dict, root_to_end: int) -> dict:
-    """Arrays of the whole tree from the collected node table (level, z1, z2, p_z1, p_z2, symbol, first_trace, min_to_end)."""
+def pack(pdf, labels: list[str], avg_len: int, patterns: dict, root: tuple[int, int]) -> dict:
+    """Arrays of the whole tree from the collected node table (level, z1, z2, p_z1, p_z2, symbol, first_trace,
+    min_to_end, max_to_end); ``root``: its shortest and longest way to an end."""
     pdf = pdf.sort_values(["level", "first_trace"], kind="stable").reset_index(drop=True)
     number = {a: i for i, a in enumerate(labels)}
     at = {k: i + 1 for i, k in enumerate(zip(pdf["level"], pdf["z1"], pdf["z2"]))}
@@ -312,7 +324,8 @@ def pack(pdf, labels: list[str], avg_len: int, patterns: dict, root_to_end: int)
         "parent": ints(-1, parent),
         "symbol": ints(ROOT_SYMBOL, symbol),
         "level": ints(0, pdf["level"]),
-        "min_to_end": ints(root_to_end, pdf["min_to_end"]),
+        "min_to_end": ints(root[0], pdf["min_to_end"]),
+        "max_to_end": ints(root[1], pdf["max_to_end"]),
         "offset": offset.tobytes(),
         "z1": ints(0, pdf["z1"]),
         "z2": ints(0, pdf["z2"]),

@@ -60,21 +60,21 @@ class Model:
 
     def data(self, with_patterns: bool) -> dict:
         """What a task needs.  Up to ``max_nodes`` the tree itself; beyond, the place of its written table."""
-        size = self.nodes.agg(F.count(F.lit(1)), F.min(F.col("min_to_end") + F.col("level"))).first()
+        size = self.nodes.agg(F.count(F.lit(1)), F.min(F.col("min_to_end") + F.col("level")), F.max(F.col("max_to_end") + F.col("level"))).first()
         labels = [r["symbol"] for r in self.nodes.select("symbol").distinct().limit(MAX_LABELS + 1).collect()]
         if len(labels) > MAX_LABELS:
             raise ValueError(f"more than {MAX_LABELS} different activities")
         labels.sort()
         bags = self._bags(labels) if with_patterns else {}
         if size[0] <= self.max_nodes:
-            pdf = self.nodes.select("level", "z1", "z2", "p_z1", "p_z2", "symbol", "first_trace", "min_to_end").toPandas()
-            return tree.pack(pdf, labels, self.avg_len, bags, size[1])
+            pdf = self.nodes.select("level", "z1", "z2", "p_z1", "p_z2", "symbol", "first_trace", "min_to_end", "max_to_end").toPandas()
+            return tree.pack(pdf, labels, self.avg_len, bags, tuple(size[1:]))
         path = f"{shared_dir(self.log.sparkSession)}/model-{uuid.uuid4().hex}"
         buckets = max(1, size[0] // BUCKET_NODES)
-        kids = self.nodes.select("level", "z1", "z2", "p_level", "p_z1", "p_z2", "symbol", "min_to_end")
+        kids = self.nodes.select(*tree.BUCKET_COLUMNS)
         kids = kids.withColumn("bucket", F.pmod("p_z1", F.lit(buckets)))
         kids.repartition("bucket").write.partitionBy("bucket").parquet(path)
-        return {"path": path, "buckets": buckets, "labels": labels, "avg_len": self.avg_len, "patterns": bags, "root_to_end": size[1]}
+        return {"path": path, "buckets": buckets, "labels": labels, "avg_len": self.avg_len, "patterns": bags, "root": tuple(size[1:])}
 
     def _bags(self, labels: list[str]) -> dict:
         """Most frequent order per bag of activities: itself, or beyond the limit the place of its written table."""

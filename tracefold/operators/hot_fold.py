@@ -1,10 +1,10 @@
 """The fold for cases that are too long for one task.
 
 A case is a sequence, but what it carries from one event to the next is small and soon forgets.  Hot cases are cut into
-blocks of consecutive events.  A block is run from a guess of the state at its start: the nodes that the last known
-state stands on, warmed up with the events just before the block.  The guess is then compared with the state in which
+blocks of consecutive events.  A block is run from a guess of the state at its start: the last known
+state, warmed up with the events just before the block.  The guess is then compared with the state in which
 the block before really ended; blocks whose guess was right are done, from the first wrong one the next round starts with
-the true state.  Every round finishes at least one block per case and nothing unverified is returned, so the result is
+the true state, and fewer blocks are tried at once.  Every round finishes at least one block per case and nothing unverified is returned, so the result is
 exact whatever the guesses are worth.  Costs inside a block count from its start; the sums of the earlier blocks are
 added at the end.
 """
@@ -25,6 +25,7 @@ from tracefold.session import with_fields, write_through
 HOT_EVENTS = 2_000_000
 MAX_HOT_CASES = 50_000
 MAX_BLOCKS = 100_000
+WARM_UP = 512
 KEY = ["setting", "case_id"]
 RESULT = ["cost", "n_states", "open_events", "flag", "replayed", "complete_cost"]
 RESULT_DDL = ", ".join(f"{c} int" for c in RESULT)
@@ -42,7 +43,7 @@ def fold_hot(log: DataFrame, hot: list[tuple[int, str, int]], sets: list[Params]
     """``hot``: (setting, case, number of events)."""
     spark = log.sparkSession
     size = max(limit, sum(n for _, _, n in hot) // MAX_BLOCKS)
-    warm = 16 + 8 * max(p.min_decay for p in sets)
+    warm = WARM_UP
     blocks = {(i, c): -(-n // size) for i, c, n in hot}
     placed = position(log, KEY, ["arrival_seq"], "_pos", limit)
     block = F.floor((F.col("_pos") - 1) / size).cast("int")
@@ -104,14 +105,11 @@ def _restore(data: list, model: tree.Tree, p: Params) -> step.Case:
     return step.Case.load([size, 0, tail, list(times), gens, p.multiplier], model)
 
 
-def _guess(data: list | None, model: tree.Tree, p: Params, size: int, mult: float) -> step.Case:
-    """Stand on the nodes of the last known state, ``size`` events into the case, with nothing retained."""
-    case = step.Case(p.multiplier)
-    if data is not None:
-        case.size = size
-        newest = data[3][-1]
-        case.gens = [[0, 0, step.life(p, model.avg_len, size, mult), {model.find(n): None for n in newest[3]}]]
-    return case
+def _guess(data: list | None, model: tree.Tree, p: Params, size: int) -> step.Case:
+    """The last known state as if it held ``size`` events into the case; what it retains is replaced while warming up."""
+    if data is None:
+        return step.Case(p.multiplier)
+    return _restore([size, *data[1:]], model, p)
 
 
 def _run(batches, keep: list[str], shipped, sets: list[Params]):
@@ -133,7 +131,7 @@ def _run(batches, keep: list[str], shipped, sets: list[Params]):
                 if exact:
                     case = _restore(known, model, p) if known is not None else step.Case(p.multiplier)
                 else:
-                    case = _guess(known, model, p, pos - 1, mult)
+                    case = _guess(known, model, p, pos - 1)
             if warm:
                 if not exact:
                     step.observe(model, p, case, model.number.get(activity, activity), ts, mult)
