@@ -98,7 +98,7 @@ class WordIds:
                 start = end
 
     def _learn(self, spans: list[bytes], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > self.limit:
+        if len(self.words) > self.limit // 4:
             self.words = {}
         self.words[""] = b""
         parts, odd = [], {}

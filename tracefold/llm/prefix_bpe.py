@@ -47,10 +47,10 @@ class IntTable:
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Add keys that differ and aren't there yet."""
-        if 3 * (self.used + len(keys)) > len(self.keys):
+        if 2 * (self.used + len(keys)) > len(self.keys):
             old = self.keys >= 0
             kept, kept_values = self.keys[old], self.values[old]
-            self._clear(1 << int(6 * (len(kept) + len(keys))).bit_length())
+            self._clear(1 << int(2 * (len(kept) + len(keys))).bit_length())
             self.put(kept, kept_values)
         self.used += len(keys)
         slots = self._slots(keys)
@@ -149,12 +149,12 @@ class PrefixBPE:
             at += len(places)
             yield places, sizes[places], *self._block([texts[i] for i in places.tolist()], sizes[places])
 
-    def _block(self, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, end, id) of all tokens found in the texts, by end; and codes of the characters by text and place, -1 for unknown ones and behind the end."""
         n, wide = len(texts), int(sizes.max(initial=0))
-        flat = self.codes[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
         codes = np.full((n, wide + 1), -1, np.int32)
-        codes[np.arange(wide + 1) < sizes[:, None]] = flat
-        # tokens from each place on: walk the trie from all places at once
+        codes[np.arange(wide + 1) < sizes[:, None]] = self.codes[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+        # walk the trie from all places at once
         row, start = np.nonzero(codes >= 0)
         node, end, found = np.zeros(len(row), np.int64), start.copy(), []
         while len(row):
@@ -166,12 +166,16 @@ class PrefixBPE:
             is_token = token >= 0
             found.append((row[is_token], start[is_token], end[is_token], token[is_token]))
         row, start, end, token = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4))
-        order = np.argsort(end.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(end[order], np.arange(1, wide + 2))
+        order = np.argsort(end, kind="stable")
+        return row[order], start[order], end[order], token[order], codes
+
+    def _block(self, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, wide = len(texts), int(sizes.max(initial=0))
+        row, start, end, token, _ = self.spans(texts, sizes)
+        cuts = np.searchsorted(end, np.arange(1, wide + 2))
         counts, last = np.zeros((n, wide + 1), np.int16), np.full((n, wide + 1), -1, np.int32)
         for at in range(1, wide + 1):
-            take = order[cuts[at - 1] : cuts[at]]
-            r, s, t = row[take], start[take], token[take]
+            r, s, t = (v[cuts[at - 1] : cuts[at]] for v in (row, start, token))
             before = last[r, s].astype(np.int64)
             fit = self._fit((before + 1) * self.base + t) & ((s == 0) | (before >= 0))
             r, s = r[fit], s[fit]

@@ -19,8 +19,8 @@ _powers: dict[int, np.ndarray] = {}
 
 def _power(base: int, n: int) -> np.ndarray:
     """base**i modulo 2**64 for i < n."""
-    if len(_powers.get(base, ())) < n:
-        steps = np.full(1 << max(16, int(n).bit_length()), base, np.uint64)
+    if len(_powers.get(base, ())) < max(1, n):
+        steps = np.full(max(n, 1 << 20), base, np.uint64)
         steps[0] = 1
         _powers[base] = np.multiply.accumulate(steps)
     return _powers[base][:n]
