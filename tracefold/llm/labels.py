@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.session import write_through
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that no classifier may learn from; a missing id is none of them."""
@@ -12,11 +14,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text and label (0 or 1) of the rows to learn from."""
+    """doc_id, text and label (0 or 1) of the rows to learn from, written once: texts are moved a single time to meet their labels."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out()).join(known, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out()).join(known.where(~held_out()), "doc_id")
+    return write_through(rows, "labelled")
 
 
 def sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows, drawn by a hash of their ids."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """All of ``rows`` if there are at most ``most``, else about so many, drawn by a hash of their ids."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
