@@ -45,7 +45,7 @@ def exact_groups(docs: DataFrame, digests: bool = True) -> DataFrame:
     prefixes = _shared(rows.join(lengths, "size", "left_semi"), ["size", "prefix"]).withColumn("_open", F.lit(True))
     marked = rows.join(prefixes, ["size", "prefix"], "left")
     if not digests:
-        marked = marked.withColumn("text_sha256", F.when("_open", F.sha2(F.encode("bare", "utf-8"), 256))).drop("bare")
+        marked = marked.withColumn("text_sha256", F.when(F.col("_open"), F.sha2(F.encode("bare", "utf-8"), 256))).drop("bare")
     open_, single = marked.where("_open"), marked.where("_open IS NULL")
     best = F.struct(-F.col("chars"), F.col("doc_id").isNull(), F.col("doc_id"))
     alike = group_values(

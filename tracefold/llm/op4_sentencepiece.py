@@ -42,11 +42,21 @@ class Pieces:
             raise ValueError("a piece crosses a space: texts can't be cut there")
         self.byte_id = np.zeros(256, np.int64)
         self.byte_id[list(byte.values())] = list(byte)
-        self.text = {i: p.replace(MARK, " ").encode() for p, i in self.plain.items()} | {i: bytes([b]) for i, b in byte.items()}
-
-    def decode(self, ids: list[int]) -> str:
-        """The text; the model puts a space before it, which goes."""
-        return b"".join(map(self.text.__getitem__, ids))[1:].decode()
+        text = {i: p.replace(MARK, " ").encode() for p, i in self.plain.items()} | {i: bytes([b]) for i, b in byte.items()}
+        self.size = np.array([len(text.get(i, b"")) for i in size], np.int64)
+        self.begin, self.bytes = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(text.get(i, b"") for i in size), np.uint8)
+
+    def decode(self, ids: np.ndarray, place: np.ndarray) -> pa.Array:
+        """Texts of ids that lie one text after the other from ``place`` on; the space that the model puts before a text goes."""
+        sizes = self.size[ids]
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        out = self.bytes[np.repeat(self.begin[ids] - sums[:-1], sizes) + np.arange(sums[-1])]
+        starts = sums[place]
+        keep = np.ones(len(out), bool)
+        some = starts[:-1] < starts[1:]
+        keep[starts[:-1][some]] = False
+        offsets = starts - np.concatenate([[0], np.cumsum(some)])
+        return pa.StringArray.from_buffers(len(place) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out[keep].tobytes()))
 
 
 class Sampler:
@@ -192,8 +202,10 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
         pieces = Pieces(model)
 
         def step(batch: pa.RecordBatch) -> dict:
-            ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
-            return {c: batch.column(i) for i, c in enumerate(batch.schema.names)} | {"text": pa.array([pieces.decode(i or []) for i in ids], pa.string())}
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            place = np.asarray(ids.offsets).astype(np.int64)
+            texts = pieces.decode(np.asarray(ids.values)[place[0] : place[-1]], place - place[0])
+            return {c: batch.column(i) for i, c in enumerate(batch.schema.names)} | {"text": texts}
 
         return step
 
