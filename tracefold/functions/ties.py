@@ -31,20 +31,22 @@ def arrange(tree, order: str, group: list[int], starts: list[int]) -> list[int]:
 
 
 def _fit(tree, node: int, items: list[int], at: int) -> list[int] | None:
-    """First permutation that the model allows below ``node``; only orders that are paths are looked at."""
-    if at == len(items):
-        return items
-    kids, tried = tree.kids(node), set()
-    for i in range(at, len(items)):
-        s = items[i]
-        if s in tried or s not in kids:
-            continue
-        tried.add(s)
-        swapped = items.copy()
-        swapped[at], swapped[i] = swapped[i], swapped[at]
-        found = _fit(tree, kids[s], swapped, at + 1)
-        if found is not None:
-            return found
+    """First permutation that the model allows below ``node``; only orders that are paths are looked at.  The stack is a list: groups may be long."""
+    stack = [(node, items, at)]
+    while stack:
+        node, items, at = stack.pop()
+        if at == len(items):
+            return items
+        kids, tried, below = tree.kids(node), set(), []
+        for i in range(at, len(items)):
+            s = items[i]
+            if s in tried or s not in kids:
+                continue
+            tried.add(s)
+            swapped = items.copy()
+            swapped[at], swapped[i] = swapped[i], swapped[at]
+            below.append((kids[s], swapped, at + 1))
+        stack += reversed(below)
     return None
 
 

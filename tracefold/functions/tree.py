@@ -284,6 +284,8 @@ def read_folder(path: str) -> dict | None:
 
 
 _TREES: dict = {}
+#: Trees by broadcast that a worker process keeps at most.
+KEPT = 4
 
 
 def published_tree(path: str) -> Tree:
@@ -295,12 +297,15 @@ def published_tree(path: str) -> Tree:
 
 
 def local_tree(shipped) -> Tree:
-    """The tree of this worker process; kept while the same broadcast is used."""
-    key = id(shipped.value)
-    if key not in _TREES:
-        _TREES.clear()
-        _TREES[key] = build(shipped.value)
-    return _TREES[key]
+    """The tree of this worker process.  The value is held beside its tree, so no other value can take its identity meanwhile."""
+    value = shipped.value
+    held, tree = _TREES.get(id(value), (None, None))
+    if held is not value:
+        while len(_TREES) >= KEPT:
+            _TREES.pop(next(iter(_TREES)))
+        tree = build(value)
+        _TREES[id(value)] = value, tree
+    return tree
 
 
 def pack(pdf, labels: list[str], avg_len: int, patterns: dict, root: tuple[int, int]) -> dict:

@@ -23,7 +23,7 @@ def parse_messages(df: DataFrame) -> DataFrame:
         F.try_element_at(parts, F.lit(-1)).alias("activity"),
         parse_time(F.get_json_object("payload", "$.event['time:timestamp']")).alias("event_time"),
         "arrival_seq",
-    ).filter(F.col("case_id") != CONTROL_CASE)
+    ).filter(~F.col("case_id").eqNullSafe(CONTROL_CASE))
 
 
 def as_messages(log: DataFrame, base: str = "stream") -> DataFrame:
