@@ -14,9 +14,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text and label (0 or 1) of the rows to learn from, written once: texts are moved a single time to meet their labels."""
+    """doc_id, text and label (0 or 1) of the rows to learn from, written once: texts are moved a single time to meet their labels, however few those are."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out()).join(known.where(~held_out()), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out()).join(known.where(~held_out()).hint("merge"), "doc_id")
     return write_through(rows, "labelled")
 
 
