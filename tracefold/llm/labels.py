@@ -13,10 +13,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text and label (0 or 1) of the rows to learn from, written once: texts are moved a single time to meet their labels, however few those are."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int | None = None) -> DataFrame:
+    """doc_id, text and label (0 or 1) of the rows to learn from, written once: texts are moved a single time to meet their labels, however few those are.
+
+    ``most``: learn from about so many labels at most.  They are drawn before they meet any text, so they are few enough to broadcast and no text is moved;
+    drawn labels without a document are not replaced.
+    """
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out()).join(known.where(~held_out()).hint("merge"), "doc_id")
+    known = known.where(~held_out())
+    known = known.hint("merge") if most is None else F.broadcast(sample(known, most))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out()).join(known, "doc_id")
     return write_through(rows, "labelled")
 
 

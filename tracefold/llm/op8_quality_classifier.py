@@ -132,7 +132,7 @@ def bags(docs: DataFrame, more: str = "") -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> Net | float:
     """The net, or a constant score where labels can't tell documents apart."""
-    rows = bags(sample(labelled(docs, labels, "quality"), SAMPLE), "label").toArrow()
+    rows = bags(sample(labelled(docs, labels, "quality", SAMPLE), SAMPLE), "label").toArrow()
     label = np.asarray(rows["label"].combine_chunks()).astype(float)
     if len(set(label.tolist())) < 2:
         return float(label.mean()) if len(label) else 0.5
