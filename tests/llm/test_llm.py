@@ -105,7 +105,10 @@ def test_sampled_segmentations_are_lossless_and_follow_weights(spark, odd, none)
     assert sorted((r.doc_id or -1, r.text) for r in out) == sorted((d or -1, t or "") for d, t in ODD)
     again = {r.doc_id: r.ids for r in op4_sentencepiece.encode(odd.repartition(5)).collect()}
     assert all(again[r.doc_id] == r.ids for r in out if r.doc_id)
-    assert op4_sentencepiece.encode(none).count() == 0
+    both = op4_sentencepiece.round_trip(odd).collect()
+    assert all(r.lossless for r in both)
+    assert sorted((r.doc_id or -1, r.decoded_crc32, r.ids) for r in both) == sorted((r.doc_id or -1, r.text_crc32, r.ids) for r in out)
+    assert op4_sentencepiece.encode(none).count() == op4_sentencepiece.round_trip(none).count() == 0
     pieces = op4_sentencepiece.Pieces()
     sampler = op4_sentencepiece.Sampler(pieces, alpha=0.3)
     n = 20_000

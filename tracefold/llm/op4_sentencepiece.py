@@ -13,8 +13,11 @@ Null texts count as empty: no pieces.  Rows with a null key are drawn with a fix
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from tracefold.llm.spans import SpanValues, mix, text_bytes
 ALPHA = 2.0
 CACHE = 300_000
 EDGES = 6_000_000
+#: Cells (segments by places) whose edges are found at once.
+CELLS = 100_000
 
 
 class Pieces:
@@ -72,7 +77,7 @@ class Sampler:
     def _clear(self) -> None:
         self.known = SpanValues(np.int64, CACHE, self._learn)
         #: Edges by (segment, end): end's number plus the running share of its edges, where an edge starts, its id (or -1 - code point).
-        self.share, self.start, self.token, self.places = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.share, self.start, self.token, self.places = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), 0
 
     def _learn(self, spans: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         texts = [(MARK if f else "") + s.decode().replace(MARK, "\ue000").replace(" ", MARK) for s, f in zip(spans, first.tolist(), strict=True)]
@@ -80,7 +85,7 @@ class Sampler:
         order, base = np.argsort(sizes, kind="stable"), np.zeros(len(texts), np.int64)
         at = 0
         while at < len(order):
-            take = order[at : at + max(1, 500_000 // (int(sizes[order[at]]) + 8))]
+            take = order[at : at + max(1, CELLS // (int(sizes[order[at]]) + 8))]
             take = take[sizes[take] <= max(int(sizes[take[0]]) * 2, 16)]
             at += len(take)
             self._edges([texts[i] for i in take.tolist()], sizes[take], base, take)
@@ -120,7 +125,7 @@ class Sampler:
         new = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
         sums -= np.repeat(sums[new] - chance[new], np.diff(np.append(new, len(number))))
         self.share = np.concatenate([self.share, number + np.minimum(sums, 1)])
-        self.start, self.token = np.concatenate([self.start, start[order]]), np.concatenate([self.token, token[order].astype(np.int64)])
+        self.start, self.token = np.concatenate([self.start, start[order].astype(np.int32)]), np.concatenate([self.token, token[order].astype(np.int32)])
         self.places += int(sizes.sum())
 
     def sample(self, texts: pa.Array, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -212,10 +217,31 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return map_batches(encoded, make, with_fields(encoded.schema, "text string"))
 
 
+def round_trip(docs: DataFrame, model: str | None = None, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
+    """doc_id, ids of a sampled segmentation, decoded_crc32 of the text they decode to, and lossless: whether that is the text itself.
+
+    ``encode`` and ``decode`` in one step, so a task holds the model once and no decoded text leaves it.
+    """
+
+    def make():
+        sampler = Sampler(Pieces(model), alpha, seed)
+
+        def step(batch: pa.RecordBatch) -> dict:
+            tokens, place = sampler.sample(batch.column(1), batch.column(0))
+            decoded = sampler.pieces.decode(tokens, place)
+            ids = pa.ListArray.from_arrays(pa.array(place.astype(np.int32)), pa.array(tokens.astype(np.int32)))
+            crc = [zlib.crc32(t) for t in decoded.cast(pa.binary()).to_pylist()]
+            return {"doc_id": batch.column(0), "ids": ids, "decoded_crc32": crc, "lossless": pc.equal(decoded, batch.column(1).cast(decoded.type))}
+
+        return step
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return map_batches(docs.select(F.col("doc_id").cast("long"), text.alias("text")), make, "doc_id long, ids array<int>, decoded_crc32 long, lossless boolean")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode(encode(table(spark, sf_dir, "documents")))
-    crc = F.crc32(F.encode("text", "utf-8"))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", crc.alias("decoded_crc32"), (crc == F.col("text_crc32")).alias("lossless"))
+    done = round_trip(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_crc32", "lossless")
 
 
 QUERIES = {"op4_sentencepiece": op4_sentencepiece}
