@@ -42,20 +42,20 @@ def group_values(rows: DataFrame, keys: list[str], parts: dict[str, Column], tot
     return salted.join(known, on).select(*[F.col(c) for c in rows.columns], *totals)
 
 
-def small_batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices of at most ``STEP_BYTES`` of text."""
+def small_batches(batch: pa.RecordBatch, step_bytes: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``step_bytes`` of text."""
     sizes = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
             sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
     sums, at = np.cumsum(sizes), 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + STEP_BYTES, side="right")))
+        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + step_bytes, side="right")))
         yield batch.slice(at, end - at)
         at = end
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType, step_bytes: int = STEP_BYTES) -> DataFrame:
     """A column mapping in Python: ``make`` runs once per task, what it returns gets slices of the rows and returns the columns of ``schema``."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = kind.fieldNames()
@@ -64,7 +64,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out, step = to_arrow_schema(kind), make()
-        for batch in (b for whole in batches for b in small_batches(whole)):
+        for batch in (b for whole in batches for b in small_batches(whole, step_bytes)):
             if batch.num_rows:
                 got = step(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(got[n], type=out.field(n).type) if not isinstance(got[n], pa.Array) else got[n].cast(out.field(n).type) for n in names], schema=out)

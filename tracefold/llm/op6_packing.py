@@ -32,6 +32,8 @@ END_ID = 1
 #: Words whose ids a task keeps, and buckets into which the pieces of one length are dealt for ranking.
 CACHE = 1_000_000
 BUCKETS = 1024
+#: Bytes of text encoded at once; words not seen before take many times their size meanwhile.
+STEP = 500_000
 WORD_END = ""
 
 
@@ -152,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, keep_ids: bool = True)
         return step
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(rows, make, "doc_id long, start long, length long, doc_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
+    return map_batches(rows, make, "doc_id long, start long, length long, doc_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else ""), STEP)
 
 
 def pack_lengths(histogram: dict[int, int], room: int = ROOM) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
