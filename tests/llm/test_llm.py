@@ -257,3 +257,36 @@ def test_pipeline_is_brute_force(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert {r.doc_id for r in packed.collect()} == kept
     assert labelled(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), "quality").count() <= len(kept)
+
+
+def _counted(spark, toxic, other, clean=6000):
+    """Rows of one word each: ``toxic`` and ``other`` {word: documents}; and ``clean`` more documents without any of them."""
+    rows = [(w, 1) for w, n in toxic.items() for _ in range(n)] + [(w, 0) for w, n in other.items() for _ in range(n)] + [("plain", 0)] * clean
+    return spark.createDataFrame(rows, "text string, label int")
+
+
+def test_lexicon_keeps_the_tail(spark):
+    """A term that few of very many toxic rows hold has its lift looked at like any other."""
+    terms = {r.term for r in op5_toxicity.lexicon(_counted(spark, {"common": 1000, "rareterm": 6, "often": 6, "thin": 4}, {"often": 200})).collect()}
+    assert "w:rareterm" in terms and "w:common" in terms
+    assert not {"w:often", "w:thin"} & terms
+
+
+def test_large_lexicon_gives_equal_scores(spark, odd, monkeypatch):
+    """Joined to the words of the texts instead of held as a trie."""
+    terms = {"w:moron": 2.0, "w:scum": 1.0, "w:scumbag": 1.5, "p:lost": 3.0, "w:lostling": 3.5, "w:quick": 2.5}
+    asked = ["moron", "mroron", "moon", "morons", "mor0n", "morr", "scum", "scam", "scu", "lost", "lostling", "lostlinge", "los", "lxstling", "scumbg", "marun", "quik"]
+    read = op5_toxicity.Automaton(terms).read
+    table = spark.createDataFrame(list(terms.items()), "term string, weight double")
+    got = {r.word: (r.exact, r.near) for r in op5_toxicity._found(spark.createDataFrame([(w,) for w in asked], "word string"), table).collect()}
+    assert got == {w: read(w) for w in asked if read(w) != (0.0, 0.0)}
+    quoted = spark.createDataFrame([(20, 'you moron "quik scum" they said such a lostling moron'), (20, "moon")], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").union(quoted)
+    then = np.arange(1.0, 9.0) / 8
+    key = lambda rows: sorted(((r.doc_id or -1), round(r.score, 9)) for r in rows.collect())
+    assert key(op5_toxicity._hits(docs, terms, then)) == key(op5_toxicity._joined_hits(docs, table, then))
+    sf = "/root/testdata/sf0.01"
+    tables = [spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")]
+    held = key(op5_toxicity.toxicity(*tables))
+    monkeypatch.setattr(op5_toxicity, "TERMS", 1)
+    assert key(op5_toxicity.toxicity(*tables)) == held

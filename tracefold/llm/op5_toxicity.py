@@ -1,9 +1,10 @@
 """Toxicity: Levenshtein automata intersected with a trie of learnt terms, and scores of the context of each hit.
 
-1. ``lexicon``: over all rows that may be learnt from, words and beginnings of words are counted in toxic and in other documents.  Terms that at least ``SHARE`` of
-   the toxic documents hold (so there are at most 1/``SHARE`` times the terms of a document), and that are ``LIFT`` times as frequent there, are kept.
+1. ``lexicon``: over all rows that may be learnt from, words and beginnings of words are counted in toxic and in other documents.  Terms in ``LEAST`` toxic
+   documents or more that are ``LIFT`` times as frequent there are kept, however many these are.  Of beginnings the shortest stay.
 2. ``Automaton``: the trie of the terms and a Levenshtein automaton of one edit, intersected and made deterministic as words are read.  A whole term of five
-   letters or more is also found with one edit, a beginning only as it is.
+   letters or more is also found with one edit, a beginning only as it is.  A lexicon of more than ``TERMS`` terms is not sent to the tasks: the distinct words
+   of the texts are joined to it instead (``_found``: equal words, beginnings, and words that share a deletion of one letter), with the same values.
 3. A hit counts as quoted inside double quotation marks or shortly after a word of reporting; plain, quoted, exact and misspelt hits are separate inputs of a
    logistic regression, fitted on at most ``SAMPLE`` labelled rows.
 
@@ -13,57 +14,62 @@ kinds there is no lexicon and all scores are 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import map_batches, table
 from tracefold.llm.labels import held_out, labelled, sample
 from tracefold.llm.spans import SpanValues, text_bytes, words
+from tracefold.session import write_through
 
 SAMPLE = 20_000
-SHARE, LEAST, LIFT = 0.02, 5, 30.0
+LEAST, LIFT = 5, 30.0
 BEGIN, UPTO, FUZZY = 4, 7, 5
 BEFORE = 5
 CACHE = 500_000
+#: Terms that tasks hold as a trie, and states of the automaton that they keep.
+TERMS, STATES = 20_000, 50_000
 LIMIT = 0.7
 #: Words after which a term is taken as reported speech.
 REPORTING = set("said says say called calls quoted quote wrote writes word term sagte sagt nannte dit appelle dijo dice llamó".split())
 
 
 def _terms(rows: DataFrame) -> DataFrame:
-    """One row per document and distinct term: ``w:`` words, ``p:`` beginnings of longer words."""
+    """One row per document and distinct term, with its label: ``w:`` words, ``p:`` beginnings of longer words."""
     found = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.char_length(w) >= BEGIN)
     parts = [F.transform("w", lambda w: F.concat(F.lit("w:"), w))]
-    parts += [F.transform(F.filter("w", lambda w, n=n: F.char_length(w) > n), lambda w, n=n: F.concat(F.lit("p:"), F.substring(w, 1, n))) for n in range(BEGIN, UPTO + 1)]
-    return rows.select(found.alias("w")).select(F.explode(F.array_distinct(F.concat(*parts))).alias("term"))
+
+    def begin(n: int) -> Column:  # no default arguments in the lambdas: Spark would pass the index
+        return F.transform(F.filter("w", lambda w: F.char_length(w) > n), lambda w: F.concat(F.lit("p:"), F.substring(w, 1, n)))
+
+    parts += [begin(n) for n in range(BEGIN, UPTO + 1)]
+    return rows.select("label", found.alias("w")).select("label", F.explode(F.array_distinct(F.concat(*parts))).alias("term"))
+
+
+def _heads(word: Column, upto: Column) -> Column:
+    """The beginnings of a word that terms can be, of at most ``upto`` letters."""
+    return F.array_compact(F.array(*[F.when(upto >= n, F.concat(F.lit("p:"), F.substring(word, 1, n))) for n in range(BEGIN, UPTO + 1)]))
 
 
-def lexicon(rows: DataFrame) -> dict[str, float]:
-    """Weights of terms ("w:" and the word, "p:" and the beginning), from (text, label)."""
+def lexicon(rows: DataFrame) -> DataFrame:
+    """(term, weight), "w:" and the word or "p:" and the beginning, from (text, label)."""
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
-    if not toxic or not clean:
-        return {}
-    often = _terms(rows.where("label = 1")).groupBy("term").agg(F.count("*").alias("t")).where(F.col("t") >= max(LEAST, SHARE * toxic))
-    often = often.select("term", "t").persist()
-    # bounded: each term is in SHARE of the toxic documents at least
-    other = _terms(rows.where("label = 0")).join(F.broadcast(often.select("term")), "term").groupBy("term").agg(F.count("*").alias("c"))
-    lift = (F.col("t") + 0.5) / (toxic + 1) * (clean + 1) / (F.coalesce("c", F.lit(0)) + 0.5)
-    kept = {r["term"]: (r["t"], float(np.log(r["lift"]))) for r in often.join(other, "term", "left").withColumn("lift", lift).where(F.col("lift") >= LIFT).collect()}
-    often.unpersist()
-    out: dict[str, float] = {}
-    for term in sorted((t for t in kept if t[0] == "p"), key=lambda t: (len(t), t)):
-        if not any(term[: n + 2] in out for n in range(BEGIN, len(term) - 2)):
-            out[term] = kept[term][1]
-    for term in (t for t in kept if t[0] == "w"):
-        heads = ["p:" + term[2 : 2 + n] for n in range(BEGIN, min(UPTO, len(term) - 3) + 1)]
-        head = next((h for h in heads if h in out), None)
-        if head is None or kept[term][0] >= 0.8 * kept[head][0]:  # the beginning is this word
-            out.pop(head, None)
-            out[term] = kept[term][1]
-    return out
+    seen = _terms(rows.where("label IN (0, 1)")).groupBy("term").agg(F.sum("label").alias("t"), F.count("*").alias("n")).where(F.col("t") >= LEAST)
+    lift = (F.col("t") + 0.5) / (toxic + 1) * (clean + 1) / (F.col("n") - F.col("t") + 0.5)
+    # without rows of both kinds nothing tells them apart
+    kept = write_through(seen.select("term", "t", lift.alias("lift")).where((F.col("lift") >= LIFT) & F.lit(bool(toxic and clean))), "terms")
+    weight = F.log("lift").alias("weight")
+    word = F.substring("term", 3, 1_000_000)
+    words_ = kept.where("term LIKE 'w:%'")
+    heads = kept.where("term LIKE 'p:%'")
+    shorter = heads.select(F.col("term").alias("_h"))
+    covered = heads.select("term", F.explode(_heads(word, F.char_length(word) - 1)).alias("_h")).join(shorter, "_h").select("term")
+    return write_through(words_.select("term", weight).unionByName(heads.join(covered, "term", "left_anti").select("term", weight)), "lexicon")
 
 
 class Automaton:
@@ -71,7 +77,7 @@ class Automaton:
 
     def __init__(self, terms: dict[str, float]):
         self.next: list[dict[str, int]] = [{}]
-        self.word, self.head, self.fuzzy = {}, {}, set()
+        self.word, self.head, self.near, self.fuzzy = {}, {}, {}, set()
         for term, weight in terms.items():
             path = [0]
             for c in term[2:]:
@@ -81,6 +87,10 @@ class Automaton:
             (self.word if term[0] == "w" else self.head)[path[-1]] = weight
             if term[0] == "w" and len(term) - 2 >= FUZZY:
                 self.fuzzy.update(path)
+                self.near[path[-1]] = weight
+        self._clear()
+
+    def _clear(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -98,7 +108,7 @@ class Automaton:
             self.sets.append(items)
             self.moves.append({})
             exact = max((w for node, k in items if k == 0 for w in (self.word.get(node, 0),)), default=0)
-            near = max((self.word.get(node, 0) for node, k in items if k == 1 and node in self.fuzzy), default=0)
+            near = max((self.near.get(node, 0) for node, k in items if k == 1), default=0)
             self.values.append((exact, near))
         return self.ids[items]
 
@@ -116,9 +126,11 @@ class Automaton:
 
     def read(self, word: str) -> tuple[float, float]:
         """(weight of an exact hit, weight of a misspelt one); 0: none."""
+        if len(self.sets) > STATES:
+            self._clear()
         state, node, head = self.start, 0, 0.0
         for c in word:
-            state = self.moves[state].get(c)if c in self.moves[state] else self._step(state, c)
+            state = self.moves[state][c] if c in self.moves[state] else self._step(state, c)
             if node is not None:
                 node = self.next[node].get(c)
                 head = max(head, self.head.get(node, 0.0))
@@ -129,6 +141,30 @@ class Automaton:
         return exact, 0.0 if exact else near
 
 
+def plain(span: bytes) -> str:
+    """The word that is looked for: letters only, in lower case."""
+    word = span.decode().lower()
+    return word if word.isalpha() else "".join(c for c in word if c.isalpha())
+
+
+def in_quotes(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, before: np.ndarray, row: np.ndarray, reports: np.ndarray) -> np.ndarray:
+    """Whether words stand in double quotation marks or shortly after a word of reporting (``reports``)."""
+    marks = np.concatenate([[0], np.cumsum(data == 34)])
+    quoted = ((marks[starts] - marks[offsets[:-1]][row]) % 2 == 1) | (data[starts] == 34 if len(starts) else False)
+    place, sums = np.arange(len(row)), np.concatenate([[0], np.cumsum(reports)])
+    return quoted | (sums[place] - sums[np.maximum(place - BEFORE, before[:-1][row])] > 0)
+
+
+def inputs(sums: np.ndarray, hits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Inputs of the regression: weights of exact and misspelt hits, each plain and quoted; plain exact hits; words."""
+    out = np.zeros((len(n), Hits.WIDTH))
+    out[:, :4] = np.log1p(sums)
+    out[:, 4] = hits / np.maximum(n, 1) * 10
+    out[:, 5] = hits > 0
+    out[:, 6] = hits > 1
+    return out
+
+
 class Hits:
     """Inputs of the regression for each text."""
 
@@ -140,10 +176,7 @@ class Hits:
 
     def _learn(self, spans: list[bytes], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = []
-        for span in spans:
-            word = span.decode().lower()
-            if not word.isalpha():
-                word = "".join(c for c in word if c.isalpha())
+        for word in map(plain, spans):
             out += [*self.automaton.read(word), float(word in REPORTING)]
         return np.array(out, np.float32), np.full(len(spans), 3)
 
@@ -153,19 +186,9 @@ class Hits:
         n = np.diff(before)
         row = np.repeat(np.arange(len(n)), n)
         values = self.known.take(data, starts, ends)[0].reshape(-1, 3)
-        marks = np.concatenate([[0], np.cumsum(data == 34)])
-        quoted = ((marks[starts] - marks[offsets[:-1]][row]) % 2 == 1) | (data[starts] == 34 if len(starts) else False)
-        place = np.arange(len(row))
-        reports = np.concatenate([[0], np.cumsum(values[:, 2])])
-        quoted |= reports[place] - reports[np.maximum(place - BEFORE, before[:-1][row])] > 0
-        out = np.zeros((len(n), self.WIDTH))
-        for k, (of, where) in enumerate([(0, ~quoted), (0, quoted), (1, ~quoted), (1, quoted)]):
-            out[:, k] = np.log1p(np.bincount(row, values[:, of] * where, len(n)))
-        hits = np.bincount(row, (values[:, 0] > 0) & ~quoted, len(n))
-        out[:, 4] = hits / np.maximum(n, 1) * 10
-        out[:, 5] = hits > 0
-        out[:, 6] = hits > 1
-        return out
+        quoted = in_quotes(data, offsets, starts, before, row, values[:, 2])
+        sums = [np.bincount(row, values[:, of] * where, len(n)) for of, where in [(0, ~quoted), (0, quoted), (1, ~quoted), (1, quoted)]]
+        return inputs(np.array(sums).T, np.bincount(row, (values[:, 0] > 0) & ~quoted, len(n)), n)
 
 
 def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -179,6 +202,16 @@ def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def _answers(out: dict, x: np.ndarray, then: np.ndarray | None) -> dict:
+    if then is None:
+        return out | {"x": pa.array(list(x), pa.list_(pa.float64()))}
+    return out | {"score": pa.array(1 / (1 + np.exp(-np.clip(x @ then[:-1] + then[-1], -30, 30))))}
+
+
+def _schema(then: np.ndarray | None, more: str) -> str:
+    return "doc_id long" + (f", {more} int" if more else "") + (", x array<double>" if then is None else ", score double")
+
+
 def _hits(docs: DataFrame, terms: dict[str, float], then: np.ndarray | None, more: str = "") -> DataFrame:
     """Inputs (``then`` is None) or scores of all rows."""
 
@@ -186,16 +219,74 @@ def _hits(docs: DataFrame, terms: dict[str, float], then: np.ndarray | None, mor
         hits = Hits(terms)
 
         def step(batch: pa.RecordBatch) -> dict:
-            x = hits.features(batch.column(1))
             out = {"doc_id": batch.column(0)} | ({more: batch.column(2)} if more else {})
-            if then is None:
-                return out | {"x": pa.array(list(x), pa.list_(pa.float64()))}
-            return out | {"score": pa.array(1 / (1 + np.exp(-np.clip(x @ then[:-1] + then[-1], -30, 30))))}
+            return _answers(out, hits.features(batch.column(1)), then)
+
+        return step
+
+    return map_batches(docs.select("doc_id", "text", *([more] if more else [])), make, _schema(then, more))
+
+
+def _found(distinct: DataFrame, terms: DataFrame) -> DataFrame:
+    """(word, exact, near) of the words that are hits: what ``Automaton.read`` returns, by joins."""
+    length = F.char_length("word")
+    whole = distinct.select("word", F.explode(F.concat(F.array(F.concat(F.lit("w:"), "word")), _heads(F.col("word"), length))).alias("term"))
+    exact = whole.join(terms, "term").groupBy("word").agg(F.max("weight").alias("exact"))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        """A word and the word without each of its letters: of two words one edit apart one of these is the same."""
+        less = F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.char_length("word"))))
+        return rows.withColumn("key", F.explode(F.array_distinct(F.concat(F.array("word"), less))))
+
+    fuzzy = terms.where("term LIKE 'w:%'").select(F.substring("term", 3, 1_000_000).alias("word"), "weight").where(length >= FUZZY)
+    asked = cut(distinct.where(length >= FUZZY - 1).join(exact.select("word"), "word", "left_anti"))
+    pairs = asked.join(cut(fuzzy).withColumnRenamed("word", "of"), "key").where(F.levenshtein("word", "of", 1) >= 0)
+    near = pairs.groupBy("word").agg(F.max("weight").alias("near"))
+    return exact.withColumn("near", F.lit(0.0)).unionByName(near.select("word", F.lit(0.0).alias("exact"), "near"))
+
+
+def _joined_hits(docs: DataFrame, terms: DataFrame, then: np.ndarray | None, more: str = "") -> DataFrame:
+    """The same as ``_hits`` for any number of terms."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            data, offsets = text_bytes(batch.column(1))
+            starts, ends, before = words(data, offsets)
+            n = np.diff(before)
+            row, whole = np.repeat(np.arange(len(n)), n), data.tobytes()
+            spans = [plain(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            quoted = in_quotes(data, offsets, starts, before, row, np.array([w in REPORTING for w in spans], float)).astype(int).tolist()
+            rows: list[dict] = [{} for _ in n]
+            for r, word, q in zip(row.tolist(), spans, quoted, strict=True):
+                if len(word) >= BEGIN:
+                    rows[r].setdefault(word, [0, 0])[q] += 1
+            found = [[{"word": w, "times": t[0], "quoted": t[1]} for w, t in r.items()] for r in rows]
+            kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64()), ("quoted", pa.int64())]))
+            out = {"doc_id": batch.column(0), "n": pa.array(n), "words": pa.array(found, kind)}
+            return out | ({more: batch.column(2)} if more else {})
+
+        return step
+
+    own = [more] if more else []
+    schema = "doc_id long, n long, words array<struct<word: string, times: bigint, quoted: bigint>>" + (f", {more} int" if more else "")
+    stored = write_through(map_batches(docs.select("doc_id", "text", *own), make, schema), "words")
+    # a row is known by its place: ids may be null or repeated
+    stored = stored.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    each = stored.select("_file", "_row", F.explode("words").alias("w")).select("_file", "_row", "w.*")
+    values = write_through(_found(each.select("word").distinct(), terms), "hits").select("word", *[F.col(c).cast("float").cast("double").alias(c) for c in ("exact", "near")])
+    sums = [F.sum(F.col(v) * F.col(c)).alias(f"s{k}") for k, (v, c) in enumerate([("exact", "times"), ("exact", "quoted"), ("near", "times"), ("near", "quoted")])]
+    met = each.join(values, "word").groupBy("_file", "_row").agg(*sums, F.sum(F.when(F.col("exact") > 0, F.col("times"))).alias("hits"))
+    full = stored.drop("words").join(met, ["_file", "_row"], "left").fillna(0, ["s0", "s1", "s2", "s3", "hits"])
+
+    def answer():
+        def step(batch: pa.RecordBatch) -> dict:
+            s0, s1, s2, s3, hits, n = (np.asarray(batch.column(c)) for c in range(1, 7))
+            out = {"doc_id": batch.column(0)} | ({more: batch.column(7)} if more else {})
+            return _answers(out, inputs(np.array([s0, s1, s2, s3]).T, hits, n), then)
 
         return step
 
-    schema = "doc_id long" + (f", {more} int" if more else "") + (", x array<double>" if then is None else ", score double")
-    return map_batches(docs.select("doc_id", "text", *([more] if more else [])), make, schema)
+    return map_batches(full.select("doc_id", "s0", "s1", "s2", "s3", "hits", "n", *own), answer, _schema(then, more))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -203,11 +294,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = labelled(docs, labels, "toxic")
     terms = lexicon(rows)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if not terms:
+    few = terms.limit(TERMS + 1).collect()
+    if not few:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    known = _hits(sample(rows, SAMPLE), terms, None, "label").toArrow()
+    hits: Callable[..., DataFrame] = _hits if len(few) <= TERMS else _joined_hits
+    held = {r["term"]: r["weight"] for r in sorted(few)} if len(few) <= TERMS else terms
+    known = hits(sample(rows, SAMPLE), held, None, "label").toArrow()
     x = np.array(known["x"].to_pylist()).reshape(-1, Hits.WIDTH)
-    return _hits(docs, terms, regress(x, np.asarray(known["label"].combine_chunks()).astype(float)))
+    return hits(docs, held, regress(x, np.asarray(known["label"].combine_chunks()).astype(float)))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
