@@ -272,6 +272,16 @@ def test_lexicon_keeps_the_tail(spark):
     assert not {"w:often", "w:thin"} & terms
 
 
+def test_lexicon_is_the_same_in_any_order(spark):
+    rows = _counted(spark, {"idiotic": 20, "idiot": 90, "loserly": 30, "loserdom": 30, "loserish": 4}, {})
+    found = [{r.term: r.weight for r in op5_toxicity.lexicon(rows.repartition(n)).collect()} for n in (1, 7)]
+    assert found[0] == found[1]
+    # "idio" is "idiot" and goes, with no word lost; "lose" is several words, stays, and words under it are in the fuzzy trie
+    assert set(found[0]) == {"w:idiotic", "w:idiot", "p:lose", "w:loserly", "w:loserdom"}
+    read = op5_toxicity.Automaton(found[0]).read
+    assert read("idiotic")[0] > 0 and read("idotic")[1] > 0 and read("loserish")[0] > 0 and read("lsoerdom") == (0.0, 0.0) and read("loxerdom")[1] > 0
+
+
 def test_large_lexicon_gives_equal_scores(spark, odd, monkeypatch):
     """Joined to the words of the texts instead of held as a trie."""
     terms = {"w:moron": 2.0, "w:scum": 1.0, "w:scumbag": 1.5, "p:lost": 3.0, "w:lostling": 3.5, "w:quick": 2.5}

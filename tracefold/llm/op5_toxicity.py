@@ -1,7 +1,8 @@
 """Toxicity: Levenshtein automata intersected with a trie of learnt terms, and scores of the context of each hit.
 
 1. ``lexicon``: over all rows that may be learnt from, words and beginnings of words are counted in toxic and in other documents.  Terms in ``LEAST`` toxic
-   documents or more that are ``LIFT`` times as frequent there are kept, however many these are.  Of beginnings the shortest stay.
+   documents or more that are ``LIFT`` times as frequent there are kept, however many these are.  A beginning of which one kept word makes up ``WHOLE`` is that
+   word and goes, of the others the shortest stay.  Every kept word stays, so that one edit is found in words under a beginning as well.
 2. ``Automaton``: the trie of the terms and a Levenshtein automaton of one edit, intersected and made deterministic as words are read.  A whole term of five
    letters or more is also found with one edit, a beginning only as it is.  A lexicon of more than ``TERMS`` terms is not sent to the tasks: the distinct words
    of the texts are joined to it instead (``_found``: equal words, beginnings, and words that share a deletion of one letter), with the same values.
@@ -27,7 +28,7 @@ from tracefold.llm.spans import SpanValues, text_bytes, words
 from tracefold.session import write_through
 
 SAMPLE = 20_000
-LEAST, LIFT = 5, 30.0
+LEAST, LIFT, WHOLE = 5, 30.0, 0.8
 BEGIN, UPTO, FUZZY = 4, 7, 5
 BEFORE = 5
 CACHE = 500_000
@@ -66,7 +67,8 @@ def lexicon(rows: DataFrame) -> DataFrame:
     weight = F.log("lift").alias("weight")
     word = F.substring("term", 3, 1_000_000)
     words_ = kept.where("term LIKE 'w:%'")
-    heads = kept.where("term LIKE 'p:%'")
+    most = words_.select("t", F.explode(_heads(word, F.char_length(word) - 1)).alias("term")).groupBy("term").agg(F.max("t").alias("most"))
+    heads = kept.where("term LIKE 'p:%'").join(most, "term", "left").where(F.coalesce("most", F.lit(0)) < WHOLE * F.col("t"))
     shorter = heads.select(F.col("term").alias("_h"))
     covered = heads.select("term", F.explode(_heads(word, F.char_length(word) - 1)).alias("_h")).join(shorter, "_h").select("term")
     return write_through(words_.select("term", weight).unionByName(heads.join(covered, "term", "left_anti").select("term", weight)), "lexicon")
