@@ -287,7 +287,7 @@ def tie_groups(spark, sf_dir):
 @query
 def tie_order_ngrams(spark, sf_dir):
     m = _model(spark, sf_dir, "orders")
-    done = ordering.order_ties(orders_log(spark, sf_dir), m.patterns, m.max_pattern)
+    done = ordering.as_groups(ordering.ordered_events(orders_log(spark, sf_dir), m.patterns))
     return done.select(
         "case_id", "ts_ms", "n_tied", F.array_join("delivered", ",").alias("delivered"), F.array_join("ordered", ",").alias("ordered"), "freq"
     )
