@@ -1,6 +1,6 @@
 """Near-duplicates by SetSketch registers: band register values, estimate jointly by likelihood, then verify on the full sets.
 
-A document's set: distinct shingles of ``SHINGLE`` words (A-Z lower-cased; fewer words: the whole sequence), as 64-bit hashes.  Each shingle sends a
+A document's set: distinct shingles of ``size`` words (``SHINGLE`` in the query; A-Z lower-cased; fewer words: the whole sequence), as 64-bit hashes.  Each shingle sends a
 Poisson stream of arrivals to ``REGISTERS`` registers; a register keeps its first arrival on a scale of powers of ``B`` (truncated at 0 and 65535).  Registers of a
 union are maxima, and two registers agree with about the Jaccard similarity.
 
@@ -28,6 +28,8 @@ from tracefold.llm.spans import hashes, mix, text_bytes, words
 from tracefold.session import write_through
 
 SHINGLE = 4
+#: Words of the longest shingle that can be asked for.
+MOST = 16
 LIMIT = 80  # per cent
 REGISTERS, ROWS = 256, 6
 BANDS = REGISTERS // ROWS
@@ -36,11 +38,13 @@ BLOCK = 128
 SCREEN = 0.8 - 5 * (0.8 * 0.2 / REGISTERS) ** 0.5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_PLACE = np.random.default_rng(7).integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+_PLACE = np.random.default_rng(7).integers(1, 2**63, MOST, dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of each text, sorted."""
+    if not 1 <= size <= MOST:
+        raise ValueError(f"shingles have 1 to {MOST} words")
     data, offsets = text_bytes(texts)
     data = _LOWER[data]
     starts, ends, before = words(data, offsets)
@@ -103,12 +107,12 @@ def likeliest(n_u: np.ndarray, n_v: np.ndarray, greater: np.ndarray, less: np.nd
     return (low + high) / 2
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, a 128-bit identity of the set (h1, h2) and its registers."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            row, h = shingles(batch.column(1))
+            row, h = shingles(batch.column(1), size)
             n = batch.num_rows
             count = np.bincount(row, minlength=n)
             sums = np.concatenate([np.zeros((2, 1), np.uint64), np.cumsum([mix(h), mix(h ^ np.uint64(0x94D049BB133111EB))], axis=1, dtype=np.uint64)], axis=1)
@@ -142,7 +146,7 @@ def screen(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_batches(sized.select("a", "b", "n_a", "n_b", "k_a", "k_b"), make, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Pairs whose full sets reach the limit."""
     text = lambda s: docs.select(F.col("doc_id").cast("long").alias(s), F.col("text").cast("string").alias(f"t_{s}"))
 
@@ -150,7 +154,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         def step(batch: pa.RecordBatch) -> dict:
             n = batch.num_rows
             a, b, t_a, t_b = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "t_a", "t_b"))
-            row, h = shingles(pa.concat_arrays([t_a, t_b]))
+            row, h = shingles(pa.concat_arrays([t_a, t_b]), size)
             sizes = np.bincount(row, minlength=2 * n)
             order = np.lexsort((h, row % n))
             pair, h = row[order] % n, h[order]
@@ -205,14 +209,14 @@ def _groups(named: DataFrame) -> DataFrame:
     return joint.union(apart)
 
 
-def remaining(named: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def remaining(named: DataFrame, nodes: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Links between members of a bucket in different components, in blocks of at most about ``BLOCK`` members against as many others."""
     groups = write_through(_groups(named), "groups")
     needed = groups.select(F.col("node").alias("doc_id")).distinct()
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            row, h = shingles(batch.column(1))
+            row, h = shingles(batch.column(1), size)
             place = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]) * 8
             return {"node": batch.column(0), "elements": pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(place.astype(np.int32)), pa.py_buffer(h.tobytes())])}
 
@@ -231,25 +235,25 @@ def remaining(named: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         is_x, node, component = (np.asarray(rows[c].combine_chunks()) for c in ("x", "node", "component"))
         k = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
         sets = [np.frombuffer(e, np.uint64) for e in rows["elements"].to_pylist()]
-        size = np.array([len(e) for e in sets])
+        n = np.array([len(e) for e in sets])
         xs, ys, found = np.flatnonzero(is_x), np.flatnonzero(~is_x), []
         i, j = (v.ravel() for v in np.meshgrid(xs, ys, indexing="ij"))
-        open_ = (component[i] != component[j]) & (100 * np.minimum(size[i], size[j]) >= LIMIT * np.maximum(size[i], size[j]))
+        open_ = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= LIMIT * np.maximum(n[i], n[j]))
         i, j = i[open_], j[open_]
         counts = [np.concatenate([np.zeros(0, int), *[op(k[x], k[j[i == x]]).sum(axis=1) for x in xs.tolist()]]) for op in (np.greater, np.less)]
-        near = likeliest(size[i], size[j], *counts) >= SCREEN
+        near = likeliest(n[i], n[j], *counts) >= SCREEN
         for one, other in zip(i[near].tolist(), j[near].tolist(), strict=True):
             both = len(np.intersect1d(sets[one], sets[other], assume_unique=True))
-            if 100 * both >= LIMIT * (size[one] + size[other] - both):
+            if 100 * both >= LIMIT * (n[one] + n[other] - both):
                 found.append(sorted((int(node[one]), int(node[other]))))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return x.union(y).groupBy("group", "i", "j").applyInArrow(block, "a long, b long").distinct()
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    sketched = write_through(sketches(docs), "sketches")
+    sketched = write_through(sketches(docs, size), "sketches")
     keys = ["n_shingles", "h1", "h2"]
     rows = group_values(sketched.drop("sketch"), keys, {"least": F.min("doc_id")}, {"node": F.min("_least")}, ["doc_id"])
     rows = write_through(rows, "classes")
@@ -262,10 +266,10 @@ def components(docs: DataFrame) -> DataFrame:
     members = write_through(bands.join(shared, "bucket"), "members")
 
     pairs = members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = write_through(verify(screen(pairs, nodes), docs), "verified")
+    links = write_through(verify(screen(pairs, nodes), docs, size), "verified")
     known = connect(links)
     named = members.join(known, "node", "left").select("bucket", "node", "first", F.coalesce("component", "node").alias("component"))
-    more = write_through(remaining(write_through(named, "named"), nodes, docs), "verified")
+    more = write_through(remaining(write_through(named, "named"), nodes, docs, size), "verified")
     if more.limit(1).count():
         known = connect(links.union(more))
 
@@ -276,9 +280,9 @@ def components(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_rows(docs: DataFrame) -> DataFrame:
+def keep_rows(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row of each group of linked documents, with all columns."""
-    kept = components(docs).where("kept").groupBy(F.col("doc_id").alias("__d"), ).agg(F.count("*").alias("__ties"))
+    kept = components(docs, size).where("kept").groupBy(F.col("doc_id").alias("__d"), ).agg(F.count("*").alias("__ties"))
     known = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")))
     named = known.where("__d IS NOT NULL")
     # without an id each row that stays is a document of its own
