@@ -302,6 +302,28 @@ def test_large_lexicon_gives_equal_scores(spark, odd, monkeypatch):
     assert key(op5_toxicity.toxicity(*tables)) == held
 
 
+def test_sharding_query_moves_documents(spark, monkeypatch):
+    """The digests of the query are those of rows that were dealt out with all their columns."""
+    seen = []
+    shards = op3_sharding.shards
+    monkeypatch.setattr(op3_sharding, "shards", lambda docs: seen.append(docs.columns) or shards(docs))
+    got = op3_sharding.op3_sharding(spark, SMALL).collect()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert seen == [docs.columns]
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+
+
+def test_sharding_lanes_are_cut_by_bytes(spark, odd, monkeypatch):
+    lanes = []
+    row = op3_sharding.equal_parts
+    monkeypatch.setattr(op3_sharding, "equal_parts", lambda rows, parts: lanes.append(parts) or row(rows, parts))
+    monkeypatch.setattr(op3_sharding, "LANE_BYTES", 20_000)
+    out = op3_sharding.shards(odd.repartition(2), 2).collect()
+    assert max(lanes[1:]) > 1
+    for s in (0, 1):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
 def test_shingle_size_decides_what_is_near(spark):
     """200 different words, five of them replaced: 0.816 on four words, 0.774 on five."""
     base = [f"w{i}" for i in range(200)]
@@ -330,3 +352,13 @@ def test_near_dedup_of_five_is_brute_force(spark):
                     root[a] = root[b] = min(root[a], root[b])
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op1_minhash.components(spark.createDataFrame(docs, "doc_id long, text string"), 5).collect()}
     assert got == {d: (len(s), root[d]) for d, s in sets.items()} and len(set(root.values())) > 1
+
+
+def test_packing_query_packs_the_ids(spark, monkeypatch):
+    """The digests of the query are those of ids that were placed."""
+    pieces = op6_packing.pieces
+    monkeypatch.setattr(op6_packing, "pieces", lambda *a: pieces(*a).withColumn("ids_crc32", F.lit(0).cast("long")))
+    out = {(r.doc_id, r.start): r.ids_crc32 for r in op6_packing.op6_packing(spark, SMALL).collect()}
+    monkeypatch.undo()
+    held = op6_packing.pack(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    assert out == {(r.doc_id, r.start): zlib.crc32(r.ids) for r in held} and any(out.values())

@@ -13,14 +13,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import map_batches, table
 from tracefold.session import with_fields, write_through
 
-#: Rows that one task permutes at either end.
-LANE_ROWS = 200_000
+#: Rows, and about how many bytes, that one task orders at the receiving end.
+LANE_ROWS, LANE_BYTES = 200_000, 128_000_000
 
 
 def matrix_row(sizes: np.ndarray, targets: np.ndarray, source: int, seed: int) -> np.ndarray:
@@ -53,15 +53,24 @@ def equal_parts(rows: int, parts: int) -> np.ndarray:
     return np.full(parts, rows // parts, np.int64) + (np.arange(parts) < rows % parts)
 
 
+def _row_bytes(docs: DataFrame) -> Column:
+    """About the bytes of a row: those of texts, and eight for any other value."""
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8) if "<" not in kind else F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c, kind in docs.dtypes]
+    return sum(sizes, F.lit(0)).cast("long")
+
+
 def shards(docs: DataFrame, n: int = 16, seed: int = 17) -> DataFrame:
     """``docs`` with law, shard, slot (place in the shard) and grown_shard; columns of these names are replaced."""
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("law", "shard", "slot", "grown_shard")]
     stored = write_through(docs.select(*own), "shards").select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    counted = sorted((r["__file"], r["n"]) for r in stored.groupBy("__file").agg(F.count("*").alias("n")).collect())
+    found = stored.groupBy("__file").agg(F.count("*").alias("n"), F.sum(_row_bytes(stored.select(*own))).alias("bytes")).collect()
+    counted = sorted((r["__file"], r["n"]) for r in found)
     sizes = np.array([c for _, c in counted], np.int64)
     per_shard = equal_parts(int(sizes.sum()), n)
-    lanes = np.maximum(1, -(-per_shard // LANE_ROWS))
+    # rows go to lanes at random, so lanes of equal rows have about equal bytes
+    lane_rows = max(1, min(LANE_ROWS, LANE_BYTES * int(sizes.sum()) // max(1, sum(r["bytes"] for r in found))))
+    lanes = np.maximum(1, -(-per_shard // lane_rows))
     shard_of = np.repeat(np.arange(n), lanes)
     targets = np.concatenate([equal_parts(int(r), int(k)) for r, k in zip(per_shard, lanes, strict=True)])
     starts = np.concatenate([np.cumsum(np.concatenate([[0], targets[shard_of == s][:-1]])) for s in range(n)])
@@ -101,10 +110,10 @@ def shards(docs: DataFrame, n: int = 16, seed: int = 17) -> DataFrame:
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32")
+    # the digests are taken of the rows that arrive
+    return shards(table(spark, sf_dir, "documents")).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), "law", "shard", "slot", "grown_shard"
     )
-    return shards(docs)
 
 
 QUERIES = {"op3_sharding": op3_sharding}

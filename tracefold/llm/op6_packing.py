@@ -246,7 +246,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, keep_ids: bool = True) -
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), keep_ids=False)
+    # the digest is that of the ids which arrive in their sequence
+    return pack(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 QUERIES = {"op6_packing": op6_packing}
