@@ -156,8 +156,8 @@ def _sums(chunks: DataFrame, centroids: np.ndarray, dims: int) -> dict[int, tupl
 def first_centroids(kept: DataFrame, k: int = K, seed: int = SEED, scale: int = SCALE) -> np.ndarray:
     """The k vectors with the smallest hashes, in the order of these."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
-    rows = kept.orderBy(order.asc_nulls_last(), "embedding").limit(k).collect()
-    return whole_numbers(np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1), scale)
+    rows = kept.orderBy(order.asc_nulls_last(), F.transform("embedding", lambda x: F.floor(scale * x))).limit(k).collect()
+    return np.array([whole_numbers(np.array(r["embedding"]), scale) for r in rows], np.int64)
 
 
 def cluster(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = SEED, dims: int = DIMS, scale: int = SCALE) -> tuple[DataFrame, np.ndarray]:

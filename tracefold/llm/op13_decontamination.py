@@ -111,16 +111,16 @@ def candidates(docs: DataFrame, marks: dict[int, tuple[bytes, int]]) -> DataFram
         held, wide = marks[n]
         return lambda h: F.substring(F.lit(held), F.pmod(h, F.lit(wide)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
 
+    def whole(h: Column, n: int, wanted) -> Column:  # no default arguments in the lambdas: Spark would pass the index
+        return bound(grams(h, n), lambda g: F.filter(_upto(F.size(g)), lambda p: wanted(F.get(g, p))))
+
     def look(w: Column) -> Column:
         def near(h: Column) -> list[Column]:
             last, parts = F.size(h) - SPAN, []
             if SPAN in marks:
                 around = lambda p: F.sequence(F.greatest(p - (NEXT - 1), F.lit(0)), F.least(p, last))
                 parts.append(_texts(w, F.array_distinct(F.flatten(F.transform(kept_places(h, marked(SPAN)), around))), SPAN))
-            for n in sorted(set(marks) - {SPAN}):
-                places = bound(grams(h, n), lambda g, n=n: F.filter(_upto(F.size(g)), lambda p: marked(n)(F.get(g, p))))
-                parts.append(_texts(w, places, n))
-            return parts
+            return parts + [_texts(w, whole(h, n, marked(n)), n) for n in sorted(set(marks) - {SPAN})]
 
         found = bound(hashed(w), lambda h: F.concat(*near(h))) if marks else F.lit(None).cast("array<struct<start: int, size: int, window: string>>")
         return F.struct(F.size(w).cast("long").alias("n_words"), found.alias("found"))
