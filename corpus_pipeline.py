@@ -13,6 +13,10 @@ from tracefold.llm.common import table
 from tracefold.session import write_through
 
 
+#: Words of a shingle of the near-dedup.
+SHINGLE = 5
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op2_quality_rules.keep_rows(docs)
 
@@ -26,7 +30,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op1_minhash.keep_rows(docs)
+    return op1_minhash.keep_rows(docs, SHINGLE)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

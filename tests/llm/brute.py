@@ -15,9 +15,9 @@ def shingle_set(text, size=4):
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)])
 
 
-def near_components(docs):
+def near_components(docs, size=4):
     """[(doc_id, text)] -> {doc_id: (n_shingles, component)}."""
-    sets = [(d, shingle_set(t)) for d, t in docs]
+    sets = [(d, shingle_set(t, size)) for d, t in docs]
     parent = {d: d for d, _ in docs}
 
     def root(d):

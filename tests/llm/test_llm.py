@@ -250,7 +250,7 @@ def test_pipeline_is_brute_force(spark):
         assert docs.columns == columns
         kept = {r.doc_id for r in docs.select("doc_id").collect()}
         if name == "near_dedup":
-            assert kept == {c for _, c in near_components(list(before.items())).values()}
+            assert kept == {c for _, c in near_components(list(before.items()), 5).values()}
         if name == "exact_dedup":
             bare = Counter("".join((t or "").split(" ")).replace("\n", "") for t in before.values())
             assert len(kept) == len(bare)

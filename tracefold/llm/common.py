@@ -72,6 +72,14 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, kind)
 
 
+def free_mark(docs: DataFrame) -> str:
+    """A beginning that no column of ``docs`` has, for names of columns put beside its own."""
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    return mark
+
+
 def one_row_each(kept: DataFrame, ids: list[str], ties: str) -> DataFrame:
     """``kept`` with a single row of each ``ids`` where ``ties``, the known number of such rows, is over one; other rows are not moved."""
     single = kept.where(F.col(ties) <= 1)

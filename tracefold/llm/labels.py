@@ -28,5 +28,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int | None =
 
 def sample(rows: DataFrame, most: int) -> DataFrame:
     """All of ``rows`` if there are at most ``most``, else about so many, drawn by a hash of their ids."""
-    n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return share(rows, most, rows.count())
+
+
+def share(rows: DataFrame, most: int, n: int) -> DataFrame:
+    """About ``most`` of ``n`` rows: those whose 64-bit hash is under that share of its range, so any share is drawn as it is."""
+    return rows if n <= most else rows.where(F.xxhash64("doc_id") < F.lit(-(2**63) + 2**64 * most // n))

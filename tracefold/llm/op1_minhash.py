@@ -13,7 +13,8 @@ union are maxima, and two registers agree with about the Jaccard similarity.
    those not below ``SCREEN`` (five standard errors under the limit) are verified on their texts.
 
 Null and empty texts have an empty set: linked with nothing, each its own component.  A null doc_id takes its component from rows with an equal set, else stays null and
-alone.  Rows that share a doc_id are one document.  Further columns are not read by ``components`` and pass through ``keep_rows``.
+alone.  Rows that share a doc_id are one document, linked by any of its texts; rows that repeat doc_id and text are compared once (``_once``).  Further columns
+are not read by ``components`` and pass through ``keep_rows``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import group_values, map_batches, one_row_each, table
+from tracefold.llm.common import free_mark, group_values, map_batches, one_row_each, table
 from tracefold.llm.spans import hashes, mix, text_bytes, words
 from tracefold.session import write_through
 
@@ -143,12 +144,22 @@ def screen(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     # sets whose sizes differ too much can't be similar
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= LIMIT * F.greatest("n_a", "n_b"))
-    return map_batches(sized.select("a", "b", "n_a", "n_b", "k_a", "k_b"), make, "a long, b long")
+    return map_batches(sized.select("a", "b", "n_a", "n_b", "k_a", "k_b"), make, "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Pairs whose full sets reach the limit."""
-    text = lambda s: docs.select(F.col("doc_id").cast("long").alias(s), F.col("text").cast("string").alias(f"t_{s}"))
+def _once(rows: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (with doc_id) without repeats in ``keys``; only rows whose id is one of ``repeated`` are moved for that."""
+    return rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").dropDuplicates(keys))
+
+
+def _texts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """doc_id and text, each pair once."""
+    return _once(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), repeated, ["doc_id", "text"])
+
+
+def verify(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Pairs whose full sets reach the limit.  ``texts``: doc_id and text, each pair once."""
+    text = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t_{s}"))
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
@@ -209,7 +220,7 @@ def _groups(named: DataFrame) -> DataFrame:
     return joint.union(apart)
 
 
-def remaining(named: DataFrame, nodes: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def remaining(named: DataFrame, nodes: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Links between members of a bucket in different components, in blocks of at most about ``BLOCK`` members against as many others."""
     groups = write_through(_groups(named), "groups")
     needed = groups.select(F.col("node").alias("doc_id")).distinct()
@@ -222,8 +233,7 @@ def remaining(named: DataFrame, nodes: DataFrame, docs: DataFrame, size: int = S
 
         return step
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(needed, "doc_id", "left_semi")
-    sets = map_batches(texts, make, "node long, elements binary").join(nodes.select("node", "sketch"), "node")
+    sets = map_batches(texts.join(needed, "doc_id", "left_semi"), make, "node long, elements binary").join(nodes.select("node", "sketch"), "node")
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("_ys"), F.ceil(F.sum(F.col("out").cast("long")) / BLOCK).alias("_xs")).where("_xs > 0")
     full = groups.join(sizes, "group").join(sets, "node")
     mine = F.xxhash64("node")
@@ -257,8 +267,10 @@ def components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     keys = ["n_shingles", "h1", "h2"]
     rows = group_values(sketched.drop("sketch"), keys, {"least": F.min("doc_id")}, {"node": F.min("_least")}, ["doc_id"])
     rows = write_through(rows, "classes")
-    first = rows.where("n_shingles > 0 AND doc_id = node").select("node", *keys).distinct()
-    nodes = write_through(sketched.withColumnRenamed("doc_id", "node").join(first, ["node", *keys], "left_semi"), "nodes")
+    repeated = write_through(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    first = rows.where("n_shingles > 0 AND doc_id = node").select("doc_id", *keys).distinct()
+    nodes = write_through(_once(sketched.join(first, ["doc_id", *keys], "left_semi"), repeated, ["doc_id", *keys]).withColumnRenamed("doc_id", "node"), "nodes")
+    texts = _texts(docs, repeated)
 
     band = lambda i: F.xxhash64(i, F.substring("sketch", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
     bands = nodes.select("node", F.explode(F.array(*[band(F.lit(i)) for i in range(BANDS)])).alias("bucket"))
@@ -266,10 +278,10 @@ def components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     members = write_through(bands.join(shared, "bucket"), "members")
 
     pairs = members.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = write_through(verify(screen(pairs, nodes), docs, size), "verified")
+    links = write_through(verify(screen(pairs, nodes), texts, size), "verified")
     known = connect(links)
     named = members.join(known, "node", "left").select("bucket", "node", "first", F.coalesce("component", "node").alias("component"))
-    more = write_through(remaining(write_through(named, "named"), nodes, docs, size), "verified")
+    more = write_through(remaining(write_through(named, "named"), nodes, texts, size), "verified")
     if more.limit(1).count():
         known = connect(links.union(more))
 
@@ -282,11 +294,13 @@ def components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def keep_rows(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row of each group of linked documents, with all columns."""
-    kept = components(docs, size).where("kept").groupBy(F.col("doc_id").alias("__d"), ).agg(F.count("*").alias("__ties"))
-    known = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")))
-    named = known.where("__d IS NOT NULL")
+    mark = free_mark(docs)
+    node, ties = f"{mark}node", f"{mark}ties"
+    kept = components(docs, size).where("kept").groupBy(F.col("doc_id").alias(node)).agg(F.count("*").alias(ties))
+    known = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(node)))
     # without an id each row that stays is a document of its own
-    return one_row_each(named, ["__d"], "__ties").unionByName(known.where("__d IS NULL")).select(*docs.columns)
+    named, single = known.where(F.col(node).isNotNull()), known.where(F.col(node).isNull())
+    return one_row_each(named, [node], ties).unionByName(single).select(*docs.columns)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

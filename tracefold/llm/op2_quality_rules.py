@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import SPACES, table
+from tracefold.llm.common import SPACES, free_mark, table
 
 WINDOW = 5
 #: Function words of the languages, counted as whole words in lower case or with a capital.
@@ -55,8 +55,8 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), bound(pairs, covered)).otherwise(0)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct ``__f`` of counts."""
+def features(docs: DataFrame, mark: str = "__") -> DataFrame:
+    """``docs`` with a struct of counts, ``f`` behind ``mark``; no column of ``docs`` begins like that."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
@@ -68,30 +68,32 @@ def features(docs: DataFrame) -> DataFrame:
 
     capital = [w[0].upper() + w[1:] for w in STOP_WORDS]
 
-    split = docs.withColumns({"__words": words, "__lines": with_word})
-    hashed = split.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
-    hashed = hashed.withColumn("__windows", bound(F.col("__hashes"), windows))
+    own = {n: mark + n for n in ("words", "lines", "hashes", "windows")}
+    split = docs.withColumns({own["words"]: words, own["lines"]: with_word})
+    hashed = split.withColumn(own["hashes"], F.transform(own["words"], lambda w: F.xxhash64(w)))
+    hashed = hashed.withColumn(own["windows"], bound(F.col(own["hashes"]), windows))
     counts = {
-        "n_words": F.size("__words"),
-        "word_chars": F.char_length(F.array_join("__words", "")),
+        "n_words": F.size(own["words"]),
+        "word_chars": F.char_length(F.array_join(own["words"], "")),
         "n_symbols": F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")),
-        "n_lines": F.size("__lines"),
-        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
-        "n_repeat_words": _repeat_words(F.col("__windows")),
+        "n_lines": F.size(own["lines"]),
+        "n_dup_lines": F.size(own["lines"]) - F.size(F.array_distinct(own["lines"])),
+        "n_repeat_words": _repeat_words(F.col(own["windows"])),
         "n_upper": F.char_length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
-        "n_stop_words": F.size(F.filter("__words", lambda w: w.isin(STOP_WORDS + capital))),
-        "n_same_words": bound(F.col("__hashes"), lambda ws: F.size(F.filter(ws, lambda w, i: (i > 0) & (w == F.get(ws, i - 1))))),
+        "n_stop_words": F.size(F.filter(own["words"], lambda w: w.isin(STOP_WORDS + capital))),
+        "n_same_words": bound(F.col(own["hashes"]), lambda ws: F.size(F.filter(ws, lambda w, i: (i > 0) & (w == F.get(ws, i - 1))))),
     }
     # a random column beside the counts, read by the filter of keep_rows: else the optimizer puts the counts' expressions into each condition
-    return hashed.withColumns({"__f": F.struct(*[c.cast("long").alias(n) for n, c in counts.items()]), "__once": F.rand(0)}).drop("__words", "__lines", "__hashes", "__windows")
+    return hashed.withColumns({f"{mark}f": F.struct(*[c.cast("long").alias(n) for n, c in counts.items()]), f"{mark}once": F.rand(0)}).drop(*own.values())
 
 
-def judge(rules: list[tuple[str, str, float | None, float | None, int]] = RULES) -> tuple[Column, Column]:
-    """(base_failed, names of the rules that reject) over ``__f``; a ratio over nothing rejects nobody."""
+def judge(rules: list[tuple[str, str, float | None, float | None, int]] = RULES, mark: str = "__") -> tuple[Column, Column]:
+    """(base_failed, names of the rules that reject) over the counts of ``features``; a ratio over nothing rejects nobody."""
+    f = f"{mark}f"
 
     def value(name: str) -> Column:
         over, _, under = name.partition(" / ")
-        return F.try_divide(F.col(f"__f.{over}"), F.col(f"__f.{under}")) if under else F.col(f"__f.{over}").cast("double")
+        return F.try_divide(F.col(f"{f}.{over}"), F.col(f"{f}.{under}")) if under else F.col(f"{f}.{over}").cast("double")
 
     def outside(rule: tuple) -> Column:
         name, of, low, high, least = rule
@@ -100,9 +102,9 @@ def judge(rules: list[tuple[str, str, float | None, float | None, int]] = RULES)
             wrong |= value(of) < low
         if high is not None:
             wrong |= value(of) > high
-        return F.when(wrong & (F.col("__f.n_words") >= least), F.lit(name))
+        return F.when(wrong & (F.col(f"{f}.n_words") >= least), F.lit(name))
 
-    base = (F.col("__f.n_words") < 10) | (100 * F.col("__f.n_repeat_words") > 20 * F.col("__f.n_words"))
+    base = (F.col(f"{f}.n_words") < 10) | (100 * F.col(f"{f}.n_repeat_words") > 20 * F.col(f"{f}.n_words"))
     return base, F.array_compact(F.array(*[outside(r) for r in rules]))
 
 
@@ -114,8 +116,9 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame) -> DataFrame:
-    base, failed = judge()
-    return features(docs).where(~base & (F.size(failed) == 0) & (F.col("__once") >= 0)).select(*docs.columns)
+    mark = free_mark(docs)
+    base, failed = judge(mark=mark)
+    return features(docs, mark).where(~base & (F.size(failed) == 0) & (F.col(f"{mark}once") >= 0)).select(*docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

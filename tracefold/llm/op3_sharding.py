@@ -11,16 +11,23 @@ a task is run again.  Nulls, repeated rows and further columns don't matter: row
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import map_batches, table
+from tracefold.llm.common import free_mark, map_batches, table
 from tracefold.session import with_fields, write_through
 
 #: Rows, and about how many bytes, that one task orders at the receiving end.
 LANE_ROWS, LANE_BYTES = 200_000, 128_000_000
+#: numpy draws hypergeometric numbers of fewer rows than this.
+NUMPY_MOST = 1_000_000_000
+#: Stirling's series: B(2k) / (2k (2k - 1)) as fractions, and ln(2 pi) / 2.
+STIRLING = [(1, 12), (-1, 360), (1, 1260), (-1, 1680), (1, 1188), (-691, 360360), (1, 156), (-3617, 122400), (43867, 244188), (-174611, 125400)]
+HALF_LN_2PI = Decimal("0.91893853320467274178032973640561763986139747363778341281715")
 
 
 def matrix_row(sizes: np.ndarray, targets: np.ndarray, source: int, seed: int) -> np.ndarray:
@@ -30,23 +37,56 @@ def matrix_row(sizes: np.ndarray, targets: np.ndarray, source: int, seed: int) -
     while high - low > 1:
         middle = (low + high) // 2
         draw = np.random.default_rng([seed, low, high])
-        first = draw.multivariate_hypergeometric(open_, int(sums[middle] - sums[low]), method="marginals") if open_.sum() < 1_000_000_000 else _large(open_, int(sums[middle] - sums[low]), draw)
+        first = _large(open_, int(sums[middle] - sums[low]), draw)
         low, high, open_ = (low, middle, first) if source < middle else (middle, high, open_ - first)
     return open_
 
 
-def _large(left: np.ndarray, take: int, draw: np.random.Generator) -> np.ndarray:
-    """The same draw where numpy's limit of 10**9 is passed: halves of the targets, each by the normal law that the hypergeometric one is at this size."""
+def _log_factorial(n: int) -> Decimal:
+    """ln n! to about 35 digits, by Stirling's series behind a shift."""
+    up = Decimal(1)
+    while n < 64:
+        n += 1
+        up *= n
+    x = Decimal(n)
+    series = sum((Decimal(a) / b / x ** (2 * k + 1) for k, (a, b) in enumerate(STIRLING)), Decimal(0))
+    return (x + Decimal("0.5")) * x.ln() - x + HALF_LN_2PI + series - up.ln()
+
+
+def hypergeometric(good: int, bad: int, take: int, draw: np.random.Generator) -> int:
+    """Good ones among ``take`` drawn, for any size: ratio-of-uniforms rejection, with the law itself worked out to 35 digits."""
+    low, high = max(0, take - bad), min(good, take)
+    if low == high:
+        return low
+    total, mode = good + bad, (good + 1) * (take + 1) // (good + bad + 2)
+    mean = take * (good / total)
+    spread = (mean * (bad / total) * ((total - take) / max(1, total - 1)) + 0.5) ** 0.5
+    wide = 2 * (2 / np.e) ** 0.5 * spread + 3 - 2 * (3 / np.e) ** 0.5
+    with localcontext() as places:
+        places.prec = 50
+
+        def law(k: int) -> Decimal:
+            return -sum(_log_factorial(n) for n in (k, good - k, take - k, bad - take + k))
+
+        top = law(mode)
+        while True:
+            u, v = draw.random(2).tolist()
+            if u > 0:
+                k = int(np.floor(mean + 0.5 + wide * (v - 0.5) / u))
+                if low <= k <= high and 2 * Decimal(u).ln() <= law(k) - top:
+                    return k
+
+
+def _large(left: np.ndarray, take: int, draw: np.random.Generator, limit: int = NUMPY_MOST) -> np.ndarray:
+    """The same draw where numpy's limit is passed: halves of the targets, until each part is below it."""
+    total, cut = int(left.sum()), len(left) // 2
     if len(left) == 1:
         return np.array([take], np.int64)
-    total, cut = int(left.sum()), len(left) // 2
-    good = int(left[:cut].sum())
-    if total < 1_000_000_000:
+    if total < limit:
         return draw.multivariate_hypergeometric(left, take, method="marginals")
-    share = good / total
-    spread = np.sqrt(take * share * (1 - share) * (total - take) / max(1, total - 1))
-    first = int(np.clip(round(draw.normal(take * share, spread)), max(0, take - (total - good)), min(good, take)))
-    return np.concatenate([_large(left[:cut], first, draw), _large(left[cut:], take - first, draw)])
+    good = int(left[:cut].sum())
+    first = hypergeometric(good, total - good, take, draw)
+    return np.concatenate([_large(left[:cut], first, draw, limit), _large(left[cut:], take - first, draw, limit)])
 
 
 def equal_parts(rows: int, parts: int) -> np.ndarray:
@@ -60,12 +100,16 @@ def _row_bytes(docs: DataFrame) -> Column:
 
 
 def shards(docs: DataFrame, n: int = 16, seed: int = 17) -> DataFrame:
-    """``docs`` with law, shard, slot (place in the shard) and grown_shard; columns of these names are replaced."""
-    spark = docs.sparkSession
+    """``docs`` with law, shard, slot (place in the shard) and grown_shard; columns of these names are replaced.
+
+    The result depends on ``seed``, on the rows of each source file and on the order of these files, not on their names: the same partitions give the same slots.
+    """
+    spark, mark = docs.sparkSession, free_mark(docs)
     own = [c for c in docs.columns if c not in ("law", "shard", "slot", "grown_shard")]
-    stored = write_through(docs.select(*own), "shards").select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    found = stored.groupBy("__file").agg(F.count("*").alias("n"), F.sum(_row_bytes(stored.select(*own))).alias("bytes")).collect()
-    counted = sorted((r["__file"], r["n"]) for r in found)
+    file, row, lane, start, key, source = (mark + c for c in ("file", "row", "lane", "start", "key", "source"))
+    stored = write_through(docs.select(*own), "shards").select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    found = stored.groupBy(file).agg(F.count("*").alias("n"), F.sum(_row_bytes(stored.select(*own))).alias("bytes")).collect()
+    counted = sorted((r[file], r["n"]) for r in found)
     sizes = np.array([c for _, c in counted], np.int64)
     per_shard = equal_parts(int(sizes.sum()), n)
     # rows go to lanes at random, so lanes of equal rows have about equal bytes
@@ -75,36 +119,36 @@ def shards(docs: DataFrame, n: int = 16, seed: int = 17) -> DataFrame:
     targets = np.concatenate([equal_parts(int(r), int(k)) for r, k in zip(per_shard, lanes, strict=True)])
     starts = np.concatenate([np.cumsum(np.concatenate([[0], targets[shard_of == s][:-1]])) for s in range(n)])
     plan = spark.sparkContext.broadcast(({f: i for i, (f, _) in enumerate(counted)}, sizes, targets, shard_of, starts))
-    schema = with_fields(stored.schema, "__lane int, shard int, __start long, __key long")
+    schema = with_fields(stored.schema, f"`{lane}` int, shard int, `{start}` long, `{key}` long, `{source}` int")
 
     def make():
         files, sizes, targets, shard_of, starts = plan.value
-        dealt: dict[str, np.ndarray] = {}
+        now: list = [None]
 
-        def lanes_of(file: str) -> np.ndarray:
-            if file not in dealt:
-                i = files[file]
+        def permuted(name: str) -> tuple[int, np.ndarray, np.ndarray]:
+            """(number of a source, lane and key of each of its rows): worked out once for the source that is being read."""
+            if now[0] != name:
+                i = files[name]
                 order = np.random.default_rng([seed, i, 1]).permutation(int(sizes[i]))
-                dealt.clear()
-                dealt[file] = np.repeat(np.arange(len(targets)), matrix_row(sizes, targets, i, seed))[order]
-            return dealt[file]
+                now[:] = name, (i, np.repeat(np.arange(len(targets)), matrix_row(sizes, targets, i, seed))[order], np.random.default_rng([seed, i, 2]).permutation(int(sizes[i])))
+            return now[1]
 
         def step(batch: pa.RecordBatch) -> dict:
-            rows = np.asarray(batch.column(batch.schema.get_field_index("__row")))
-            names = batch.column(batch.schema.get_field_index("__file")).dictionary_encode()
-            lane, key = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+            rows = np.asarray(batch.column(batch.schema.get_field_index(row)))
+            names = batch.column(batch.schema.get_field_index(file)).dictionary_encode()
+            at, keys, sources = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
             for k, name in enumerate(names.dictionary.to_pylist()):
                 here = np.asarray(names.indices) == k
-                lane[here] = lanes_of(name)[rows[here]]
-                key[here] = np.random.default_rng([seed, files[name], 2]).permutation(int(sizes[files[name]]))[rows[here]]
+                i, lane_of, key_of = permuted(name)
+                at[here], keys[here], sources[here] = lane_of[rows[here]], key_of[rows[here]], i
             out = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            return out | {"__lane": pa.array(lane), "shard": pa.array(shard_of[lane]), "__start": pa.array(starts[lane]), "__key": pa.array(key)}
+            return out | {lane: pa.array(at), "shard": pa.array(shard_of[at]), start: pa.array(starts[at]), key: pa.array(keys), source: pa.array(sources)}
 
         return step
 
     # the second permutation: by a hash of the place, ties by the place itself
-    again = Window.partitionBy("__lane").orderBy(F.xxhash64(F.lit(seed), "__key", F.hash("__file")), "__file", "__row")
-    moved = map_batches(stored, make, schema).withColumn("slot", F.col("__start") + F.row_number().over(again) - 1)
+    again = Window.partitionBy(lane).orderBy(F.xxhash64(F.lit(seed), key, source), source, row)
+    moved = map_batches(stored, make, schema).withColumn("slot", F.col(start) + F.row_number().over(again) - 1)
     return moved.select(*own, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

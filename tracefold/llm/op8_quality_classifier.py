@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import map_batches, table
+from tracefold.llm.common import free_mark, map_batches, table
 from tracefold.llm.labels import held_out, labelled, sample
 from tracefold.llm.spans import hashes, mix, text_bytes, words
 
@@ -141,25 +141,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Net | float:
     return Net(width).fit(np.concatenate(x).astype(float), np.array([len(b) for b in x]), label)
 
 
-def score(docs: DataFrame, net: Net | float) -> DataFrame:
-    """``docs`` with a column ``__score``, from the column ``text``."""
+def score(docs: DataFrame, net: Net | float, name: str = "__score") -> DataFrame:
+    """``docs`` with a column ``name``, from the column ``text``."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             x, sizes = passages(batch.column(batch.schema.get_field_index("text")).cast(pa.string()))
             p = net.forward(x, sizes)[-1] if isinstance(net, Net) else np.full(batch.num_rows, net)
-            return {c: batch.column(i) for i, c in enumerate(batch.schema.names)} | {"__score": pa.array(p)}
+            return {c: batch.column(i) for i, c in enumerate(batch.schema.names)} | {name: pa.array(p)}
 
         return step
 
     from tracefold.session import with_fields
 
-    return map_batches(docs, make, with_fields(docs.schema, "__score double"))
+    return map_batches(docs, make, with_fields(docs.schema, f"`{name}` double"))
 
 
 def keep_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows not rejected, with all columns."""
-    return score(docs, train(docs, labels)).where(F.col("__score") >= LIMIT).select(*docs.columns)
+    name = free_mark(docs) + "score"
+    return score(docs, train(docs, labels), name).where(F.col(name) >= LIMIT).select(*docs.columns)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
