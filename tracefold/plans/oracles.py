@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tracefold.plans.fold_sql import fold_sql
+
 ORDERS = """SELECT CAST(o_custkey AS VARCHAR) case_id, o_orderstatus activity, o_orderdate event_time, o_orderkey arrival_seq FROM orders"""
 USERS = """SELECT CAST(user_id AS VARCHAR) case_id, event_type activity, ts event_time, event_id arrival_seq FROM events"""
 DAYS = """SELECT CAST(user_id AS VARCHAR) || '|' || strftime(ts, '%Y-%m-%d') case_id, event_type activity, ts event_time, event_id arrival_seq FROM events"""
@@ -276,3 +278,16 @@ SQL: dict[str, str] = {
         "SELECT *, round(total_time_ms / event_count, 9) time_per_event_ms, round(cost / case_count, 9) cost_per_trace FROM agg",
     ),
 }
+
+EVENTS = "SELECT case_id, activity, arrival_seq, cost, n_states, open_events, flag, replayed, complete_cost FROM fold"
+SQL |= {
+    "conformance_none": fold_sql(EVENTS, ORDERS, ORDERS, aware=True, adaptive=True),
+    "conformance_non_adaptive": fold_sql(EVENTS, ORDERS, ORDERS, aware=True, adaptive=False),
+    "conformance_unaware": fold_sql(EVENTS, ORDERS, ORDERS, aware=False, adaptive=False),
+    "conformance_user_days": fold_sql("SELECT case_id, activity, arrival_seq, cost, n_states, open_events, complete_cost FROM fold", DAYS, USERS, aware=True, adaptive=True),
+    "complete_cost": fold_sql("SELECT case_id, arg_max(cost, arrival_seq) AS cost, arg_max(complete_cost, arrival_seq) AS complete_cost FROM fold GROUP BY case_id", ORDERS, ORDERS, aware=True, adaptive=True),
+    "state_counts": fold_sql(
+        "SELECT count(*) AS n_cases, sum(n_states)::BIGINT AS n_states, max(open_events) AS max_open_events FROM (SELECT arg_max(n_states, arrival_seq) AS n_states, arg_max(open_events, arrival_seq) AS open_events FROM fold GROUP BY case_id)",
+        ORDERS, ORDERS, aware=True, adaptive=True,
+    ),
+}
