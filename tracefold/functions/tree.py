@@ -114,35 +114,6 @@ class Tree:
         skipped = self.level[hit] - self.level[node] - sync
         return hit, sync, skipped + len(open_events) - sync
 
-    def nearest_end(self, node: int, open_events: list, limit: int) -> tuple[int, int] | None:
-        """(cost, level) of the cheapest end below ``node`` with cost under ``limit``; ties go to the nearer end.
-
-        Cost is the insert/delete distance between the open events and the way down, one row of it per node.
-        """
-        key = ("end", node, tuple(open_events), limit)
-        if key not in self._memo:
-            self._memo[key] = self._nearest_end(node, open_events, limit)
-        return self._memo[key]
-
-    def _nearest_end(self, node: int, open_events: list, limit: int) -> tuple[int, int] | None:
-        best = None
-        n = len(open_events)
-        stack = [(c, list(range(n + 1))) for c in self.kids(node).values()]
-        while stack:
-            at, above = stack.pop()
-            row = [above[0] + 1]
-            for j, e in enumerate(open_events):
-                row.append(above[j] if e == self.symbol[at] else min(above[j + 1], row[j]) + 1)
-            # at least to_end more nodes follow; those beyond the events left are model moves
-            least = min(r + max(0, self.to_end[at] - n + j) for j, r in enumerate(row))
-            if least >= limit:
-                continue
-            if self.to_end[at] == 0 and row[n] < limit and (best is None or (row[n], self.level[at]) < best):
-                best = (row[n], self.level[at])
-                limit = min(limit, row[n] + 1)
-            stack.extend((c, row) for c in self.kids(at).values())
-        return best
-
     def label(self, symbol):
         return self.labels[symbol] if type(symbol) is int else symbol
 
@@ -160,6 +131,10 @@ class Tree:
             self._named = {k: i for i, k in enumerate(zip(self.level, self._z1, self._z2))}
         return self._named[(level, z1, z2)]
 
+    def identity(self, node: int) -> tuple[int, int, int]:
+        """(level, z1, z2) of a node, as in the node table."""
+        return self.level[node], self._z1[node], self._z2[node]
+
     def key(self, node: int):
         """Name of a node that any task understands, also with a later model that still has the prefix."""
         return [self.level[node], self._z1[node], self._z2[node]]
@@ -235,6 +210,9 @@ class TableTree(Tree):
             self._kids[node] = got
         return got
 
+    def identity(self, node: int) -> tuple[int, int, int]:
+        return self._keys[node]
+
     def key(self, node: int):
         """The labels on the way to the node: can be walked again in any task."""
         return [self.labels[s] for s in self.path(0, node)]

@@ -143,6 +143,55 @@ def check(log: DataFrame, model: Model, params: Params | list[Params] = Params()
     return out.drop("multiplier") if many else out.drop("multiplier", "setting")
 
 
+def retained(log: DataFrame, model: Model, p: Params = Params(), limit: int | None = None) -> DataFrame:
+    """The states that are kept after the last event of each case, one row each: case_id, open_events, the node's identity, base_cost, postfix (the open
+    events) and complete_cost of the case.  As many rows as states are in memory; a case is read by one task, whatever its length."""
+    shipped = model.ship(p.order == "ngrams")
+    tagged = log.select("case_id", "activity", "event_time", "arrival_seq", F.lit(0).alias("setting"))
+    if not p.adapts:
+        ready = tagged.withColumn("multiplier", F.lit(float(p.multiplier)))
+    else:
+        flagged = disorder.first_flags(tagged, p.order, limit).withColumnRenamed("flag", "used")
+        if p.order == "none" and p.min_decay >= 2:
+            ready = _multiplier(flagged, p, None, limit).drop("used")
+        else:
+            ready = _settle(flagged, p, [p], shipped, FoldPlan.of(log, limit), None, limit).select(*tagged.columns, "multiplier")
+    n = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), log.count() // EVENTS_PER_TASK)
+    ranged = ready.repartition(n, "case_id").sortWithinPartitions("case_id", "arrival_seq")
+    schema = "case_id string, open_events int, level long, z1 long, z2 long, base_cost int, postfix array<string>, complete_cost int"
+    return ranged.mapInArrow(lambda it: _retained(it, shipped, p), schema)
+
+
+def _retained(batches, shipped, p: Params):
+    model = tree.local_tree(shipped)
+    number = model.number
+    kind = pa.schema([("case_id", pa.string()), ("open_events", pa.int32()), *[(c, pa.int64()) for c in ("level", "z1", "z2")],
+                      ("base_cost", pa.int32()), ("postfix", pa.list_(pa.string())), ("complete_cost", pa.int32())])
+    now, case, out = None, None, []
+
+    def leave() -> None:
+        if now is not None:
+            ended = step.complete_cost(model, case)
+            for k, cost, _, nodes in case.gens:
+                events = [model.label(s) for s in case.tail[len(case.tail) - k :]]
+                out.extend((now, k, *model.identity(n), cost, events, ended) for n in nodes)
+
+    for batch in batches:
+        cols = (batch.column(c).to_pylist() for c in ("case_id", "activity", "multiplier"))
+        for case_id, activity, mult, ts in zip(*cols, step.millis(batch.column("event_time"))):
+            if case_id != now:
+                leave()
+                now, case = case_id, step.Case(p.multiplier)
+                model.rest()
+            step.observe(model, p, case, number.get(activity, activity), ts, mult)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), kind)], schema=kind)
+            out.clear()
+    leave()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), kind)], schema=kind)
+
+
 def _multiplier(flagged: DataFrame, p: Params, keys, limit) -> DataFrame:
     return disorder.ewma_multiplier(flagged.withColumn("flag", F.col("used")), p.alpha, p.multiplier, limit, keys).drop("flag")
 

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.operators.hotkeys import running
 from tracefold.operators.model import BY_TIME, NODE, PARENT, order_in_case, step_hash, with_prefix
+from tracefold.session import write_through
 
 
 def case_prefixes(log: DataFrame, order: list[str] = BY_TIME, limit: int | None = None) -> DataFrame:
@@ -161,33 +161,49 @@ def unknown_case_cost(log: DataFrame, nodes: DataFrame, requested: DataFrame) ->
 
 
 def best_leaf(states: DataFrame, model) -> DataFrame:
-    """Cheapest end strictly below a state: the fewest log and model moves between its open events and the rest of a trace.
+    """Cheapest end strictly below a state: the fewest log and model moves between its open events and the rest of a trace; ties go to the nearer end.
 
-    ``states``: ``state_id``, the node as (``first_trace``, ``level``), ``postfix`` ARRAY<STRING> (the open events, as many as the
-    retention at most), ``base_cost`` and ``cost_limit``.  Only results below the limit are kept.  Each state walks the tree
-    downwards and turns back where no continuation can stay below the limit, so no (state, end) pairs are formed.
+    ``states``: ``state_id``, the node by identity (``level``, ``z1``, ``z2``) or by name (``first_trace``, ``level``), ``postfix`` ARRAY<STRING> (the open events),
+    ``base_cost`` and ``cost_limit``.  Only results below the limit are kept.
+
+    The search goes down the tree one level per round, all states at once: a frontier row is a state and a node with one row of the insert/delete distance
+    (``_next_row``), and meets the children of its node in a join.  Rows that can't stay below the limit, or below the best end found so far, are left behind.  Equal
+    (node, open events, limit) are searched once.  A round is written before the next one starts.
     """
-    steps = model.rows.select(F.col("trace_id").alias("first_trace"), "level", "z1", "z2")
-    placed = states.join(steps, ["first_trace", "level"]).drop("first_trace")
-    shipped = model.ship(False)
-
-    def search(batches):
-        from tracefold.functions.tree import local_tree
-
-        tree = local_tree(shipped)
-        for batch in batches:
-            tree.rest()
-            found = [
-                tree.nearest_end(tree.find_node(level, z1, z2), [tree.number.get(a, a) for a in postfix], limit - base)
-                for level, z1, z2, postfix, base, limit in zip(
-                    *(batch.column(c).to_pylist() for c in ("level", "z1", "z2", "postfix", "base_cost", "cost_limit"))
-                )
-            ]
-            cost = [None if f is None else b + f[0] for f, b in zip(found, batch.column("base_cost").to_pylist())]
-            leaf = [None if f is None else f[1] for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("state_id"), pa.array(cost, pa.int32()), pa.array(leaf, pa.int32())], ["state_id", "cost", "leaf_level"]
-            )
-
-    kind = dict(states.dtypes)["state_id"]
-    return placed.mapInArrow(search, f"state_id {kind}, cost int, leaf_level int").filter("cost is not null")
+    if "z1" not in states.columns:
+        steps = model.rows.select(F.col("trace_id").alias("first_trace"), "level", "z1", "z2")
+        states = states.join(steps, ["first_trace", "level"])
+    states = states.select("state_id", *NODE, "postfix", "base_cost", (F.col("cost_limit") - F.col("base_cost")).alias("room"))
+    search = [*NODE, "postfix", "room"]
+    asked = write_through(states.where("room > 0").select(*search).distinct().withColumn("ask", F.monotonically_increasing_id()), "asked")
+    kids = model.nodes.select(*[F.col(p).alias(n) for p, n in zip(PARENT, NODE)], *[F.col(n).alias(f"k_{n}") for n in NODE], "symbol", "min_to_end")
+    front = asked.select("ask", *search, F.transform(F.sequence(F.lit(0), F.size("postfix")), lambda j: j).alias("above"))
+    rounds = []
+    while True:
+        step = front.join(kids, NODE).withColumn("row", _next_row(F.col("above"), F.col("postfix"), F.col("symbol")))
+        # at least min_to_end more nodes follow; those beyond the events left are model moves
+        more = F.transform("row", lambda r, j: r + F.greatest(F.lit(0), F.col("min_to_end") - F.size("postfix") + j))
+        step = step.where(F.array_min(more) < F.col("room"))
+        step = write_through(step.select("ask", *[F.col(f"k_{n}").alias(n) for n in NODE], "postfix", "room", F.col("row").alias("above"), (F.col("min_to_end") == 0).alias("end")), "front")
+        if step.isEmpty():
+            break
+        cost = F.element_at("above", -1).cast("int")
+        ends = step.where(F.col("end") & (cost < F.col("room"))).select("ask", cost.alias("cost"), F.col("level").cast("int").alias("leaf_level"))
+        rounds.append(ends)
+        # rows of later rounds come from these, so what earlier rounds found is in their room already
+        best = ends.groupBy(F.col("ask").alias("_ask")).agg(F.min("cost").alias("_best"))
+        front = step.drop("end").join(best, F.col("ask") == F.col("_ask"), "left").withColumn("room", F.least("room", F.coalesce("_best", "room"))).drop("_ask", "_best")
+    found = reduce(DataFrame.union, rounds) if rounds else asked.limit(0).select("ask", F.lit(0).alias("cost"), F.lit(0).alias("leaf_level"))
+    found = found.groupBy("ask").agg(F.min(F.struct("cost", "leaf_level")).alias("best"))
+    leaves = asked.join(found, "ask").select(*search, "best")
+    met = states.join(leaves, search)
+    return met.select("state_id", (F.col("base_cost") + F.col("best.cost")).cast("int").alias("cost"), F.col("best.leaf_level").alias("leaf_level"))
+
+
+def _next_row(above: Column, events: Column, symbol: Column) -> Column:
+    """The next row of the insert/delete distance: entry j is the cost of the first j events against the way down to a node with ``symbol``."""
+    step = F.transform(above, lambda r, j: F.when((j > 0) & (F.get(events, j - 1) == symbol), F.get(above, j - 1)).otherwise(r + 1) - j)
+    least = lambda so_far, x: F.array_append(so_far, F.coalesce(F.least(F.element_at(so_far, -1), x), x))
+    first = F.array(F.get(step, F.lit(0)))
+    runs = F.aggregate(F.slice(step, F.lit(2), F.greatest(F.size(step) - 1, F.lit(0))), first, least)  # as long as the retention
+    return F.transform(runs, lambda x, j: x + j)

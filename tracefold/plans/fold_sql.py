@@ -80,5 +80,5 @@ fold AS (SELECT s.case_id, e.activity, e.arrival_seq, s.cost, list_sum(list_tran
     ]
 
 
-def fold_sql(body: str, *args, **kwargs) -> str:
-    return "WITH RECURSIVE " + ",\n".join(p.strip() for p in fold(*args, **kwargs)) + "\n" + body
+def fold_sql(body: str, *args, more: list[str] | None = None, **kwargs) -> str:
+    return "WITH RECURSIVE " + ",\n".join(p.strip() for p in [*fold(*args, **kwargs), *(more or [])]) + "\n" + body

@@ -291,3 +291,22 @@ SQL |= {
         ORDERS, ORDERS, aware=True, adaptive=True,
     ),
 }
+
+# the states kept after the last event of a case, and the ends below them by the insert/delete distance of the open events and the way down
+LEAVES = """
+last_ AS (SELECT case_id, max(i) AS i FROM steps GROUP BY case_id),
+kept AS (SELECT s.case_id, s.tail, s.cost + d.more + 1 AS most, unnest(s.gens) AS g FROM steps s JOIN last_ USING (case_id, i) JOIN ends d USING (case_id, i) WHERE redo = ''),
+state AS (SELECT case_id, g.k AS open_events, unnest(g.nodes) AS node, g.cost AS base, right(tail, g.k) AS post, most - g.cost AS room FROM kept),
+asked AS (SELECT DISTINCT node, post, room FROM state),
+under AS (SELECT prefix[:l] AS node, prefix AS leaf FROM first_end, unnest(range(0, len(prefix))) u(l)),
+pairs AS (SELECT *, list_transform(range(1, len(post) + 1), lambda x: ascii(post[x])) AS p FROM asked JOIN under USING (node) WHERE abs(len(leaf) - len(node) - len(post)) < room),
+apart AS (SELECT node, post, room, leaf, list_reduce(
+    list_concat([list_transform(range(0, len(post) + 1), lambda x: x::INTEGER)], list_transform(range(len(node) + 1, len(leaf) + 1), lambda x: [ascii(leaf[x])])),
+    lambda r, c: list_transform(range(0, len(r)), lambda j: (j + list_min(list_transform(range(0, j + 1), lambda i: CASE WHEN i > 0 AND p[i] = c[1] THEN r[i] ELSE r[i + 1] + 1 END - i)))::INTEGER))[-1] AS d FROM pairs),
+nearest AS (SELECT node, post, room, min((d, len(leaf))) AS best FROM apart WHERE d < room GROUP BY ALL)"""
+SQL["best_leaf_search"] = fold_sql(
+    """
+SELECT case_id, open_events, (SELECT min(id) FROM mpre WHERE mpre.prefix = s.node) AS first_trace, len(node)::BIGINT AS level,
+  (base + n.best[1])::INTEGER AS cost, n.best[2]::INTEGER AS leaf_level FROM state s JOIN nearest n USING (node, post, room)""",
+    ORDERS, ORDERS, aware=True, adaptive=True, more=[LEAVES],
+)

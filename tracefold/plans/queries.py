@@ -15,7 +15,7 @@ from tracefold.functions import labels
 from tracefold.operators import alphabet as ab
 from tracefold.operators import disorder, experiments, matching, ordering
 from tracefold.operators import model as md
-from tracefold.operators.conformance import Model, check
+from tracefold.operators.conformance import Model, check, retained
 from tracefold.params import Params
 from tracefold.session import write_through
 from tracefold.sources import messages
@@ -328,16 +328,12 @@ def unknown_case_cost(spark, sf_dir):
 
 @query
 def best_leaf_search(spark, sf_dir):
-    """Cheapest end for the next (at most four) open events of each customer order that replays strictly."""
+    """For every state kept after the last event of a case: the cheapest end below it, where that costs no more than the complete alignment."""
     m = _model(spark, sf_dir, "orders")
-    log = orders_log(spark, sf_dir)
-    ahead = md.windows_ahead(md.order_in_case(log, md.BY_ARRIVAL), 5).withColumnRenamed("pos", "level")
-    at = matching.replay(matching.case_prefixes(log, md.BY_ARRIVAL), m.nodes).filter("first_trace is not null")
-    states = at.join(ahead, ["case_id", "level"]).select(
-        F.col("arrival_seq").alias("state_id"), "first_trace", "level", F.expr("slice(ahead, 2, 4)").alias("postfix"),
-        F.lit(0).alias("base_cost"), F.lit(6).alias("cost_limit"),
-    )
-    return matching.best_leaf(states, m)
+    kept = write_through(retained(orders_log(spark, sf_dir), m), "retained")
+    states = kept.select(F.struct("case_id", "open_events", *md.NODE).alias("state_id"), *md.NODE, "postfix", "base_cost", (F.col("complete_cost") + 1).alias("cost_limit"))
+    found = matching.best_leaf(states, m).select("state_id.*", "cost", "leaf_level")
+    return _named(spark, sf_dir, "orders", found).select("case_id", "open_events", "first_trace", "level", "cost", "leaf_level")
 
 
 # --- alignments ------------------------------------------------------------------------------------------------------
