@@ -22,6 +22,15 @@ def encode(log: DataFrame, dim: DataFrame) -> DataFrame:
     return log.join(dim, "activity", "left")
 
 
+def decode_moves(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``moves`` with labels in place of symbols, by joins with the alphabet: one row per key, each as long as its alignment."""
+    label = lambda side: dim.select(F.col("symbol").alias(side), F.col("activity").alias(f"{side}_label"))
+    each = df.select(key, F.posexplode("moves").alias("_at", "m")).select(key, "_at", "m.log", "m.model", "m.cost")
+    named = each.join(label("log"), "log", "left").join(label("model"), "model", "left")
+    move = F.struct("_at", F.struct(F.col("log_label").alias("log"), F.col("model_label").alias("model"), "cost").alias("m"))
+    return named.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(move)), lambda x: x["m"]).alias("moves"))
+
+
 def decode(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Adds ``label`` to a ``symbol``."""
     return df.join(dim.withColumnRenamed("activity", "label"), "symbol", "left")

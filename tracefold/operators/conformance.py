@@ -18,6 +18,7 @@ from tracefold.operators.model import BY_TIME, leaf_visits, ngrams, node_table,
 from tracefold.operators.ordering import best_pattern_per_bag
 from tracefold.params import Params
 from tracefold.session import shared_dir, with_fields, write_through
+from tracefold.sources.messages import usable
 
 MAX_BROADCAST_NODES = 1_000_000
 MAX_BROADCAST_PATTERNS = 1_000_000
@@ -111,7 +112,7 @@ class Model:
 
 def check(log: DataFrame, model: Model, params: Params | list[Params] = Params(), alignments: bool = False,
           ewma_keys: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """One row per event: the input columns plus the columns of RESULT.
+    """One row per usable event (``messages.rejected`` has the others): the input columns plus the columns of RESULT.
 
     With several parameter sets all run in the same job; ``setting`` is the index of the set.  ``alignments`` adds the moves
     of the reported alignment, and of the complete one if the case ended there: both as long as the case so far, so only
@@ -120,6 +121,7 @@ def check(log: DataFrame, model: Model, params: Params | list[Params] = Params()
     """
     many = isinstance(params, list)
     sets = params if many else [params]
+    log = usable(log)
     shipped = model.ship(any(p.order == "ngrams" for p in sets))
     plan = FoldPlan.of(log, limit)
     todo, done = [], []
@@ -147,6 +149,7 @@ def retained(log: DataFrame, model: Model, p: Params = Params(), limit: int | No
     """The states that are kept after the last event of each case, one row each: case_id, open_events, the node's identity, base_cost, postfix (the open
     events) and complete_cost of the case.  As many rows as states are in memory; a case is read by one task, whatever its length."""
     shipped = model.ship(p.order == "ngrams")
+    log = usable(log)
     tagged = log.select("case_id", "activity", "event_time", "arrival_seq", F.lit(0).alias("setting"))
     if not p.adapts:
         ready = tagged.withColumn("multiplier", F.lit(float(p.multiplier)))

@@ -120,7 +120,7 @@ def _apply(batches, part: list[str], alpha: float, floor: float, start: dict):
 def replay_size(log: DataFrame, limit: int | None = None) -> DataFrame:
     """Add ``replay``: how many events of the case arrived earlier and have a higher event time (nothing forgotten).
 
-    Counted with an ordered list per case, in delivery order.  A cut case is counted in three exact parts: pairs in the
+    Counted by merging levels within a case.  A cut case is counted in three exact parts: pairs in the
     same range of arrival, pairs in the same range of event time, and all other pairs from a table of range counts.
     """
     log = log.withColumn("_ts", F.unix_millis("event_time"))
@@ -155,25 +155,23 @@ def _cells_before(cells: DataFrame) -> DataFrame:
 
 
 def _higher_before(df: DataFrame, part: list[str], value: str, name: str) -> DataFrame:
-    """Add the number of earlier rows (by arrival_seq) of the part with a higher value."""
+    """Add the number of earlier rows (by arrival_seq) of the part with a higher value.
+
+    As in a merge sort, one level per bit of the place in the part: of two rows there is exactly one level at which they are in one run, the earlier one in its
+    left half.  So a row adds up, over the levels where it is in a right half, the higher values of the left half.  All levels share one exchange by ``part``.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartition(n, *part).sortWithinPartitions(*part, "arrival_seq")
-
-    def count(batches):
-        from bisect import bisect_right, insort
-
-        now, held = None, []
-        for batch in batches:
-            out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in [*part, value])):
-                key, v = row[:-1], row[-1]
-                if key != now:
-                    now, held = key, []
-                out.append(len(held) - bisect_right(held, v))
-                insort(held, v)
-            yield batch.append_column(name, pa.array(out, pa.int64()))
-
-    return ranged.mapInArrow(count, with_fields(df.schema, f"{name} bigint"))
+    spread = df.repartition(n, *part)
+    spread = spread.withColumn("_place", F.row_number().over(Window.partitionBy(*part).orderBy("arrival_seq")) - 1)
+    longest = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    total = F.lit(0).cast("bigint")
+    out = spread.withColumn("_less", -F.col(value).cast("bigint"))
+    for level in range(max(0, longest - 1).bit_length()):
+        left = F.shiftright("_place", level) % 2 == 0
+        higher = Window.partitionBy(*part, F.shiftright("_place", level + 1)).orderBy("_less").rangeBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn(f"_h{level}", F.when(~left, F.count(F.when(left, 1)).over(higher)).otherwise(0))
+        total = total + F.col(f"_h{level}")
+    return out.withColumn(name, total).select(*df.columns, name)
 
 
 def _draw(x: Column, salt: int) -> Column:

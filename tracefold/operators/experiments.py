@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.functions.labels import last_segment, run_columns
@@ -69,8 +69,10 @@ def read_results(spark: SparkSession, path: str, kind: str = "orig") -> DataFram
 
 
 def numbered(results: DataFrame, order: str = "line") -> DataFrame:
-    """Row number ``rn`` within each result file."""
-    return results.withColumn("rn", F.row_number().over(Window.partitionBy("filename").orderBy(order)))
+    """Row number ``rn`` within each result file, in the order of ``order``, a struct of two numbers; a file of any length is cut where it is long."""
+    places = {f"_{i}": F.col(f"{order}.{n}") for i, n in enumerate(results.schema[order].dataType.names)}
+    rows = position(results.withColumns(places), ["filename"], list(places), "rn")
+    return rows.withColumn("rn", F.col("rn").cast("int")).drop(*places)
 
 
 def per_case(results: DataFrame, settings: list[str], order: str = "line") -> DataFrame:
@@ -82,8 +84,8 @@ def per_case(results: DataFrame, settings: list[str], order: str = "line") -> Da
 
 def last_cost(results: DataFrame, order: str = "line") -> DataFrame:
     """Each result row with the last cost of its file and case instead of its own."""
-    frame = Window.partitionBy("filename", "case_id").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return results.withColumn("last_cost", F.last("cost").over(frame)).drop("cost").withColumnRenamed("last_cost", "cost")
+    last = results.groupBy("filename", "case_id").agg(F.max_by("cost", order).alias("cost"))
+    return results.drop("cost").join(last, ["filename", "case_id"])
 
 
 def per_setting(cases: DataFrame, settings: list[str]) -> DataFrame:

@@ -88,8 +88,9 @@ RESULTS = """res AS (SELECT CAST(o_custkey AS VARCHAR) case_id, o_orderkey, CAST
   CAST(floor(o_totalprice % 7) AS BIGINT) time_ms, epoch_ms(o_orderdate) t,
   (['ngrams','greedy','adaptive','non_adaptive','non_aware'])[o_custkey % 5 + 1] algo, (['00','01','05','10','20','50','99'])[o_custkey % 7 + 1] swap FROM orders),
 named AS (SELECT *, 'output/orig/bpi2012__algo_' || algo || '__swap_' || swap || '_3_0.3_20240101_120000' filename FROM res),
-lasts AS (SELECT *, last_value(cost) OVER (PARTITION BY filename, case_id ORDER BY t, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) last_cost FROM named),
-cases AS (SELECT case_id, filename, 'bpi2012' dataset, algo, swap, CAST(sum(time_ms) AS BIGINT) total_time_ms, max(last_cost) AS cost, count(*) event_count FROM lasts GROUP BY ALL)"""
+cases AS (SELECT case_id, filename, 'bpi2012' dataset, algo, swap, CAST(sum(time_ms) AS BIGINT) total_time_ms, arg_max(cost, (t, o_orderkey)) AS cost, count(*) event_count
+  FROM named GROUP BY case_id, filename, algo, swap),
+lasts AS (SELECT n.* EXCLUDE (cost), c.cost AS last_cost FROM named n JOIN cases c USING (filename, case_id))"""
 
 
 def _with(*parts: str) -> str:
@@ -310,3 +311,15 @@ SELECT case_id, open_events, (SELECT min(id) FROM mpre WHERE mpre.prefix = s.nod
   (base + n.best[1])::INTEGER AS cost, n.best[2]::INTEGER AS leaf_level FROM state s JOIN nearest n USING (node, post, room)""",
     ORDERS, ORDERS, aware=True, adaptive=True, more=[LEAVES],
 )
+SQL["state_order"] = fold_sql(
+    """
+SELECT case_id, open_events, (SELECT min(id) FROM mpre WHERE mpre.prefix = s.node) AS first_trace, len(node)::BIGINT AS level, base AS cost,
+  (rank() OVER (PARTITION BY case_id ORDER BY base))::INTEGER AS cost_rank FROM state s""",
+    ORDERS, ORDERS, aware=True, adaptive=True, more=[LEAVES.split("asked AS")[0].rstrip().rstrip(",")],
+)
+SQL["message_rejects"] = _with(
+    _log(USERS),
+    """SELECT reason, count(*) AS n_messages, min(arrival_seq) AS first_seq, max(arrival_seq) AS last_seq
+  FROM (SELECT arrival_seq, CASE WHEN arrival_seq % 50 IN (1, 2, 3) THEN 'no time' WHEN arrival_seq % 50 = 4 THEN 'no case' WHEN arrival_seq % 50 = 5 THEN 'no activity' END AS reason FROM log)
+  WHERE reason IS NOT NULL GROUP BY reason""",
+)

@@ -86,6 +86,18 @@ def parse_messages(spark, sf_dir):
     return messages.parse_messages(sent).select("case_id", "activity", F.unix_millis("event_time").alias("event_ms"), "arrival_seq")
 
 
+@query
+def message_rejects(spark, sf_dir):
+    """What a checker would refuse of a stream in which some messages are damaged, by reason."""
+    sent = messages.as_messages(user_log(spark, sf_dir))
+    damage = lambda n, new, old: F.when(F.col("arrival_seq") % 50 == n, new).otherwise(F.col(old))
+    sent = sent.withColumn("payload", damage(1, F.regexp_replace("payload", r"\d{4}-\d\d-\d\d", "yesterday"), "payload")).withColumn("payload", damage(2, F.lit("{no json"), "payload"))
+    sent = sent.withColumn("payload", damage(3, F.lit(None), "payload")).withColumn("topic", damage(4, F.lit("short"), "topic"))
+    sent = sent.withColumn("topic", damage(5, F.concat_ws("/", F.lit("stream"), F.element_at(F.split("topic", "/"), 2), F.lit("")), "topic"))
+    bad = messages.rejected(messages.parse_messages(sent))
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n_messages"), F.min("arrival_seq").alias("first_seq"), F.max("arrival_seq").alias("last_seq"))
+
+
 @query
 def alphabet_encode(spark, sf_dir):
     log = user_day_log(spark, sf_dir)
@@ -374,10 +386,8 @@ def alignment_decode(spark, sf_dir):
     """Moves of encoded order states, decoded with the alphabet."""
     log = orders_log(spark, sf_dir)
     dim = ab.alphabet(log).select("activity", F.col("symbol").cast("string").alias("symbol"))
-    names = dim.agg(F.map_from_entries(F.collect_list(F.struct("symbol", "activity"))).alias("names"))  # as large as the alphabet
     coded = ab.encode(log, dim).select("arrival_seq", F.array(al.move(F.col("symbol"), F.col("symbol")), al.move(F.col("symbol"), F.lit(None))).alias("moves"))
-    out = coded.crossJoin(F.broadcast(names))
-    return out.select("arrival_seq", al.text(al.decode(F.col("moves"), F.col("names"))).alias("text"))
+    return ab.decode_moves(coded, dim, "arrival_seq").select("arrival_seq", al.text(F.col("moves")).alias("text"))
 
 
 # --- disorder --------------------------------------------------------------------------------------------------------
@@ -505,6 +515,15 @@ def state_counts(spark, sf_dir):
     )
 
 
+@query
+def state_order(spark, sf_dir):
+    """The states kept after the last event of each case, in the order of their cost."""
+    kept = retained(orders_log(spark, sf_dir), _model(spark, sf_dir, "orders"))
+    rank = F.rank().over(Window.partitionBy("case_id").orderBy("base_cost"))  # as many rows as states of one case
+    named = _named(spark, sf_dir, "orders", kept.withColumn("cost_rank", rank))
+    return named.select("case_id", "open_events", "first_trace", "level", F.col("base_cost").alias("cost"), "cost_rank")
+
+
 @query
 def prefix_alignments(spark, sf_dir):
     """The reported alignment of every event of the short user-day cases."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 from pyspark.sql.types import StructType
@@ -33,16 +34,19 @@ def build_session(app: str = "tracefold", cores: str = "*", shuffle: int = 8, me
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach; the cluster names it in ``spark.checkpoint.dir``.
 
-    Only when it is unset and the master is local, a temporary folder is used.
+    Only when it is unset and the master is local, a temporary folder is used: one per process.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    set_dir = tempfile.mkdtemp(prefix="tracefold-")
-    spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir
+    return _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="tracefold-")
 
 
 def write_through(df, name: str):

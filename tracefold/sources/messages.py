@@ -26,6 +26,25 @@ def parse_messages(df: DataFrame) -> DataFrame:
     ).filter(~F.col("case_id").eqNullSafe(CONTROL_CASE))
 
 
+def _fault() -> Column:
+    """Why an event can't be taken; null for one that can."""
+    empty = lambda c: F.col(c).isNull() | (F.length(c) == 0)
+    return (
+        F.when(empty("case_id"), "no case").when(empty("activity"), "no activity").when(F.col("event_time").isNull(), "no time")
+        .when(F.col("arrival_seq").isNull(), "no place in the delivery order")
+    )
+
+
+def usable(log: DataFrame) -> DataFrame:
+    """The events that a checker takes, of a batch or a stream: those with case, activity, time and place in the delivery order."""
+    return log.filter(_fault().isNull())
+
+
+def rejected(log: DataFrame) -> DataFrame:
+    """The other events, with the first ``reason``: for a sink of their own beside the results."""
+    return log.withColumn("reason", _fault()).filter("reason IS NOT NULL")
+
+
 def as_messages(log: DataFrame, base: str = "stream") -> DataFrame:
     """The messages a producer would publish for a log."""
     event = F.struct(F.col("activity").alias("concept:name"), time_text(F.col("event_time")).alias("time:timestamp"))

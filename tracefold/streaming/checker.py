@@ -19,6 +19,7 @@ from tracefold.functions import step, tree
 from tracefold.operators.conformance import Model
 from tracefold.operators.hot_fold import RESULT, RESULT_DDL
 from tracefold.params import Params
+from tracefold.sources.messages import usable
 
 # fixed once: a change makes written checkpoints unreadable
 STATE = StructType([StructField("state", StringType()), StructField("n_states", IntegerType()), StructField("open_events", IntegerType())])
@@ -53,9 +54,12 @@ class CaseProcessor(StatefulProcessor):
 
 
 def check_stream(log: DataFrame, model: Model, params: Params = Params(), ttl_ms: int | None = None) -> DataFrame:
-    """One row per event, appended.  ``ttl_ms`` forgets cases that have not been seen for that long."""
+    """One row per usable event, appended.  ``ttl_ms`` forgets cases that have not been seen for that long.
+
+    ``messages.rejected(log)`` has the events that are not usable.
+    """
     published = model.publish(params.order == "ngrams")
-    keyed = log.withColumn("ts_ms", F.unix_millis("event_time")).groupBy("case_id")
+    keyed = usable(log).withColumn("ts_ms", F.unix_millis("event_time")).groupBy("case_id")
     return keyed.transformWithStateInPandas(
         statefulProcessor=CaseProcessor(published, params, ttl_ms),
         outputStructType=StructType.fromDDL(OUTPUT),
