@@ -8,7 +8,8 @@
 4. ``sequences`` brings the ids of a sequence together, ``ROOM`` ids at most.
 
 Null texts count as empty: the end id alone.  Rows with a null doc_id and repeated rows are packed as documents of their own.  Further columns are not read.
-Ids are cut into pieces in the task that reads a text; encodings of words seen before are kept there, at most ``CACHE`` of them.
+Ids are cut into pieces in the task that reads a text; a worker process keeps the encodings of words it has seen, at most ``CACHE`` of them, and which tokens may
+follow each other, for all its tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ from tracefold.session import with_fields, write_through
 
 ROOM = 2048
 END_ID = 1
-#: Words whose ids a task keeps, and buckets into which the pieces of one length are dealt for ranking.
-CACHE = 1_000_000
+#: Words whose ids a worker process keeps, and buckets into which the pieces of one length are dealt for ranking.
+CACHE = 600_000
 BUCKETS = 1024
 #: Bytes of text encoded at once; words not seen before take many times their size meanwhile.
 STEP = 500_000
@@ -132,11 +134,17 @@ class WordIds:
         return values, place[before]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str | None) -> WordIds:
+    """The encoder of this worker process."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids_crc32 and, if asked for, ids (four bytes each) of all pieces."""
 
     def make():
-        encode = WordIds(tokenizer)
+        encode = word_ids(tokenizer)
 
         def step(batch: pa.RecordBatch) -> dict:
             values, place = encode.ids(batch.column(1))
