@@ -117,8 +117,8 @@ def test_milliseconds_decide_ties(fixture_model, make_log):
 
 def test_large_ties_stay_as_delivered(make_log):
     log = make_log([("x", "AB"[i % 2], 1.0, i) for i in range(12)])
-    done = ordering.order_ties(log, md.ngrams(log, 3), 3).collect()
-    assert [(r["n_tied"], r["ordered"]) for r in done] == [(12, None)]
+    done = ordering.as_groups(ordering.ordered_events(log, md.ngrams(log, 3))).collect()
+    assert [(r["n_tied"], r["ordered"]) for r in done] == [(12, [*"AB" * 6])]
 
 
 def test_grid_runs_in_one_job(fixture_model, fixture_log):

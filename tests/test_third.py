@@ -115,3 +115,13 @@ def test_shared_folder_without_a_setting(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_dir(Cluster())
+
+
+def test_bags_are_compared(make_log, fixture_model, spark):
+    """A group whose sums agree with a path, but not its activities."""
+    zero = F.lit(0).cast("bigint")
+    sums = spark.createDataFrame([(1, a) for a in "BAA"], "group_id int, activity string").select("group_id", *matching.bag_lanes("activity"))
+    groups = sums.groupBy("group_id").agg(F.count("*").alias("n"), F.sum("b1").alias("g1"), F.sum("b2").alias("g2")).withColumns({"level": zero, "z1": zero, "z2": zero})
+    for members, found in (("BAA", 1), ("BBA", 0), ("XYZ", 0), ("AAA", 0)):
+        events = spark.createDataFrame([(1, a) for a in members], "group_id int, activity string")
+        assert matching.match_any_order(groups, fixture_model.rows, fixture_model.nodes, events=events).count() == found

@@ -51,6 +51,15 @@ def run_grid(logs: dict[str, DataFrame], model: Model, algorithms: dict[str, Par
     return out.withColumn("algo", label).withColumn("dataset", F.lit(dataset)).drop("setting")
 
 
+def write_results(rows: DataFrame, path: str) -> None:
+    """Result files without header below ``path``, a folder per ``run``: case, activity, cost, time and emission of every event.
+
+    A case lies in one file, its lines in the order of ``arrival_seq``; files are written by every task.
+    """
+    ordered = rows.repartition("run", "case_id").sortWithinPartitions("run", "case_id", "arrival_seq")
+    ordered.select("run", "case_id", "activity", "cost", "time_ms", "emitted_at_ms").write.partitionBy("run").csv(path)
+
+
 def read_results(spark: SparkSession, path: str, kind: str = "orig") -> DataFrame:
     """Headerless result files below a folder, with the settings in their names and the order of their lines.
 
@@ -60,11 +69,11 @@ def read_results(spark: SparkSession, path: str, kind: str = "orig") -> DataFram
     raw = (
         spark.read.schema("case_id string, activity string, cost int, time_ms bigint, emitted_at_ms bigint")
         .option("recursiveFileLookup", "true")
-        .csv(path)
+        .csv(path)  # also of folders named run=...
         .select("*", F.col("_metadata.file_path").alias("filename"), F.col("_metadata.file_block_start").alias("_block"))
     )
     raw = raw.withColumn("line", F.struct("_block", F.monotonically_increasing_id().alias("n")))
-    name = last_segment(F.regexp_replace("filename", r"/(part-[^/]*)$", ""))
+    name = F.regexp_replace(last_segment(F.regexp_replace("filename", r"/(part-[^/]*)$", "")), "^run=", "")
     return raw.drop("_block").withColumns(run_columns(name, kind))
 
 

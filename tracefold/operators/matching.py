@@ -117,12 +117,13 @@ def node_bags(rows: DataFrame, limit: int | None = None) -> DataFrame:
     return running(rows, ["case_id"], ["level"], {"s1": ("sum", F.col("b1")), "s2": ("sum", F.col("b2"))}, limit)
 
 
-def match_any_order(groups: DataFrame, rows: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
+def match_any_order(groups: DataFrame, rows: DataFrame, nodes: DataFrame, limit: int | None = None, events: DataFrame | None = None) -> DataFrame:
     """Nodes that some permutation of a group of activities reaches from a start node.
 
     ``groups``: ``group_id``, the start node's (level, z1, z2) - (0, 0, 0) is the root -, the group's size ``n`` and bag sums
     ``g1, g2``.  The bag of the path from the start to a node is the difference of two prefix sums, so permutations are
-    never enumerated: one join on (depth, bag sum), one on the trace to see that the start is above the node.
+    never enumerated: one join on (depth, bag sum), one on the trace to see that the start is above the node.  Sums of different bags may agree by chance: with
+    ``events`` (``group_id``, ``activity``, one row per member) the two bags are compared, count by count (``_same_bag``).
     """
     at_nodes = nodes.select(*NODE, "first_trace").join(
         node_bags(rows, limit).select(*NODE, F.col("trace_id").alias("first_trace"), "s1", "s2"), [*NODE, "first_trace"]
@@ -141,7 +142,19 @@ def match_any_order(groups: DataFrame, rows: DataFrame, nodes: DataFrame, limit:
     )
     from_root = hits.filter("s_level = 0")
     inner = hits.filter("s_level > 0").join(above, ["first_trace", "s_level", "s_z1", "s_z2"], "left_semi")
-    return from_root.unionByName(inner).select("group_id", "s_level", F.col("level").alias("hit_level"), "first_trace", "hit_z1", "hit_z2")
+    out = from_root.unionByName(inner).select("group_id", "s_level", F.col("level").alias("hit_level"), "first_trace", "hit_z1", "hit_z2")
+    return out if events is None else _same_bag(out, rows, events)
+
+
+def _same_bag(hits: DataFrame, rows: DataFrame, events: DataFrame) -> DataFrame:
+    """The hits whose path below the start has each activity as often as the group has."""
+    key = ["group_id", "s_level", "hit_level", "first_trace"]
+    path = hits.select(*key).join(rows.select(F.col("trace_id").alias("first_trace"), "level", "activity"), "first_trace")
+    path = path.where((F.col("level") > F.col("s_level")) & (F.col("level") <= F.col("hit_level"))).groupBy(*key, "activity").agg(F.count(F.lit(1)).alias("_on_path"))
+    own = events.groupBy("group_id", "activity").agg(F.count(F.lit(1)).alias("_in_group"))
+    agree = path.join(own, ["group_id", "activity"]).where("_on_path = _in_group").groupBy(*key).agg(F.sum("_on_path").alias("_n"))
+    # path and group have equally many events
+    return hits.join(agree.where(F.col("_n") == F.col("hit_level") - F.col("s_level")).select(*key), key, "left_semi")
 
 
 def known_cases(log: DataFrame, requested: DataFrame) -> DataFrame:

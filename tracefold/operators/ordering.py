@@ -28,22 +28,6 @@ def best_pattern_per_bag(patterns: DataFrame) -> DataFrame:
     return ranked.select("bag", F.col("top.pattern").alias("pattern"), (-F.col("top.rank")).alias("freq"))
 
 
-def order_ties(log: DataFrame, patterns: DataFrame, max_pattern: int) -> DataFrame:
-    """Tie groups in the order of the most frequent matching pattern, else in delivery order.
-
-    A pattern has at most ``max_pattern`` events, so larger groups cannot match one: they are known to stay in delivery
-    order and are returned with null ``delivered`` and ``ordered``, never collected.  ``ordered_events`` has the events of all groups.
-    """
-    small = tied_events(log).filter(F.col("n_tied") <= max_pattern).groupBy(*TIE).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("arrival_seq", "activity"))), lambda s: s["activity"]).alias("delivered")
-    )
-    best = best_pattern_per_bag(patterns).withColumnRenamed("pattern", "best")
-    done = small.withColumn("bag", F.array_sort("delivered")).join(best, "bag", "left")
-    done = done.select(*TIE, F.size("delivered").cast("bigint").alias("n_tied"), "delivered", F.coalesce("best", "delivered").alias("ordered"), "freq")
-    large = tie_sizes(log).filter(F.col("n_tied") > max_pattern)
-    return done.unionByName(large, allowMissingColumns=True)
-
-
 def ordered_events(log: DataFrame, patterns: DataFrame) -> DataFrame:
     """One row per tied event: its place in the group as delivered and as ordered (1-based), and ``freq`` of the pattern if one matches.
 

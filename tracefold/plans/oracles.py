@@ -323,3 +323,7 @@ SQL["message_rejects"] = _with(
   FROM (SELECT arrival_seq, CASE WHEN arrival_seq % 50 IN (1, 2, 3) THEN 'no time' WHEN arrival_seq % 50 = 4 THEN 'no case' WHEN arrival_seq % 50 = 5 THEN 'no activity' END AS reason FROM log)
   WHERE reason IS NOT NULL GROUP BY reason""",
 )
+_LAST = "SELECT case_id, arg_max(cost, arrival_seq) AS cost, count(*) AS n FROM fold GROUP BY case_id"
+SQL["experiment_files"] = "SELECT 'orders' AS dataset, algo, '00' AS swap, sum(cost)::BIGINT AS cost, sum(n)::BIGINT AS event_count, count(*) AS case_count, round(sum(cost) / count(*), 9) AS cost_per_trace FROM (" + " UNION ALL ".join(
+    f"SELECT '{algo}' AS algo, * FROM ({fold_sql(_LAST, ORDERS, ORDERS, aware=aware, adaptive=adaptive)})" for algo, aware, adaptive in (("adaptive", True, True), ("non_adaptive", True, False), ("non_aware", False, False))
+) + ") GROUP BY algo"

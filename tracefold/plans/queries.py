@@ -5,6 +5,7 @@ Nodes are reported as (first_trace, level): the first trace through the node and
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from tracefold.operators import disorder, experiments, matching, ordering
 from tracefold.operators import model as md
 from tracefold.operators.conformance import Model, check, retained
 from tracefold.params import Params
-from tracefold.session import write_through
+from tracefold.session import shared_dir, write_through
 from tracefold.sources import messages
 from tracefold.sources.tables import lineitem_counts, orders_log, table, user_day_log, user_log
 
@@ -321,7 +322,8 @@ def match_any_order(spark, sf_dir):
     inner = groups.select(F.struct("case_id", "ts_ms").alias("group_id"), "n", "g1", "g2",
                           (F.col("at.level") - 1).alias("level"), F.col("at.p_z1").alias("z1"), F.col("at.p_z2").alias("z2"))
     root = inner.withColumns({"level": zero, "z1": zero, "z2": zero})
-    hits = matching.match_any_order(root.unionByName(inner.filter("level > 0")), rows, nodes)
+    events = tied.select(F.struct("case_id", "ts_ms").alias("group_id"), "activity")
+    hits = matching.match_any_order(root.unionByName(inner.filter("level > 0")), rows, nodes, events=events)
     return hits.select("group_id.case_id", "group_id.ts_ms", "s_level", "hit_level", "first_trace")
 
 
@@ -626,3 +628,18 @@ def experiment_orders(spark, sf_dir):
     rows = runs.select("*", F.concat_ws("__", "dataset", "algo", "swap").alias("filename"), F.lit(0).cast("bigint").alias("time_ms"))
     cases = experiments.per_case(rows, SETTINGS, "arrival_seq")
     return experiments.per_setting(cases, SETTINGS).select(*SETTINGS, "cost", "event_count", "case_count", "cost_per_trace")
+
+
+@query
+def experiment_files(spark, sf_dir):
+    """Runs of three algorithms written as result files, read back with the settings in their names, and summarised."""
+    algorithms = {n: experiments.ALGORITHMS[n] for n in ("adaptive", "non_adaptive", "non_aware")}
+    runs = experiments.run_grid({"00": orders_log(spark, sf_dir)}, _model(spark, sf_dir, "orders"), algorithms, "orders")
+    rows = runs.select(
+        F.concat_ws("", F.col("dataset"), F.lit("__algo_"), "algo", F.lit("__swap_"), "swap", F.lit("_3_0.3_0")).alias("run"), "case_id", "activity", "cost",
+        F.lit(0).cast("bigint").alias("time_ms"), F.unix_millis("event_time").alias("emitted_at_ms"), "arrival_seq",
+    )
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    experiments.write_results(rows, path)
+    cases = experiments.per_case(experiments.read_results(spark, path), SETTINGS)
+    return experiments.per_setting(cases, SETTINGS).select(*SETTINGS, "cost", "event_count", "case_count", F.round("cost_per_trace", 9).alias("cost_per_trace"))
