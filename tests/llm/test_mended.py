@@ -107,3 +107,27 @@ def test_shards_are_reproducible_and_uniform(spark):
 def test_small_tables_keep_their_rows(spark, n):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(n)], "doc_id long, text string")
     assert op10_exact_dedup.keep_rows(docs).count() == op1_minhash.keep_rows(docs).count() == n
+
+
+def test_words_next_to_punctuation():
+    import pyarrow as pa
+
+    from tracefold.llm import op5_toxicity as op5
+
+    hits = op5.Hits({"w:moron": 2.0})
+    texts = ["you moron,you fool", "moron-like", "you...moron!you", "a\xa0moron here", "«moron»", "m.o.r.o.n", "(mroron)/x", "a 5\" pipe and then " + "filler " * 40 + "you moron", "clean words only", ""]
+    x = hits.features(pa.array(texts))
+    assert (x[[0, 1, 2, 3, 5, 7], 0] > 0).all() and (x[[0, 1, 2, 3, 5, 7], 1] == 0).all()  # exact and plain
+    assert x[4, 1] > 0 and x[4, 0] == 0 and x[6, 2] > 0 and not x[[8, 9], :6].any()
+    assert op5.terms_of("Moron,you".encode()) == ["moron", "you"] and op5.terms_of(b"42") == []
+
+
+@pytest.mark.parametrize("pair", ['""', "“”", "„“", "«»"])
+def test_quotes_are_near_each_other(pair):
+    import pyarrow as pa
+
+    from tracefold.llm import op5_toxicity as op5
+
+    a, b = pair
+    quoted = op5.Hits({"w:moron": 2.0}).features(pa.array([f"a sign {a}big moron{b} there", f"{a}x{b} such a moron {a}y{b}", f"{a}open " + "filler " * 50 + f"moron and {a}z{b}", f"sign:{a}moron{b}"]))
+    assert (quoted[:, 0] > 0).tolist() == [False, True, True, False] and (quoted[:, 1] > 0).tolist() == [True, False, False, True]

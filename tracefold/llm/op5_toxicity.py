@@ -6,7 +6,8 @@
 2. ``Automaton``: the trie of the terms and a Levenshtein automaton of one edit, intersected and made deterministic as words are read.  A whole term of five
    letters or more is also found with one edit, a beginning only as it is.  A lexicon of more than ``TERMS`` terms is not sent to the tasks: the distinct words
    of the texts are joined to it instead (``_found``: equal words, beginnings, and words that share a deletion of one letter), with the same values.
-3. A hit counts as quoted inside double quotation marks or shortly after a word of reporting; plain, quoted, exact and misspelt hits are separate inputs of a
+   Texts are split into words as the lexicon is, at everything that is no letter.
+3. A hit counts as quoted between two quotation marks (" “ ” „ « ») at most ``QUOTE`` words apart, or shortly after a word of reporting; plain, quoted, exact and misspelt hits are separate inputs of a
    logistic regression, fitted on at most ``SAMPLE`` labelled rows.
 
 Null and empty texts have no hits and get the lowest score.  Rows with a null doc_id are scored and not held out; repeated rows get equal scores.  Without labels of both
@@ -30,7 +31,7 @@ from tracefold.session import write_through
 SAMPLE = 20_000
 LEAST, LIFT, WHOLE = 5, 30.0, 0.8
 BEGIN, UPTO, FUZZY = 4, 7, 5
-BEFORE = 5
+BEFORE, QUOTE = 5, 30
 CACHE = 500_000
 #: Terms that tasks hold as a trie, and states of the automaton that they keep.
 TERMS, STATES = 20_000, 50_000
@@ -143,18 +144,41 @@ class Automaton:
         return exact, 0.0 if exact else near
 
 
-def plain(span: bytes) -> str:
-    """The word that is looked for: letters only, in lower case."""
+def terms_of(span: bytes) -> list[str]:
+    """The words that are looked for in a span between white space: its runs of letters in lower case, as the lexicon is split.  Single letters that are kept
+    apart by other characters are taken as one word."""
     word = span.decode().lower()
-    return word if word.isalpha() else "".join(c for c in word if c.isalpha())
+    if word.isalpha():
+        return [word]
+    runs = "".join(c if c.isalpha() else " " for c in word).split()
+    return ["".join(runs)] if len(runs) > 1 and all(len(r) == 1 for r in runs) else runs
+
+
+def quotations(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether words stand between two quotation marks that are at most ``QUOTE`` words apart; a mark without a partner that near, such as an inch sign, counts for nothing."""
+    after = lambda k, b: np.concatenate([data[k:] == b, np.zeros(min(k, len(data)), bool)])
+    low = (data == 0xE2) & after(1, 0x80) & (after(2, 0x9C) | after(2, 0x9D) | after(2, 0x9E))
+    at = np.flatnonzero((data == 34) | low | ((data == 0xC2) & (after(1, 0xAB) | after(1, 0xBB))))
+    inside = np.zeros(len(starts), bool)
+    if len(at) < 2 or not len(starts):
+        return inside
+    word = np.searchsorted(starts, at, side="right") - 1
+    text = np.searchsorted(offsets, at, side="right").tolist()
+    first = (word + (at != starts[np.maximum(word, 0)])).tolist()  # a mark behind letters opens with the next word
+    word, k = word.tolist(), 0
+    while k + 1 < len(word):
+        if text[k] == text[k + 1] and word[k + 1] - word[k] <= QUOTE:
+            inside[max(min(first[k], word[k + 1]), 0) : word[k + 1] + 1] = True
+            k += 2
+        else:
+            k += 1
+    return inside
 
 
 def in_quotes(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, before: np.ndarray, row: np.ndarray, reports: np.ndarray) -> np.ndarray:
-    """Whether words stand in double quotation marks or shortly after a word of reporting (``reports``)."""
-    marks = np.concatenate([[0], np.cumsum(data == 34)])
-    quoted = ((marks[starts] - marks[offsets[:-1]][row]) % 2 == 1) | (data[starts] == 34 if len(starts) else False)
+    """Whether words stand in quotation marks or shortly after a word of reporting (``reports``)."""
     place, sums = np.arange(len(row)), np.concatenate([[0], np.cumsum(reports)])
-    return quoted | (sums[place] - sums[np.maximum(place - BEFORE, before[:-1][row])] > 0)
+    return quotations(data, offsets, starts) | (sums[place] - sums[np.maximum(place - BEFORE, before[:-1][row])] > 0)
 
 
 def inputs(sums: np.ndarray, hits: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -174,23 +198,24 @@ class Hits:
 
     def __init__(self, terms: dict[str, float]):
         self.automaton = Automaton(terms)
-        self.known = SpanValues(np.float32, CACHE, self._learn)
+        self.known = SpanValues(np.float64, CACHE, self._learn)
 
     def _learn(self, spans: list[bytes], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = []
-        for word in map(plain, spans):
-            out += [*self.automaton.read(word), float(word in REPORTING)]
-        return np.array(out, np.float32), np.full(len(spans), 3)
+        for found in map(terms_of, spans):
+            values = [tuple(float(np.float32(v)) for v in self.automaton.read(w)) for w in found]
+            out += [sum(v[0] for v in values), sum(v[1] for v in values), float(any(w in REPORTING for w in found)), float(sum(v[0] > 0 for v in values))]
+        return np.array(out, np.float64), np.full(len(spans), 4)
 
     def features(self, texts: pa.Array) -> np.ndarray:
         data, offsets = text_bytes(texts)
         starts, ends, before = words(data, offsets)
         n = np.diff(before)
         row = np.repeat(np.arange(len(n)), n)
-        values = self.known.take(data, starts, ends)[0].reshape(-1, 3)
+        values = self.known.take(data, starts, ends)[0].reshape(-1, 4)
         quoted = in_quotes(data, offsets, starts, before, row, values[:, 2])
         sums = [np.bincount(row, values[:, of] * where, len(n)) for of, where in [(0, ~quoted), (0, quoted), (1, ~quoted), (1, quoted)]]
-        return inputs(np.array(sums).T, np.bincount(row, (values[:, 0] > 0) & ~quoted, len(n)), n)
+        return inputs(np.array(sums).T, np.bincount(row, values[:, 3] * ~quoted, len(n)), n)
 
 
 def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -256,12 +281,13 @@ def _joined_hits(docs: DataFrame, terms: DataFrame, then: np.ndarray | None, mor
             starts, ends, before = words(data, offsets)
             n = np.diff(before)
             row, whole = np.repeat(np.arange(len(n)), n), data.tobytes()
-            spans = [plain(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            quoted = in_quotes(data, offsets, starts, before, row, np.array([w in REPORTING for w in spans], float)).astype(int).tolist()
+            spans = [terms_of(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            quoted = in_quotes(data, offsets, starts, before, row, np.array([any(w in REPORTING for w in s) for s in spans], float)).astype(int).tolist()
             rows: list[dict] = [{} for _ in n]
-            for r, word, q in zip(row.tolist(), spans, quoted, strict=True):
-                if len(word) >= BEGIN:
-                    rows[r].setdefault(word, [0, 0])[q] += 1
+            for r, found, q in zip(row.tolist(), spans, quoted, strict=True):
+                for word in found:
+                    if len(word) >= BEGIN:
+                        rows[r].setdefault(word, [0, 0])[q] += 1
             found = [[{"word": w, "times": t[0], "quoted": t[1]} for w, t in r.items()] for r in rows]
             kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64()), ("quoted", pa.int64())]))
             out = {"doc_id": batch.column(0), "n": pa.array(n), "words": pa.array(found, kind)}
