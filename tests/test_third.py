@@ -125,3 +125,27 @@ def test_bags_are_compared(make_log, fixture_model, spark):
     for members, found in (("BAA", 1), ("BBA", 0), ("XYZ", 0), ("AAA", 0)):
         events = spark.createDataFrame([(1, a) for a in members], "group_id int, activity string")
         assert matching.match_any_order(groups, fixture_model.rows, fixture_model.nodes, events=events).count() == found
+
+
+def test_hot_cases_of_several_sets(make_log):
+    """A round folds only what is in it: sets and hot cases that are not there must not be waited for."""
+    draw = random.Random(3)
+    rows = [(f"c{i % 9 if i % 3 else 0}", draw.choice("ABC"), float(i // 4 + 100 - (draw.randrange(9) if i % 5 == 0 else 0)), i) for i in range(260)]
+    log, model = make_log(rows), Model(random_log(make_log, 58, late=0))
+    sets = [Params(order="ngrams", alpha=0.3), Params(alpha=0.3), Params(order="greedy", alpha=0.3)]
+    columns = ["setting", "arrival_seq", "cost", "n_states", "open_events", "flag", "replayed", "complete_cost"]
+    whole, cut = ([tuple(r) for r in check(log, model, sets, limit=n).select(*columns).orderBy("setting", "arrival_seq").collect()] for n in (None, 50))
+    assert whole == cut and len(whole) == 3 * len(rows)
+    for i, p in enumerate(sets):
+        assert [r[1:] for r in whole if r[0] == i] == [tuple(r) for r in check(log, model, p).select(*columns[1:]).orderBy("arrival_seq").collect()]
+
+
+def test_grid_is_its_single_runs(make_log):
+    """All logs in one run against one run per log and algorithm."""
+    logs, model = {s: random_log(make_log, n, cases=12, late=0.5) for s, n in (("00", 8), ("50", 9))}, Model(random_log(make_log, 58, late=0))
+    algorithms = {n: Params(order=p.order, adaptable=p.adaptable, event_time_aware=p.event_time_aware, alpha=0.3) for n, p in experiments.ALGORITHMS.items()}
+    got = experiments.run_grid(logs, model, algorithms, "d").collect()
+    for swap, log in logs.items():
+        for name, p in algorithms.items():
+            alone = {(r.arrival_seq, r.cost, r.flag, r.n_states) for r in check(log, model, p).collect()}
+            assert alone == {(r.arrival_seq, r.cost, r.flag, r.n_states) for r in got if r.swap == swap and r.algo == name}

@@ -203,13 +203,18 @@ def _settle(flagged: DataFrame, p: Params, sets, shipped, plan, keys, limit) ->
     """Results of an adaptive run whose flags depend on the fold.
 
     The flag of a tie depends on the order chosen for it, which depends on the multiplier so far.  The earliest wrong flag
-    of a round is right in the next, so this ends; usually after one or two rounds.
+    of a round is right in the next, so this ends; usually after one or two rounds.  The fold of a case reads its events and multipliers only, so a
+    later round folds the cases in which a multiplier changed and keeps the rows of the others.
     """
-    while True:
-        result = write_through(fold(_multiplier(flagged, p, keys, limit), sets, shipped, plan), "round")
-        if result.filter("not (flag <=> used)").isEmpty():
-            return result
-        flagged = result.drop("used", "multiplier", *RESULT[:3], *RESULT[4:]).withColumnRenamed("flag", "used")
+    result = write_through(fold(_multiplier(flagged, p, keys, limit), sets, shipped, plan), "round")
+    while not result.filter("not (flag <=> used)").isEmpty():
+        again = result.drop("used").withColumnsRenamed({"flag": "used", "multiplier": "_was"})
+        again = write_through(_multiplier(again, p, keys, limit), "flags")
+        moved = write_through(again.filter("multiplier <> _was").select("case_id").distinct(), "moved")
+        kept = again.join(moved, "case_id", "left_anti").withColumn("flag", F.col("used")).select(*result.columns)
+        folded = fold(again.join(moved, "case_id", "left_semi").drop("_was", *RESULT), sets, shipped, plan)
+        result = write_through(kept.unionByName(folded), "round")
+    return result
 
 
 @dataclass(frozen=True)
@@ -236,9 +241,10 @@ def fold(log: DataFrame, sets: list[Params], shipped, plan: FoldPlan, alignments
         return fold_plain(log, total, sets, shipped, alignments)
     cases = F.broadcast(log.sparkSession.createDataFrame([(c,) for c, _ in plan.hot], "case_id string"))
     rest = fold_plain(log.join(cases, "case_id", "left_anti"), total, sets, shipped)
-    hot = [(i, c, n) for i in range(len(sets)) for c, n in plan.hot]
-    long = fold_hot(log.join(cases, "case_id", "left_semi"), hot, sets, shipped, plan.limit)
-    return rest.unionByName(long)
+    long = log.join(cases, "case_id", "left_semi")
+    # those in this log, which need not have every set and every case; at most MAX_HOT_CASES per set
+    hot = [(r["setting"], r["case_id"], r["n"]) for r in long.groupBy("setting", "case_id").agg(F.count(F.lit(1)).alias("n")).collect()]
+    return rest.unionByName(fold_hot(long, hot, sets, shipped, plan.limit)) if hot else rest
 
 
 def fold_plain(log: DataFrame, total: int, sets: list[Params], shipped, alignments: bool = False) -> DataFrame:

@@ -40,13 +40,15 @@ def param_grid(spark: SparkSession, datasets: DataFrame, kind: str = "orig") ->
 
 
 def run_grid(logs: dict[str, DataFrame], model: Model, algorithms: dict[str, Params], dataset: str) -> DataFrame:
-    """Every log (swap setting -> log) under every algorithm in one job: one row per event and run."""
-    tagged = [
-        log.withColumn("case_id", F.concat_ws("|", F.lit(swap), "case_id")).withColumn("swap", F.lit(swap)) for swap, log in logs.items()
-    ]
+    """Every log (swap setting -> log) under every algorithm in one job: one row per event and run.
+
+    The logs are one log whose cases carry the setting in their names, so late flags, multipliers and rounds are taken once per algorithm; the
+    adaptive multiplier follows each setting by itself.
+    """
+    tagged = [log.withColumn("swap", F.lit(swap)) for swap, log in logs.items()]
+    whole = reduce(DataFrame.unionByName, tagged).withColumn("case_id", F.concat_ws("|", "swap", "case_id"))
     names = list(algorithms)
-    runs = [check(log, model, [algorithms[n] for n in names]) for log in tagged]
-    out = reduce(DataFrame.unionByName, runs)
+    out = check(whole, model, [algorithms[n] for n in names], ewma_keys=["swap"])
     label = F.element_at(F.lit(names), F.col("setting") + 1)
     return out.withColumn("algo", label).withColumn("dataset", F.lit(dataset)).drop("setting")
 

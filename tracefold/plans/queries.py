@@ -621,7 +621,7 @@ def experiment_orders(spark, sf_dir):
     Runs are deterministic, so that the repetitions of a setting would be equal rows.
     """
     model = _model(spark, sf_dir, "orders")
-    log = orders_log(spark, sf_dir)
+    log = write_through(orders_log(spark, sf_dir), "log")
     swapped = write_through(disorder.inject_disorder(log), "swapped")
     logs = {"00": log} | {s: swapped.filter(F.col("setting") == s).drop("setting") for s in experiments.SWAPS if s != "00"}
     runs = experiments.run_grid(logs, model, experiments.ALGORITHMS, "orders")
