@@ -131,3 +131,29 @@ def test_quotes_are_near_each_other(pair):
     a, b = pair
     quoted = op5.Hits({"w:moron": 2.0}).features(pa.array([f"a sign {a}big moron{b} there", f"{a}x{b} such a moron {a}y{b}", f"{a}open " + "filler " * 50 + f"moron and {a}z{b}", f"sign:{a}moron{b}"]))
     assert (quoted[:, 0] > 0).tolist() == [False, True, True, False] and (quoted[:, 1] > 0).tolist() == [True, False, False, True]
+
+
+def _one_edit(a, b):
+    return a == b or abs(len(a) - len(b)) <= 1 and any(a[:i] + a[i + 1:] == b or a == b[:i] + b[i + 1:] or (len(a) == len(b) and a[:i] + a[i + 1:] == b[:i] + b[i + 1:]) for i in range(max(len(a), len(b))))
+
+
+@pytest.mark.parametrize("most", [1, 5, 20_000])
+def test_parts_of_the_lexicon_against_plain_edit_distance(spark, most):
+    """Tries cut into parts of any size, and the whole one, find what comparing each word with each term finds."""
+    from tracefold.llm import op5_toxicity as op5
+
+    draw = np.random.default_rng(11)
+    make = lambda n, longest: {"".join(draw.choice(list("abé"), draw.integers(4, longest))) for _ in range(n)}
+    terms = {f"w:{w}": float(i % 7 + 1) for i, w in enumerate(sorted(make(60, 9)))} | {f"p:{w}": float(i % 5 + 1) for i, w in enumerate(sorted(make(8, 8)))}
+    asked = sorted(make(500, 10) | {t[2:] for t in terms} | {t[2:-1] for t in terms if len(t) > 6} | {"z" + t[3:] for t in terms})
+    want = {}
+    for w in asked:
+        exact = max((v for t, v in terms.items() if (w == t[2:] if t[0] == "w" else w.startswith(t[2:]))), default=0.0)
+        near = max((v for t, v in terms.items() if t[0] == "w" and len(t) - 2 >= op5.FUZZY and _one_edit(w, t[2:])), default=0.0)
+        if exact or near:
+            want[w] = (exact, 0.0 if exact else near)
+    assert len(want) > 150
+    read = op5.Automaton(terms).read
+    assert {w: read(w) for w in asked if any(read(w))} == want
+    table = spark.createDataFrame(list(terms.items()), "term string, weight double")
+    assert {r.word: (r.exact, r.near) for r in op5._found(spark.createDataFrame([(w,) for w in asked], "word string"), table, most).collect()} == want

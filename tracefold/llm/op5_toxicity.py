@@ -4,8 +4,8 @@
    documents or more that are ``LIFT`` times as frequent there are kept, however many these are.  A beginning of which one kept word makes up ``WHOLE`` is that
    word and goes, of the others the shortest stay.  Every kept word stays, so that one edit is found in words under a beginning as well.
 2. ``Automaton``: the trie of the terms and a Levenshtein automaton of one edit, intersected and made deterministic as words are read.  A whole term of five
-   letters or more is also found with one edit, a beginning only as it is.  A lexicon of more than ``TERMS`` terms is not sent to the tasks: the distinct words
-   of the texts are joined to it instead (``_found``: equal words, beginnings, and words that share a deletion of one letter), with the same values.
+   letters or more is also found with one edit, a beginning only as it is.  A lexicon of more than ``TERMS`` terms is not sent to the tasks: its trie is cut into
+   parts, by the first two letters and once more by the last two, and the distinct words of the texts meet the parts that can hold terms near them (``_found``).
    Texts are split into words as the lexicon is, at everything that is no letter.
 3. A hit counts as quoted between two quotation marks (" “ ” „ « ») at most ``QUOTE`` words apart, or shortly after a word of reporting; plain, quoted, exact and misspelt hits are separate inputs of a
    logistic regression, fitted on at most ``SAMPLE`` labelled rows.
@@ -254,22 +254,42 @@ def _hits(docs: DataFrame, terms: dict[str, float], then: np.ndarray | None, mor
     return map_batches(docs.select("doc_id", "text", *([more] if more else [])), make, _schema(then, more))
 
 
-def _found(distinct: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, exact, near) of the words that are hits: what ``Automaton.read`` returns, by joins."""
-    length = F.char_length("word")
-    whole = distinct.select("word", F.explode(F.concat(F.array(F.concat(F.lit("w:"), "word")), _heads(F.col("word"), length))).alias("term"))
-    exact = whole.join(terms, "term").groupBy("word").agg(F.max("weight").alias("exact"))
+def _parts(word: Column, twice: Column) -> Column:
+    """The parts of the lexicon in which a word is looked for or a term is kept: by its first two letters and, if ``twice``, by its last two.
 
-    def cut(rows: DataFrame) -> DataFrame:
-        """A word and the word without each of its letters: of two words one edit apart one of these is the same."""
-        less = F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.char_length("word"))))
-        return rows.withColumn("key", F.explode(F.array_distinct(F.concat(F.array("word"), less))))
+    An edit behind the first two letters leaves these, one in the first two leaves the last two, so one of both parts is shared by any two words one edit apart.
+    """
+    ends = F.array(F.concat(F.lit("f:"), F.substring(word, 1, 2)), F.concat(F.lit("l:"), F.substring(word, -2, 2)))
+    return F.when(twice, ends).otherwise(F.slice(ends, 1, 1))
 
-    fuzzy = terms.where("term LIKE 'w:%'").select(F.substring("term", 3, 1_000_000).alias("word"), "weight").where(length >= FUZZY)
-    asked = cut(distinct.where(length >= FUZZY - 1).join(exact.select("word"), "word", "left_anti"))
-    pairs = asked.join(cut(fuzzy).withColumnRenamed("word", "of"), "key").where(F.levenshtein("word", "of", 1) >= 0)
-    near = pairs.groupBy("word").agg(F.max("weight").alias("near"))
-    return exact.withColumn("near", F.lit(0.0)).unionByName(near.select("word", F.lit(0.0).alias("exact"), "near"))
+
+def _read_part(terms: pa.Table, asked: pa.Table) -> pa.Table:
+    automaton = Automaton(dict(sorted(zip(terms["term"].to_pylist(), terms["weight"].to_pylist(), strict=True))))
+    found = [(w, *v) for w in asked["word"].to_pylist() if any(v := automaton.read(w))]
+    return pa.table({n: pa.array([f[i] for f in found], kind) for i, (n, kind) in enumerate([("word", pa.string()), ("exact", pa.float64()), ("near", pa.float64())])})
+
+
+def _found(distinct: DataFrame, terms: DataFrame, most: int | None = None) -> DataFrame:
+    """(word, exact, near) of the words that are hits: what ``Automaton.read`` returns, by a trie for each part of the lexicon.
+
+    A part with more than ``most`` terms or ten times as many words is cut further, and all pieces of its terms meet all pieces of its words, so a task
+    holds one piece of both.
+    """
+    most = most or TERMS
+    word = F.substring("term", 3, 1_000_000)
+    kept = terms.select("term", "weight", F.explode(_parts(word, F.col("term").startswith("w:") & (F.char_length(word) >= FUZZY))).alias("part"))
+    asked = distinct.select("word", F.explode(_parts(F.col("word"), F.char_length("word") >= FUZZY - 1)).alias("part"))
+
+    def pieces(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy("part").agg(F.ceil(F.count("*") / size).alias(name))
+
+    cuts = pieces(kept, most, "_t").join(pieces(asked, 10 * most, "_w"), "part")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    kept = kept.join(cuts, "part").select("term", "weight", "part", F.pmod(F.xxhash64("term"), F.col("_t")).alias("_i"), each("_w").alias("_j"))
+    asked = asked.join(cuts, "part").select("word", "part", F.pmod(F.xxhash64("word"), F.col("_w")).alias("_j"), each("_t").alias("_i"))
+    met = kept.groupBy("part", "_i", "_j").cogroup(asked.groupBy("part", "_i", "_j")).applyInArrow(_read_part, "word string, exact double, near double")
+    best = met.groupBy("word").agg(F.max("exact").alias("exact"), F.max("near").alias("near"))
+    return best.withColumn("near", F.when(F.col("exact") > 0, 0.0).otherwise(F.col("near")))
 
 
 def _joined_hits(docs: DataFrame, terms: DataFrame, then: np.ndarray | None, more: str = "") -> DataFrame:
