@@ -157,3 +157,24 @@ def test_parts_of_the_lexicon_against_plain_edit_distance(spark, most):
     assert {w: read(w) for w in asked if any(read(w))} == want
     table = spark.createDataFrame(list(terms.items()), "term string, weight double")
     assert {r.word: (r.exact, r.near) for r in op5._found(spark.createDataFrame([(w,) for w in asked], "word string"), table, most).collect()} == want
+
+
+def test_the_net_reads_words():
+    """Labels that only words tell, as all words are alike in length and letters' kinds."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(2)
+    texts, label = [], []
+    for i in range(400):
+        n = int(draw.integers(20, 300))
+        picked = np.where(draw.random(n) < 0.15, "kolma" if i % 2 else "sarpi", draw.choice(["tenku", "bivor", "lusde", "mofan", "gitro", "dolke"], n))
+        texts.append(" ".join(picked))
+        label.append(i % 2)
+    x, sizes = op8_quality_classifier.passages(pa.array(texts))
+    assert len(x) == sizes.sum() == sum(-(-len(t.split()) // op8_quality_classifier.PASSAGE) for t in texts)
+    split = int(sizes[:300].sum())
+    net = op8_quality_classifier.Net(x.shape[1]).fit(x[:split], sizes[:300], np.array(label[:300], float))
+    assert np.mean((net.forward(x[split:], sizes[300:])[-1] >= 0.5) == np.array(label[300:])) >= 0.95
+    for odd in ([""], [None], ["one"], ["", "one two", None]):
+        x, sizes = op8_quality_classifier.passages(pa.array(odd, pa.string()))
+        assert len(x) == len(odd) and np.isfinite(x).all() and net.forward(x, sizes)[-1].shape == (len(odd),)

@@ -1,10 +1,11 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` words.  Each passage is encoded as a hidden vector; a gated attention (tanh times sigmoid) says how much it counts,
+A document is a bag of passages of ``PASSAGE`` words.  Each passage is encoded as a hidden vector, from ratios of its characters and words and from its words and
+pairs of words, hashed with signs into ``BUCKETS`` sums each; a gated attention (tanh times sigmoid) says how much it counts,
 and the document is scored on the weighted mean.  Only document labels are needed.  The net is small and trained here on at most ``SAMPLE`` labelled rows,
 drawn by hash from those that may be learnt from; all documents are scored whole.
 
-Inputs are ratios of the text alone.  Null and empty texts are one passage without words and get the score of that.  Rows with a null doc_id are scored
+Inputs come from the text alone.  Null and empty texts are one passage without words and get the score of that.  Rows with a null doc_id are scored
 and not held out; repeated rows get equal scores.  With no label, or labels of one kind, all scores are that kind's share (0.5 without labels).
 """
 
@@ -21,6 +22,8 @@ from tracefold.llm.spans import hashes, mix, text_bytes, words
 
 PASSAGE = 64
 SAMPLE = 4000
+#: Hashed sums of words, and of pairs of words, of a passage.
+BUCKETS = 32
 HIDDEN, GATE, STEPS = 16, 8, 300
 LIMIT = 0.5
 
@@ -67,7 +70,15 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words_, bytes_ = np.maximum(count, 1), np.maximum(size, 1)
     features = [np.log1p(count) / 4, size / words_ / 8, *[of_words(is_[c]) / bytes_ for c in ("upper", "digits", "wide")], *[of_words(is_[c]) / words_ for c in ("symbols", "marks", "stops")]]
     features += [np.bincount(passage, same, total) / words_, repeated(passage, h) / words_, repeated(row, run) / words_]
-    return np.stack(features, axis=1), per_text
+    pairs = np.flatnonzero(passage[1:] == passage[:-1])
+    hashed = [_hashed(passage, mix(h), total), _hashed(passage[pairs], mix(h[pairs] * np.uint64(3) + h[pairs + 1]), total)]
+    return np.hstack([np.stack(features, axis=1), *(x / np.sqrt(words_)[:, None] for x in hashed)]), per_text
+
+
+def _hashed(passage: np.ndarray, h: np.ndarray, total: int) -> np.ndarray:
+    """Signed counts of hashes in ``BUCKETS`` sums per passage."""
+    at = passage * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64)
+    return np.bincount(at, np.where(h >> np.uint64(63), 1.0, -1.0), total * BUCKETS).reshape(total, BUCKETS)
 
 
 class Net:
