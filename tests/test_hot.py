@@ -91,3 +91,14 @@ def test_disorder_moves_but_keeps(skewed):
         same(one.select("case_id", "activity", "event_time"), skewed.select("case_id", "activity", "event_time"))
         same(one.select("case_id", "arrival_seq"), skewed.select("case_id", "arrival_seq"))
         assert one.select("case_id", "activity", "event_time", "arrival_seq").exceptAll(skewed).count() > 0
+
+
+def test_many_hot_keys_are_joined(skewed, monkeypatch):
+    """Beyond the bound of the broadcast, hot keys are joined; a key over the limit is cut however long the log is."""
+    from tracefold.operators import hotkeys
+
+    want = position(skewed, ["case_id"], ["event_time", "arrival_seq"])
+    monkeypatch.setattr(hotkeys, "MAX_BROADCAST_KEYS", 0)
+    same(want, position(skewed, ["case_id"], ["event_time", "arrival_seq"], limit=3))
+    cut, some = hotkeys.with_chunks(skewed, ["case_id"], ["arrival_seq"], 3)
+    assert some and cut.filter(F.col(hotkeys.CHUNK) > 0).select("case_id").distinct().count() > 3

@@ -149,3 +149,29 @@ def test_grid_is_its_single_runs(make_log):
         for name, p in algorithms.items():
             alone = {(r.arrival_seq, r.cost, r.flag, r.n_states) for r in check(log, model, p).collect()}
             assert alone == {(r.arrival_seq, r.cost, r.flag, r.n_states) for r in got if r.swap == swap and r.algo == name}
+
+
+@pytest.mark.parametrize("alpha,block,fan,keys", [(0.0, 7, 30, []), (0.005, 1024, 512, []), (0.3, 7, 3, []), (0.3, 7, 2, ["case_id"]), (0.97, 300, 512, []), (1.0, 50, 512, [])])
+def test_average_in_blocks(spark, alpha, block, fan, keys):
+    """Blocks and levels of any size give the sequence; null flags, null keys and blocks without flags among them."""
+    draw, rows = random.Random(12), []
+    for i in range(160):
+        rows.append((draw.choice(["a", "a", "a", "b", None]), i * 5, None if 40 < i < 70 or draw.random() < 0.2 else int(draw.random() < 0.4)))
+    log = spark.createDataFrame(rows, "case_id string, arrival_seq bigint, flag int")
+    m, want = {}, {}
+    for case, i, flag in rows:
+        k = case if keys else 0
+        if flag is not None:
+            m[k] = max(0.3, alpha * flag + (1 - alpha) * m.get(k, 0.3))
+        want[i] = m.get(k, 0.3)
+    for limit in (None, 30):
+        out = disorder.ewma_multiplier(log, alpha, 0.3, limit, keys, block, fan)
+        assert out.columns == ["case_id", "arrival_seq", "flag", "multiplier"]
+        assert {r["arrival_seq"]: r["multiplier"] for r in out.collect()} == pytest.approx(want, abs=1e-12)
+    assert "Arrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_average_of_nothing(spark):
+    log = spark.createDataFrame([], "case_id string, arrival_seq bigint, flag int")
+    for keys in ([], ["case_id"]):
+        assert disorder.ewma_multiplier(log, 0.1, 0.3, None, keys).collect() == []

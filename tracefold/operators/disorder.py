@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.operators.hotkeys import CHUNK, position, running, with_chunks
-from tracefold.session import with_fields
+from tracefold.session import write_through
 
 # probability in percent -> largest distance of a swap (fixed values)
 SWAP_SETTINGS = {"01": 1, "05": 5, "10": 7, "20": 10, "50": 20, "99": 99}
 
+#: Rows of a block of the running average, maps that are composed at once, and a value below all others.
+BLOCK, FAN, NONE = 1024, 512, -1e300
+
 
 def late_flags(log: DataFrame, limit: int | None = None) -> DataFrame:
     """Add ``seen_ms`` (highest event time of the case so far, null on its first event), ``late`` and ``late_or_tied``."""
@@ -30,91 +35,56 @@ def first_flags(log: DataFrame, order: str, limit: int | None = None) -> DataFra
 
 
 def ewma_multiplier(
-    log: DataFrame, alpha: float, floor: float, limit: int | None = None, keys: list[str] | None = None
+    log: DataFrame, alpha: float, floor: float, limit: int | None = None, keys: list[str] | None = None, block: int = BLOCK, fan: int = FAN
 ) -> DataFrame:
     """Add ``multiplier``: m <- max(floor, alpha * flag + (1 - alpha) * m) in delivery order; null flags change nothing.
 
-    One update is the map m -> max(a, b + c * m); such maps are closed under composition.  The log is cut into ranges of
-    ``arrival_seq``, pass one composes each range to one triple, the few triples are chained, pass two starts every range
-    from its own value.  ``keys`` (such as the case) restarts the average per key and then needs no second pass unless a
-    key is cut.
+    One update is the map m -> max(a, b + c * m); such maps are closed under composition.  The log (or each of ``keys``, such as the case) is cut into
+    blocks of ``block`` rows.  With k = 1 - alpha, s the sum of alpha * flag / k^j over the first j flags of a block, and g the maximum of floor / k^j - s so
+    far, the value after them is k^j * (s + max(start, g)): two running windows.  ``_starts`` chains the maps of the blocks, ``fan`` at a time.
     """
     keys = keys or []
-    log, cut = with_chunks(log, keys, ["arrival_seq"], limit)
-    part = [*keys, CHUNK] if cut else keys
-    schema = log.schema
-    ranged = _in_order(log, part)
-    start = {}
-    if cut:
-        triples = ranged.mapInArrow(
-            lambda it: _compose(it, part, alpha, floor), ", ".join([*(f"{k} string" for k in part), "a double, b double, c double"])
-        )
-        if keys:  # only the cut keys have more than one range
-            again = triples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys)
-            triples = triples.join(F.broadcast(again), keys, "left_semi")
-        start = _chain(triples.collect(), part, floor)  # one row per range: at most about 1,024, or 2 * 10,000 with keys
-    chained = ranged.sparkSession.sparkContext.broadcast(start)
-    out = ranged.mapInArrow(
-        lambda it: _apply(it, part, alpha, floor, chained.value), with_fields(schema, "multiplier double")
+    k = max(1.0 - alpha, 1e-300)  # alpha 1 forgets all but the last flag
+    block = max(1, min(block, int(-250 / math.log10(k)))) if k < 1 else block  # k^-block must be finite
+    part = [*keys, "_block"]
+    rows = position(log, keys, ["arrival_seq"], "_pos", limit).withColumn("_block", F.floor((F.col("_pos") - 1) / block).cast("bigint"))
+    so_far = Window.partitionBy(*part).orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_j", F.count("flag").over(so_far)).withColumn("_back", F.pow(F.lit(k), -F.col("_j")))
+    rows = rows.withColumn("_s", F.coalesce(F.sum(alpha * F.col("flag") * F.col("_back")).over(so_far), F.lit(0.0)))
+    rows = rows.withColumn("_g", F.max(F.when(F.col("flag").isNotNull(), floor * F.col("_back") - F.col("_s"))).over(so_far))
+    rows = write_through(rows, "averages")  # read twice: for the maps of the blocks and for the rows
+    ends = rows.groupBy(*part).agg(F.max_by(F.struct("_j", "_s", "_g", "_back"), "_pos").alias("e")).select(*part, "e.*")
+    maps = ends.select(
+        *part, F.coalesce((F.col("_s") + F.col("_g")) / F.col("_back"), F.lit(NONE)).alias("a"), (F.col("_s") / F.col("_back")).alias("b"), (1 / F.col("_back")).alias("c")
     )
-    return out.drop(CHUNK)
-
-
-def _in_order(log: DataFrame, part: list[str]) -> DataFrame:
-    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = log.repartition(n, *part) if part else log.repartition(1)  # no part: at most GLOBAL_ROWS rows in all
-    return spread.sortWithinPartitions(*part, "arrival_seq")
-
-
-def _keyed(batches, part: list[str]):
-    """(batch, keys as strings, flags) per batch."""
-    for batch in batches:
-        cols = [[str(v) for v in batch.column(k).to_pylist()] for k in part]
-        yield batch, list(zip(*cols)) if part else [()] * batch.num_rows, batch.column("flag").to_pylist()
-
-
-def _compose(batches, part: list[str], alpha: float, floor: float):
-    keep = 1.0 - alpha
-    done, now, a, b, c = [], None, 0.0, 0.0, 1.0
-    for _, keys, flags in _keyed(batches, part):
-        for key, flag in zip(keys, flags):
-            if key != now:
-                if now is not None:
-                    done.append((*now, a, b, c))
-                now, a, b, c = key, float("-inf"), 0.0, 1.0
-            if flag is not None:
-                a, b, c = max(floor, alpha * flag + keep * a), alpha * flag + keep * b, keep * c
-    if now is not None:
-        done.append((*now, a, b, c))
-    names = [*part, "a", "b", "c"]
-    if done:
-        yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in done])
-
-
-def _chain(rows, part: list[str], floor: float) -> dict:
-    start: dict = {}
-    now, m = None, floor
-    for row in sorted(rows, key=lambda r: (tuple(r[k] for k in part[:-1]), int(r[CHUNK]))):
-        key = tuple(row[k] for k in part)
-        if key[:-1] != now:
-            now, m = key[:-1], floor
-        start[key] = m
-        m = max(row["a"], row["b"] + row["c"] * m)
-    return start
-
-
-def _apply(batches, part: list[str], alpha: float, floor: float, start: dict):
-    keep = 1.0 - alpha
-    now, m = None, floor
-    for batch, keys, flags in _keyed(batches, part):
-        out = []
-        for key, flag in zip(keys, flags):
-            if key != now:
-                now, m = key, start.get(key, floor)
-            if flag is not None:
-                m = max(floor, alpha * flag + keep * m)
-            out.append(m)
-        yield batch.append_column("multiplier", pa.array(out, pa.float64()))
+    out = _beside(rows, _starts(maps, keys, floor, fan), part)
+    value = (F.col("_s") + F.greatest("_start", "_g")) / F.col("_back")
+    return out.select(*log.columns, F.greatest(F.lit(floor), F.when(F.col("_j") == 0, F.col("_start")).otherwise(value)).alias("multiplier"))
+
+
+def _starts(maps: DataFrame, keys: list[str], floor: float, fan: int) -> DataFrame:
+    """The value before each block, from the maps (a, b, c) of the blocks: arrays of at most ``fan`` maps, composed to one map each, and so on upwards."""
+    maps = write_through(maps, "maps")
+    blocks = (maps.agg(F.max("_block")).first()[0] or 0) + 1
+    group = F.floor(F.col("_block") / fan).cast("bigint").alias("_group")
+    some = maps.groupBy(*keys, group).agg(F.sort_array(F.collect_list(F.struct("_block", "a", "b", "c"))).alias("_maps"))
+    if blocks <= fan:
+        some = some.withColumn("_first", F.lit(float(floor)))
+    else:
+        whole = f"aggregate(_maps, named_struct('a', {NONE}D, 'b', 0D, 'c', 1D), (s, t) -> named_struct('a', greatest(t.a, t.b + t.c * s.a), 'b', t.b + t.c * s.b, 'c', t.c * s.c))"
+        above = some.select(*keys, F.col("_group").alias("_block"), F.expr(whole).alias("w")).select(*keys, "_block", "w.*")
+        first = _starts(above, keys, floor, fan).withColumnsRenamed({"_block": "_group", "_start": "_first"})
+        some = _beside(some, first, [*keys, "_group"])
+    scan = """aggregate(_maps, named_struct('m', _first, 'out', CAST(array() AS array<struct<_block: bigint, _start: double>>)),
+        (s, t) -> named_struct('m', greatest(t.a, t.b + t.c * s.m), 'out', concat(s.out, array(named_struct('_block', t._block, '_start', s.m)))), s -> s.out)"""
+    return some.select(*keys, F.expr(f"inline({scan})"))
+
+
+def _beside(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of the one row of ``more`` that has their keys; null keys are keys too."""
+    more = more.withColumnsRenamed({k: f"_is_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_is_{k}")) for k in keys])
+    return rows.join(more, same, "left").drop(*[f"_is_{k}" for k in keys])
 
 
 def replay_size(log: DataFrame, limit: int | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from tracefold.session import write_through
 HOT_ROWS = 5_000_000
 GLOBAL_ROWS = 1_000_000
 MAX_CHUNKS = 1024
+MAX_BROADCAST_KEYS = 100_000
 CHUNK = "_chunk"
 
 _AGG = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min, "xor": F.bit_xor}
@@ -45,37 +46,36 @@ def with_chunks(df: DataFrame, keys: list[str], order: list[str], limit: int | N
     total = df.count()
     if total <= limit:
         return df, False
-    threshold = max(limit, total // 10_000)
     a, b = _as_number(df, order[0]), _as_number(df, order[-1])
     stats = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(a).alias("_a0"), F.min(b).alias("_b0"), F.max(b).alias("_b1"))
-        .filter(F.col("_n") > threshold)
+        .filter(F.col("_n") > limit)
     )
-    rows = stats.collect()  # at most total / threshold <= 10,000 rows
-    if not rows:
+    hot = write_through(stats, "hotkeys")  # fewer than total / limit rows
+    if hot.isEmpty():
         return df, False
-    hot = df.sparkSession.createDataFrame(rows, stats.schema)
+    few = total // limit <= MAX_BROADCAST_KEYS
     # monotone in (order[0], order[1]): rows of equal position stay together
     spread = F.lit(1.0) + F.col("_b1") - F.col("_b0")
     place = (a - F.col("_a0")) + (b - F.col("_b0")) / spread
     grid = F.lit([i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)])
-    hot_rows = _join(df.select(*keys, *order), hot, keys, "inner").withColumn("_f", place.cast("double"))
+    hot_rows = _join(df.select(*keys, *order), hot, keys, "inner", few).withColumn("_f", place.cast("double"))
     cuts = hot_rows.groupBy(*keys).agg(F.percentile_approx("_f", grid, F.lit(10_000)).alias("_q"), F.first("_n").alias("_n"))
     # written tables: the input is read again for totals and values, its plan must not be repeated each time
-    step = F.ceil(F.lit(MAX_CHUNKS) / F.greatest(F.lit(2), F.least(F.lit(MAX_CHUNKS), F.ceil(2 * F.col("_n") / threshold))))
+    step = F.ceil(F.lit(MAX_CHUNKS) / F.greatest(F.lit(2), F.least(F.lit(MAX_CHUNKS), F.ceil(2 * F.col("_n") / limit))))
     cuts = cuts.withColumn("_step", step).select(
         *keys, F.expr("array_distinct(filter(_q, (x, i) -> (i + 1) % _step = 0))").alias("_cuts")
     )
     cuts = write_through(cuts, "cuts")
-    marked = _join(_join(df, hot, keys, "left"), cuts, keys, "left").withColumn("_f", place.cast("double"))
+    marked = _join(_join(df, hot, keys, "left", few), cuts, keys, "left", few).withColumn("_f", place.cast("double"))
     marked = marked.withColumn(CHUNK, F.coalesce(F.expr("size(filter(_cuts, x -> x < _f))"), F.lit(0)))
     return write_through(marked.drop("_n", "_a0", "_b0", "_b1", "_cuts", "_f"), "chunks"), True
 
 
-def _join(df: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join with a table of at most 10,000 hot keys (times their chunks)."""
-    small = F.broadcast(small)
+def _join(df: DataFrame, small: DataFrame, keys: list[str], how: str, few: bool) -> DataFrame:
+    """Join with a table that has a row per hot key: broadcast if they are ``few``, else AQE splits the hot keys of the shuffle."""
+    small = F.broadcast(small) if few else small
     return df.join(small, keys, how) if keys else df.crossJoin(small)
 
 
@@ -101,11 +101,11 @@ def running(
         before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         if keys:  # only cut keys have a second chunk
             cut_keys = totals.filter(F.col(CHUNK) > 0).select(*keys).distinct()
-            totals = totals.join(F.broadcast(cut_keys), keys, "left_semi")
+            totals = totals.join(cut_keys, keys, "left_semi")
         carry = totals.select(
             *part, *[_CARRY[kind](F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (kind, _) in aggs.items()]
         )
-        out = out.join(F.broadcast(carry), part, "left")
+        out = out.join(carry, part, "left")  # a row per chunk of a cut key: broadcast by size
         for n, (kind, _) in aggs.items():
             out = out.withColumn(n, _MERGE[kind](F.col(n), F.col(f"_c_{n}"))).drop(f"_c_{n}")
     return out.drop(CHUNK)
