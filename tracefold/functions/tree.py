@@ -2,38 +2,40 @@
 
 Activities of the model are numbers; an activity that the model does not know stays a string and matches nothing.
 
-``Tree`` holds the whole model (broadcast, size-checked).  ``TableTree`` reads children on demand from the written
-model table when the model is too large to be broadcast; both number nodes from 0 = root.
+``Tree`` holds the whole model (broadcast, size-checked).  ``ArrayTree`` reads the written model table into arrays of about 20 bytes a node when the model
+is too large to be broadcast; both number nodes alike, from 0 = root.  ``TableTree`` reads children on demand when that is too large, too.
 """
 
 from __future__ import annotations
 
 import pickle
 import zlib
-from array import array
 from collections import OrderedDict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 ROOT_SYMBOL = -1
 SEPARATOR = "\x1f"  # between labels in the text of a bag
-MEMO_LIMIT = 200_000
+#: Searches and hits that are remembered, and nodes whose children are kept as a dict.
+MEMO_LIMIT, KEPT_KIDS = 200_000, 100_000
 
 
 class Tree:
+    _weight = 0  # of what is remembered
+
     def __init__(self, data: dict):
         self.labels = data["labels"]  # in order of the symbol number
         self.number = {a: i for i, a in enumerate(self.labels)}
         self.avg_len = data["avg_len"]
         self.patterns = pattern_lookup(data["patterns"], self)  # sorted symbols -> most frequent order
-        self.parent = array("q", data["parent"])
-        self.symbol = array("q", data["symbol"])
-        self.level = array("q", data["level"])
-        self.to_end = array("q", data["min_to_end"])
-        self.height = array("q", data["max_to_end"])
-        self._offset = array("q", data["offset"])
-        self._child = array("q", data["child"])
-        self._z1, self._z2 = array("q", data["z1"]), array("q", data["z2"])
+        # views: the value stays with the worker process anyway
+        view = lambda name: memoryview(data[name]).cast("q")
+        self.parent, self.symbol, self.level = view("parent"), view("symbol"), view("level")
+        self.to_end, self.height = view("min_to_end"), view("max_to_end")
+        self._offset, self._child = view("offset"), view("child")
+        self._z1, self._z2 = view("z1"), view("z2")
         self._named: dict | None = None
         self._kids: dict[int, dict[int, int]] = {}
         self._memo: dict = {}
@@ -41,14 +43,17 @@ class Tree:
     def kids(self, node: int) -> dict[int, int]:
         got = self._kids.get(node)
         if got is None:
-            got = {self.symbol[c]: c for c in self._child[self._offset[node] : self._offset[node + 1]]}
+            got = self._below(node)
+            if len(self._kids) >= KEPT_KIDS:
+                self._kids.clear()
             self._kids[node] = got
         return got
 
+    def _below(self, node: int) -> dict[int, int]:
+        return {self.symbol[c]: c for c in self._child[self._offset[node] : self._offset[node + 1]]}
+
     def rest(self) -> None:
-        """Called between cases: drop what was only cached."""
-        if len(self._memo) > MEMO_LIMIT:
-            self._memo.clear()
+        """Called between cases: what was only cached is dropped where it is filled, as cases may be long."""
 
     def walk(self, node: int, seq) -> int | None:
         for s in seq:
@@ -68,7 +73,12 @@ class Tree:
         key = (node, events, budget)
         got = self._memo.get(key)
         if got is None:
-            got = self._memo[key] = [s for s in self._ahead(node, events, budget) if s[2] <= budget]
+            got = [s for s in self._ahead(node, events, budget) if s[2] <= budget]
+            if self._weight >= MEMO_LIMIT:
+                self._memo.clear()
+                self._weight = 0
+            self._weight += 1 + len(got)
+            self._memo[key] = got
         return got
 
     def _ahead(self, node: int, events: tuple, budget: int) -> list[tuple[int, int, int]]:
@@ -143,6 +153,58 @@ class Tree:
         return self.find_node(*key)
 
 
+ARRAY_COLUMNS = ["n", "p", "first", "next", "level", "symbol", "min_to_end", "max_to_end"]
+
+
+class ArrayTree(Tree):
+    """The whole model in arrays, read by each worker process from its written table: a row per node with its number ``n`` and its parent's, whether it is the
+    ``first`` of its siblings by label, and the ``next`` of them (0: none)."""
+
+    def __init__(self, data: dict):
+        self.labels, self.avg_len = data["labels"], data["avg_len"]
+        self.number = {a: i for i, a in enumerate(self.labels)}
+        self.patterns = pattern_lookup(data["patterns"], self)
+        self._path, self._size = data["path"], data["size"]
+        small = lambda most: np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.int32
+        blank = lambda kind: np.zeros(self._size, kind)
+        parent, first, following = blank(np.int32), blank(np.int32), blank(np.int32)
+        # no way is longer than the root's longest
+        level, to_end, height = (blank(small(data["root"][1])) for _ in range(3))
+        symbol, labels = blank(small(len(self.labels))), pa.array(self.labels, pa.string())
+        for batch in read_batches(self._path, ARRAY_COLUMNS):
+            n, p, is_first, after, lv, _, least, most = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) if c != "symbol" else None for c in ARRAY_COLUMNS)
+            parent[n], following[n], level[n], to_end[n], height[n] = p, after, lv, least, most
+            symbol[n] = pc.index_in(batch.column("symbol"), value_set=labels).to_numpy(zero_copy_only=False)
+            first[p[is_first]] = n[is_first]
+        parent[0], to_end[0], height[0] = -1, *data["root"]
+        self.parent, self.symbol, self.level, self.to_end, self.height = map(memoryview, (parent, symbol, level, to_end, height))
+        self._first, self._next = memoryview(first), memoryview(following)
+        self._names = None
+        self._kids, self._memo = {}, {}
+
+    def _below(self, node: int) -> dict[int, int]:
+        symbol, following, at, got = self.symbol, self._next, self._first[node], {}
+        while at:
+            got[symbol[at]] = at
+            at = following[at]
+        return got
+
+    def identity(self, node: int) -> tuple[int, int, int]:
+        if self._names is None:  # only where nodes are reported
+            names = np.zeros((2, self._size), np.int64)
+            for batch in read_batches(self._path, ["n", "z1", "z2"]):
+                names[:, np.asarray(batch.column("n"))] = np.asarray(batch.column("z1")), np.asarray(batch.column("z2"))
+            self._names = memoryview(names[0]), memoryview(names[1])
+        return self.level[node], self._names[0][node], self._names[1][node]
+
+    def key(self, node: int):
+        """The labels on the way to the node: can be walked again in any task."""
+        return [self.labels[s] for s in self.path(0, node)]
+
+    def find(self, key) -> int:
+        return self.walk(0, [self.number[a] for a in key])
+
+
 BUCKET_COLUMNS = ["p_level", "p_z1", "p_z2", "symbol", "level", "z1", "z2", "min_to_end", "max_to_end"]
 
 
@@ -247,7 +309,17 @@ def pattern_lookup(data: dict, tree: Tree):
 
 
 def build(data: dict) -> Tree:
-    return TableTree(data) if "path" in data else Tree(data)
+    return ArrayTree(data) if "size" in data else TableTree(data) if "path" in data else Tree(data)
+
+
+def read_batches(path: str, columns: list[str]):
+    """Batches of a parquet folder in the shared storage, a few in memory at a time."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    found = ds.dataset(path, filesystem=system, format="parquet")
+    yield from found.to_batches(columns=columns, batch_size=65_536, batch_readahead=1, fragment_readahead=1, use_threads=False)
 
 
 def read_folder(path: str) -> dict | None:
@@ -262,8 +334,8 @@ def read_folder(path: str) -> dict | None:
 
 
 _TREES: dict = {}
-#: Trees by broadcast that a worker process keeps at most.
-KEPT = 4
+#: Trees by broadcast that a worker process keeps at most: a large one leaves no room for others.
+KEPT = 1
 
 
 def published_tree(path: str) -> Tree:

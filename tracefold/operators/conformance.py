@@ -8,19 +8,21 @@ from dataclasses import dataclass
 from functools import cached_property, reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions import step, tree
 from tracefold.operators import disorder
 from tracefold.operators.hot_fold import HOT_EVENTS, RESULT, RESULT_DDL, fold_hot, hot_cases
-from tracefold.operators.model import BY_TIME, leaf_visits, ngrams, node_table, trace_rows
+from tracefold.operators.hotkeys import position
+from tracefold.operators.model import BY_TIME, NODE, PARENT, leaf_visits, ngrams, node_table, trace_rows
 from tracefold.operators.ordering import best_pattern_per_bag
 from tracefold.params import Params
 from tracefold.session import shared_dir, with_fields, write_through
 from tracefold.sources.messages import usable
 
 MAX_BROADCAST_NODES = 1_000_000
+MAX_ARRAY_NODES = 40_000_000  # about 20 bytes a node in each worker process
 MAX_BROADCAST_PATTERNS = 1_000_000
 MAX_LABELS = 1_000_000
 BUCKET_NODES = 50_000
@@ -38,6 +40,7 @@ class Model:
     max_pattern: int = 10
     max_nodes: int = MAX_BROADCAST_NODES
     max_patterns: int = MAX_BROADCAST_PATTERNS
+    max_array: int = MAX_ARRAY_NODES
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -60,7 +63,8 @@ class Model:
         return row["a"]
 
     def data(self, with_patterns: bool) -> dict:
-        """What a task needs.  Up to ``max_nodes`` the tree itself; beyond, the place of its written table."""
+        """What a task needs.  Up to ``max_nodes`` the tree itself; beyond, the place of its written table: of numbered nodes, which a task reads into arrays,
+        or beyond ``max_array`` of buckets that it reads as needed."""
         size = self.nodes.agg(F.count(F.lit(1)), F.min(F.col("min_to_end") + F.col("level")), F.max(F.col("max_to_end") + F.col("level"))).first()
         labels = [r["symbol"] for r in self.nodes.select("symbol").distinct().limit(MAX_LABELS + 1).collect()]
         if len(labels) > MAX_LABELS:
@@ -70,6 +74,8 @@ class Model:
         if size[0] <= self.max_nodes:
             pdf = self.nodes.select("level", "z1", "z2", "p_z1", "p_z2", "symbol", "first_trace", "min_to_end", "max_to_end").toPandas()
             return tree.pack(pdf, labels, self.avg_len, bags, tuple(size[1:]))
+        if size[0] <= self.max_array:
+            return {"path": self._numbered, "size": size[0] + 1, "labels": labels, "avg_len": self.avg_len, "patterns": bags, "root": tuple(size[1:])}
         path = f"{shared_dir(self.log.sparkSession)}/model-{uuid.uuid4().hex}"
         buckets = max(1, size[0] // BUCKET_NODES)
         kids = self.nodes.select(*tree.BUCKET_COLUMNS)
@@ -77,6 +83,19 @@ class Model:
         kids.repartition("bucket").write.partitionBy("bucket").parquet(path)
         return {"path": path, "buckets": buckets, "labels": labels, "avg_len": self.avg_len, "patterns": bags, "root": tuple(size[1:])}
 
+    @cached_property
+    def _numbered(self) -> str:
+        """Folder with the nodes for ``ArrayTree``, numbered by level and first trace as ``tree.pack`` does."""
+        path = f"{shared_dir(self.log.sparkSession)}/numbered-{uuid.uuid4().hex}"
+        nodes = self.nodes.select(*NODE, *PARENT, "symbol", "first_trace", "min_to_end", "max_to_end")
+        nodes = write_through(position(nodes, [], ["level", "first_trace"], "n"), "nodes")
+        above = nodes.select(*[F.col(c).alias(p) for c, p in zip(NODE, PARENT)], F.col("n").alias("p"))
+        siblings = Window.partitionBy(*PARENT).orderBy("symbol")
+        kids = nodes.join(above, PARENT, "left").withColumn("p", F.coalesce("p", F.lit(0)))  # the root is no row
+        kids = kids.withColumn("first", F.row_number().over(siblings) == 1).withColumn("next", F.coalesce(F.lead("n").over(siblings), F.lit(0)))
+        kids.select(*tree.ARRAY_COLUMNS, "z1", "z2").write.parquet(path)
+        return path
+
     def _bags(self, labels: list[str]) -> dict:
         """Most frequent order per bag of activities: itself, or beyond the limit the place of its written table."""
         best = best_pattern_per_bag(self.patterns).select("bag", "pattern").persist()
