@@ -61,14 +61,20 @@ def complete_match(pairs: DataFrame, nodes: DataFrame, seq: str = "seq") -> Data
 
     A sequence extends a prefix by one hash per step, so the target identity is computed, not searched.
     """
-    target = [(F.col("level") + F.size(seq)).alias("m_level")]
-    for lane in ("z1", "z2"):
-        steps = F.transform(F.col(seq), lambda a, i: step_hash(lane, F.col("level") + i + 1, a))
-        target.append(F.aggregate(steps, F.col(lane), lambda acc, h: acc.bitwiseXOR(h)).alias(f"m_{lane}"))
     hits = nodes.select(
         F.col("level").alias("m_level"), F.col("z1").alias("m_z1"), F.col("z2").alias("m_z2"), F.col("first_trace").alias("match_trace")
     )
-    return pairs.select("*", *target).join(hits, ["m_level", "m_z1", "m_z2"], "left").drop("m_z1", "m_z2")
+    return pairs.select("*", *walked(F.col(seq))).join(hits, ["m_level", "m_z1", "m_z2"], "left").drop("m_z1", "m_z2")
+
+
+def walked(seq: Column, start: list[Column] | None = None, names: tuple = ("m_level", "m_z1", "m_z2")) -> list[Column]:
+    """Identity of the prefix that a sequence makes of a start (default: the columns of NODE)."""
+    level, *lanes = start or [F.col(c) for c in NODE]
+    target = [(level + F.size(seq)).alias(names[0])]
+    for lane, at, name in zip(NODE[1:], lanes, names[1:]):
+        steps = F.transform(seq, lambda a, i: step_hash(lane, level + i + 1, a))  # noqa: B023
+        target.append(F.aggregate(steps, at, lambda acc, h: acc.bitwiseXOR(h)).alias(name))
+    return target
 
 
 def match_in_hops(starts: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:

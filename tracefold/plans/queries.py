@@ -540,27 +540,33 @@ def prefix_alignments(spark, sf_dir):
 def alignment_invariants(spark, sf_dir):
     """Each alignment costs what is reported, its log side is the case so far, its model side is a path of the model, and
     the complete one ends at the end of a trace."""
-    out = check(user_day_log(spark, sf_dir), _model(spark, sf_dir, "users"), Params(), alignments=True)
-    # the whole log side, by the running hash over (position, activity)
-    seen = md.with_prefix(md.order_in_case(out.select("case_id", "arrival_seq", "activity"), md.BY_ARRIVAL), md.BY_ARRIVAL)
-    out = out.join(seen.select("arrival_seq", F.col("pos").alias("seen_n"), F.col("z1").alias("seen_z1"), F.col("z2").alias("seen_z2")), "arrival_seq")
-    path_hash = lambda lane, seq: F.aggregate(F.transform(seq, lambda a, i: md.step_hash(lane, i + 1, a)), F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(h))
-    nodes = _model(spark, sf_dir, "users").nodes
+    log, nodes = user_day_log(spark, sf_dir), _model(spark, sf_dir, "users").nodes
+    out = check(log, _model(spark, sf_dir, "users"), Params(), alignments=True)
     zero = F.lit(0).cast("bigint")
-    model_side = lambda c: F.transform(F.filter(c, lambda m: m["model"].isNotNull()), lambda m: m["model"])
-    log_side = F.transform(F.filter("alignment", lambda m: m["log"].isNotNull()), lambda m: m["log"])
-    out = out.withColumns({"level": zero, "z1": zero, "z2": zero, "seq": model_side(F.col("alignment"))})
-    out = matching.complete_match(out, nodes).withColumnRenamed("match_trace", "on_path").drop("m_level", "seq")
-    ends = nodes.filter("is_end")
-    out = matching.complete_match(out.withColumn("seq", model_side(F.col("complete_alignment"))), ends)
-    return out.select(
+    side = lambda c, s: F.transform(F.filter(c, lambda m: m[s].isNotNull()), lambda m: m[s])
+    path = lambda c, s, mark: matching.walked(side(F.col(c), s), [zero] * 3, tuple(f"{mark}_{n}" for n in md.NODE))
+    # sides as identities: alignments are read once and not moved
+    out = out.select(
         "arrival_seq",
         (al.total_cost(F.col("alignment")) == F.col("cost")).alias("cost_ok"),
         (al.total_cost(F.col("complete_alignment")) == F.col("complete_cost")).alias("complete_cost_ok"),
-        ((F.size(log_side) == F.col("seen_n")) & (path_hash("z1", log_side) == F.col("seen_z1")) & (path_hash("z2", log_side) == F.col("seen_z2"))).alias("log_ok"),
-        ((F.size(model_side(F.col("alignment"))) == 0) | F.col("on_path").isNotNull()).alias("model_ok"),
-        F.col("match_trace").isNotNull().alias("end_ok"),
         al.trace_size(F.col("alignment")).cast("bigint").alias("trace_size"),
+        *path("alignment", "log", "log"), *path("alignment", "model", "model"), *path("complete_alignment", "model", "end"),
+    )
+    # the whole log side, by the running hash over (position, activity), from the log itself
+    seen = matching.case_prefixes(messages.usable(log), md.BY_ARRIVAL)
+    out = out.join(seen.select("arrival_seq", *[F.col(c).alias(f"seen_{c}") for c in md.NODE]), "arrival_seq")
+    at = lambda of, mark, name: of.select(*[F.col(c).alias(f"{mark}_{c}") for c in md.NODE], F.col("first_trace").alias(name))
+    for of, mark, name in ((nodes, "model", "on_path"), (nodes.filter("is_end"), "end", "at_end")):
+        out = out.join(at(of, mark, name), [f"{mark}_{c}" for c in md.NODE], "left")
+    return out.select(
+        "arrival_seq",
+        "cost_ok",
+        "complete_cost_ok",
+        ((F.col("log_level") == F.col("seen_level")) & (F.col("log_z1") == F.col("seen_z1")) & (F.col("log_z2") == F.col("seen_z2"))).alias("log_ok"),
+        ((F.col("model_level") == 0) | F.col("on_path").isNotNull()).alias("model_ok"),
+        F.col("at_end").isNotNull().alias("end_ok"),
+        "trace_size",
     )
 
 
