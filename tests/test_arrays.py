@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_step import build_tree, random_traces
 from test_third import random_log
 from tracefold.functions import step, tree
+from tracefold.operators import conformance, matching
 from tracefold.operators.conformance import Model, check, retained
 from tracefold.params import Params
 
@@ -65,3 +66,28 @@ def test_a_long_case_does_not_fill_the_caches(monkeypatch):
             m.setattr(tree, "MEMO_LIMIT", 10**9)
             step.observe(free, Params(), other, free.number[a], i, None)
         assert (case.cost, step.states(case)) == (other.cost, step.states(other))
+
+
+def test_any_order_below_a_start_meets_only_its_own_nodes(make_log, spark):
+    """Groups of several sizes and starts: the same nodes as by trying every permutation."""
+    import itertools
+
+    traces = ["ABCA", "BACB", "ABAC", "CABB", "AABC"]
+    model = Model(make_log([(f"m{i}", a, float(j), 10 * i + j) for i, t in enumerate(traces) for j, a in enumerate(t)]))
+    named = {r["trace_id"] * 100 + r["level"]: r for r in model.rows.collect()}
+    first = {(r["level"], r["z1"], r["z2"]): r["first_trace"] for r in model.nodes.collect()}
+    prefix = {(r["level"], r["z1"], r["z2"]): traces[r["trace_id"] // 10][: r["level"]] for r in named.values()}
+    groups, events, want, n = [], [], set(), 0
+    for start, text in [((0, 0, 0), ""), *prefix.items()]:
+        for bag in ("AB", "BC", "ABC", "AA"):
+            groups.append((n, *start))
+            events += [(n, a) for a in bag]
+            for node, whole in prefix.items():
+                if whole in {text + "".join(q) for q in itertools.permutations(bag)}:
+                    want.add((n, start[0], node[0], first[node]))
+            n += 1
+    members = spark.createDataFrame(events, "group_id int, activity string")
+    sums = members.select("group_id", *matching.bag_lanes("activity")).groupBy("group_id").agg(F.count("*").alias("n"), F.sum("b1").alias("g1"), F.sum("b2").alias("g2"))
+    starts = spark.createDataFrame(groups, "group_id int, level long, z1 long, z2 long")
+    found = matching.match_any_order(starts.join(sums, "group_id"), model.rows, model.nodes, events=members).collect()
+    assert sorted((r.group_id, r.s_level, r.hit_level, r.first_trace) for r in found) == sorted(want) and want

@@ -128,35 +128,31 @@ def match_any_order(groups: DataFrame, rows: DataFrame, nodes: DataFrame, limit:
 
     ``groups``: ``group_id``, the start node's (level, z1, z2) - (0, 0, 0) is the root -, the group's size ``n`` and bag sums
     ``g1, g2``.  The bag of the path from the start to a node is the difference of two prefix sums, so permutations are
-    never enumerated: one join on (depth, bag sum), one on the trace to see that the start is above the node.  Sums of different bags may agree by chance: with
+    never enumerated: groups at the root meet the nodes of their depth and bag sum; the others meet, by the start's identity too, pairs of a node and its ancestor
+    as many levels above as some group there is large.  Sums of different bags may agree by chance: with
     ``events`` (``group_id``, ``activity``, one row per member) the two bags are compared, count by count (``_same_bag``).
     """
-    at_nodes = nodes.select(*NODE, "first_trace").join(
-        node_bags(rows, limit).select(*NODE, F.col("trace_id").alias("first_trace"), "s1", "s2"), [*NODE, "first_trace"]
-    )
-    root = F.col("level") == 0
-    start_sums = at_nodes.select(*NODE, F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    g = groups.join(start_sums, NODE, "left").select(
-        "group_id", F.col("level").alias("s_level"), F.col("z1").alias("s_z1"), F.col("z2").alias("s_z2"),
-        (F.col("level") + F.col("n")).alias("level"),
-        (F.when(root, F.lit(0)).otherwise(F.col("a1")) + F.col("g1")).alias("s1"),
-        (F.when(root, F.lit(0)).otherwise(F.col("a2")) + F.col("g2")).alias("s2"),
-    )
-    hits = g.join(at_nodes.select("level", "s1", "s2", "first_trace", F.col("z1").alias("hit_z1"), F.col("z2").alias("hit_z2")), ["level", "s1", "s2"])
-    above = rows.select(
-        F.col("trace_id").alias("first_trace"), F.col("level").alias("s_level"), F.col("z1").alias("s_z1"), F.col("z2").alias("s_z2")
-    )
-    from_root = hits.filter("s_level = 0")
-    inner = hits.filter("s_level > 0").join(above, ["first_trace", "s_level", "s_z1", "s_z2"], "left_semi")
-    out = from_root.unionByName(inner).select("group_id", "s_level", F.col("level").alias("hit_level"), "first_trace", "hit_z1", "hit_z2")
+    bags = write_through(node_bags(rows, limit).select(*NODE, "trace_id", "s1", "s2"), "bags")
+    at_nodes = nodes.select(*NODE, "first_trace").join(bags.withColumnRenamed("trace_id", "first_trace"), [*NODE, "first_trace"])
+    hit = at_nodes.select("level", "s1", "s2", "first_trace", F.col("z1").alias("hit_z1"), F.col("z2").alias("hit_z2"))
+    start = [F.col(c).alias(f"s_{c}") for c in NODE]
+    kept = ["group_id", "s_level", F.col("level").alias("hit_level"), "first_trace", "hit_z1", "hit_z2"]
+    from_root = groups.filter("level = 0").select("group_id", F.col("level").alias("s_level"), F.col("n").alias("level"), F.col("g1").alias("s1"), F.col("g2").alias("s2"))
+    from_root = from_root.join(hit, ["level", "s1", "s2"]).select(*kept)
+    inner = groups.filter("level > 0").select("group_id", *start, "n", "g1", "g2")
+    sizes = inner.select("s_level", "n", (F.col("s_level") + F.col("n")).alias("level")).distinct()
+    above = bags.select(F.col("trace_id").alias("first_trace"), *start, F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+    pairs = hit.join(sizes, "level").join(above, ["first_trace", "s_level"]).withColumns({"g1": F.col("s1") - F.col("a1"), "g2": F.col("s2") - F.col("a2")})
+    inner = inner.join(pairs.drop("s1", "s2", "a1", "a2"), ["s_level", "s_z1", "s_z2", "n", "g1", "g2"]).select(*kept)
+    out = from_root.unionByName(inner)
     return out if events is None else _same_bag(out, rows, events)
 
 
 def _same_bag(hits: DataFrame, rows: DataFrame, events: DataFrame) -> DataFrame:
     """The hits whose path below the start has each activity as often as the group has."""
     key = ["group_id", "s_level", "hit_level", "first_trace"]
-    path = hits.select(*key).join(rows.select(F.col("trace_id").alias("first_trace"), "level", "activity"), "first_trace")
-    path = path.where((F.col("level") > F.col("s_level")) & (F.col("level") <= F.col("hit_level"))).groupBy(*key, "activity").agg(F.count(F.lit(1)).alias("_on_path"))
+    steps = hits.select(*key, F.explode(F.sequence(F.col("s_level") + 1, F.col("hit_level"))).alias("level"))  # as many as the group has events
+    path = steps.join(rows.select(F.col("trace_id").alias("first_trace"), "level", "activity"), ["first_trace", "level"]).groupBy(*key, "activity").agg(F.count(F.lit(1)).alias("_on_path"))
     own = events.groupBy("group_id", "activity").agg(F.count(F.lit(1)).alias("_in_group"))
     agree = path.join(own, ["group_id", "activity"]).where("_on_path = _in_group").groupBy(*key).agg(F.sum("_on_path").alias("_n"))
     # path and group have equally many events
