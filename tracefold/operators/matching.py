@@ -80,7 +80,7 @@ def walked(seq: Column, start: list[Column] | None = None, names: tuple = ("m_le
 def match_in_hops(starts: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:
     """Nodes with label ``evt`` one to ``hops`` levels below each start node.
 
-    ``starts`` has the node identity and any other columns; one join with the nodes per level.
+    ``starts`` has the node identity and any other columns; one join with the nodes per level, written before the next level reads it.
     """
     kids = nodes.select(*[F.col(p).alias(f"_{n}") for p, n in zip(PARENT, NODE)], *[F.col(n).alias(f"k_{n}") for n in NODE],
                         "symbol", F.col("first_trace").alias("hit_trace"))
@@ -88,7 +88,8 @@ def match_in_hops(starts: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:
     at = starts.select("*", *[F.col(n).alias(f"_{n}") for n in NODE])
     found = []
     for hop in range(1, hops + 1):
-        step = at.join(kids, ["_level", "_z1", "_z2"])
+        step = at.join(kids, ["_level", "_z1", "_z2"]).drop("_level", "_z1", "_z2")
+        step = write_through(step, "hop") if hop < hops else step
         found.append(step.filter("symbol = evt").select(*keep, F.lit(hop).alias("hop"), "hit_trace", F.col("k_level").alias("hit_level")))
         at = step.select(*keep, *[F.col(f"k_{n}").alias(f"_{n}") for n in NODE])
     return reduce(DataFrame.unionByName, found)
