@@ -68,6 +68,14 @@ def test_a_long_case_does_not_fill_the_caches(monkeypatch):
         assert (case.cost, step.states(case)) == (other.cost, step.states(other))
 
 
+def test_unseen_meets_each_known_activity_once(spark, make_log):
+    log = make_log([("c", a, float(i), i) for i, a in enumerate("ABAC")])
+    known = spark.createDataFrame([("A",)] * 50 + [(None,)], "activity string")
+    out = matching.unseen(log, known)
+    assert sorted(r.activity for r in out.collect()) == ["B", "C"]
+    assert "Distinct" in out._jdf.queryExecution().analyzed().toString() or "Deduplicate" in out._jdf.queryExecution().analyzed().toString()
+
+
 def test_any_order_below_a_start_meets_only_its_own_nodes(make_log, spark):
     """Groups of several sizes and starts: the same nodes as by trying every permutation."""
     import itertools

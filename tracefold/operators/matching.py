@@ -167,7 +167,8 @@ def known_cases(log: DataFrame, requested: DataFrame) -> DataFrame:
 
 def unseen(log: DataFrame, alphabet: DataFrame) -> DataFrame:
     """The events whose activity is not in the alphabet."""
-    return log.join(alphabet.select("activity"), "activity", "left_anti")
+    # once each: a join by activity must not carry the rows of a frequent one into one task
+    return log.join(alphabet.select("activity").distinct(), "activity", "left_anti")
 
 
 def unknown_case_cost(log: DataFrame, nodes: DataFrame, requested: DataFrame) -> DataFrame:
