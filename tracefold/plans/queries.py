@@ -426,8 +426,9 @@ def inject_disorder(spark, sf_dir):
 @query
 def disorder_levels(spark, sf_dir):
     """Late events per swap setting."""
-    moved = disorder.inject_disorder(user_log(spark, sf_dir))
+    moved = disorder.inject_disorder(user_log(spark, sf_dir).select("case_id", "event_time", "arrival_seq"))
     tagged = moved.withColumn("case_id", labels.swap_case(F.col("setting"), F.col("case_id")))
+    tagged = write_through(tagged, "moved")  # read again for the row counts of its cases
     late = disorder.late_flags(tagged)
     return late.groupBy("setting").agg(F.count(F.when(F.col("late"), 1)).alias("n_late"), F.count(F.lit(1)).alias("n_events"))
 
