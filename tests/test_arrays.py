@@ -68,6 +68,18 @@ def test_a_long_case_does_not_fill_the_caches(monkeypatch):
         assert (case.cost, step.states(case)) == (other.cost, step.states(other))
 
 
+@pytest.mark.parametrize("min_decay,again", [(9, False), (2, True)])
+def test_later_rounds_fold_only_where_a_life_changed(make_log, both, monkeypatch, min_decay, again):
+    log = random_log(make_log, 13, letters="ABCDX", late=0.6, at=4)
+    p = Params(order="greedy", alpha=0.3, min_decay=min_decay)
+    rows, fold = [], conformance.fold
+    monkeypatch.setattr(conformance, "fold", lambda log, *more: rows.append(log.count()) or fold(log, *more))
+    got = sorted(map(str, check(log, both[0], p).collect()))
+    assert rows[0] == log.count() and len(rows) > 1 and (sum(rows[1:]) > 0) == again
+    monkeypatch.setattr(conformance, "_lives", lambda p, n, multiplier: F.col(multiplier))  # any change of a multiplier
+    assert sorted(map(str, check(log, both[0], p).collect())) == got
+
+
 def test_unseen_meets_each_known_activity_once(spark, make_log):
     log = make_log([("c", a, float(i), i) for i, a in enumerate("ABAC")])
     known = spark.createDataFrame([("A",)] * 50 + [(None,)], "activity string")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import cached_property, reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions import step, tree
@@ -153,7 +153,7 @@ def check(log: DataFrame, model: Model, params: Params | list[Params] = Params()
         if p.order == "none" and p.min_decay >= 2:  # the flags need no fold
             todo.append(_multiplier(flagged, p, ewma_keys, limit).drop("used"))
         else:
-            settled = _settle(flagged, p, sets, shipped, plan, ewma_keys, limit)
+            settled = _settle(flagged, p, sets, model, plan, ewma_keys, limit)
             if alignments:
                 todo.append(settled.drop("used", *RESULT))
             else:
@@ -177,7 +177,7 @@ def retained(log: DataFrame, model: Model, p: Params = Params(), limit: int | No
         if p.order == "none" and p.min_decay >= 2:
             ready = _multiplier(flagged, p, None, limit).drop("used")
         else:
-            ready = _settle(flagged, p, [p], shipped, FoldPlan.of(log, limit), None, limit).select(*tagged.columns, "multiplier")
+            ready = _settle(flagged, p, [p], model, FoldPlan.of(log, limit), None, limit).select(*tagged.columns, "multiplier")
     n = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), log.count() // EVENTS_PER_TASK)
     ranged = ready.repartition(n, "case_id").sortWithinPartitions("case_id", "arrival_seq")
     schema = "case_id string, open_events int, level long, z1 long, z2 long, base_cost int, postfix array<string>, complete_cost int"
@@ -218,18 +218,27 @@ def _multiplier(flagged: DataFrame, p: Params, keys, limit) -> DataFrame:
     return disorder.ewma_multiplier(flagged.withColumn("flag", F.col("used")), p.alpha, p.multiplier, limit, keys).drop("flag")
 
 
-def _settle(flagged: DataFrame, p: Params, sets, shipped, plan, keys, limit) -> DataFrame:
+def _lives(p: Params, avg_len: int, multiplier: str) -> Column:
+    """Equal for two multipliers exactly if every state lives equally long with both (``step.life``): no life falls as the multiplier grows, so their sum tells."""
+    if not p.discounted:
+        return F.lit(0)
+    shortest = F.lit(p.min_decay).cast("bigint")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(avg_len, 1))), F.lit(0).cast("bigint"), lambda n, left: n + F.greatest(F.floor(left * F.col(multiplier) + 0.5), shortest))
+
+
+def _settle(flagged: DataFrame, p: Params, sets, model: Model, plan, keys, limit) -> DataFrame:
     """Results of an adaptive run whose flags depend on the fold.
 
     The flag of a tie depends on the order chosen for it, which depends on the multiplier so far.  The earliest wrong flag
-    of a round is right in the next, so this ends; usually after one or two rounds.  The fold of a case reads its events and multipliers only, so a
-    later round folds the cases in which a multiplier changed and keeps the rows of the others.
+    of a round is right in the next, so this ends; usually after one or two rounds.  The fold of a case reads its events and the lives that the multipliers
+    give only, so a later round folds the cases in which a life changed and keeps the rows of the others, with their new multipliers.
     """
+    shipped = model.ship(any(q.order == "ngrams" for q in sets))
     result = write_through(fold(_multiplier(flagged, p, keys, limit), sets, shipped, plan), "round")
     while not result.filter("not (flag <=> used)").isEmpty():
         again = result.drop("used").withColumnsRenamed({"flag": "used", "multiplier": "_was"})
         again = write_through(_multiplier(again, p, keys, limit), "flags")
-        moved = write_through(again.filter("multiplier <> _was").select("case_id").distinct(), "moved")
+        moved = write_through(again.filter(_lives(p, model.avg_len, "multiplier") != _lives(p, model.avg_len, "_was")).select("case_id").distinct(), "moved")
         kept = again.join(moved, "case_id", "left_anti").withColumn("flag", F.col("used")).select(*result.columns)
         folded = fold(again.join(moved, "case_id", "left_semi").drop("_was", *RESULT), sets, shipped, plan)
         result = write_through(kept.unionByName(folded), "round")
