@@ -44,9 +44,9 @@ def model_projection(alignment: Column) -> Column:
 
 def move_text(m: Column) -> Column:
     skip = F.lit(SKIP)
-    return F.format_string(
-        "[logMove:%s, modelMove:%s, cost:%d]", F.coalesce(m["log"], skip), F.coalesce(m["model"], skip), m["cost"]
-    )
+    # not format_string, which takes most of the time of a long alignment's text
+    cost = F.coalesce(m["cost"].cast("string"), F.lit("null"))
+    return F.concat(F.lit("[logMove:"), F.coalesce(m["log"], skip), F.lit(", modelMove:"), F.coalesce(m["model"], skip), F.lit(", cost:"), cost, F.lit("]"))
 
 
 def text(alignment: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
 
 from tracefold.functions.ties import arrange
@@ -157,19 +158,63 @@ def complete_cost(tree: Tree, case: Case) -> int:
 
 def alignment(tree: Tree, case: Case, node: int | None = None) -> list[tuple]:
     """Moves (log label, model label) of a reported state; None stands for a skip."""
+    return [tuple(None if s is None else tree.label(s) for s in m) for moves in reversed(_parts(case, node)) for m in moves]
+
+
+def _parts(case: Case, node: int | None = None) -> list[tuple]:
+    """What each event added to the alignment of a state, the last first."""
     newest = case.gens[-1][3]
     al, parts = newest[min(newest) if node is None else node], []
     while al is not None:
         al, moves = al
         parts.append(moves)
-    return [tuple(None if s is None else tree.label(s) for s in m) for moves in reversed(parts) for m in moves]
+    return parts
+
+
+def _nearest(tree: Tree, case: Case) -> int:
+    """Of the newest states the one nearest to an end."""
+    return min(case.gens[-1][3], key=lambda n: (tree.to_end[n], n))
 
 
 def complete_alignment(tree: Tree, case: Case) -> list[tuple]:
     """Moves if the case ended now: of the newest states the one nearest to an end, then model moves to that end."""
-    node = min(case.gens[-1][3], key=lambda n: (tree.to_end[n], n))
-    moves = alignment(tree, case, node)
-    while tree.to_end[node] > 0:
-        symbol, node = min(tree.kids(node).items(), key=lambda kid: (tree.to_end[kid[1]], kid[0]))
-        moves.append((None, tree.labels[symbol]))
-    return moves
+    node = _nearest(tree, case)
+    return alignment(tree, case, node) + [(None, tree.labels[s]) for s in tree.ending(node)]
+
+
+class Moves:
+    """A column of alignments: the symbols of all moves in a row, a list of each side; -1 is a skip."""
+
+    KIND = pa.struct([("log", pa.string()), ("model", pa.string()), ("cost", pa.int32())])
+
+    def __init__(self, tree: Tree):
+        self.tree, self.log, self.model, self.ends = tree, [], [], [0]
+        self.strange: dict[str, int] = {}  # activities that the model does not know
+
+    def add(self, parts: list[tuple], ending: tuple = ()) -> None:
+        """One alignment from ``_parts``; model moves follow."""
+        log, model = self.log, self.model
+        for moves in reversed(parts):
+            for a, b in moves:
+                log.append(a if type(a) is int else -1 if a is None else self._number(a))
+                model.append(-1 if b is None else b)
+        log.extend((-1,) * len(ending))
+        model.extend(ending)
+        self.ends.append(len(model))
+
+    def _number(self, activity: str) -> int:
+        return self.strange.setdefault(activity, len(self.tree.labels) + len(self.strange))
+
+    def array(self) -> pa.Array:
+        log, model = np.array(self.log, np.int32), np.array(self.model, np.int32)
+        names = pa.array([*self.tree.labels, *self.strange], pa.string()) if self.strange else self.tree.names
+        sides = [names.take(pa.array(side, mask=side < 0)) for side in (log, model)]
+        moves = pa.StructArray.from_arrays([*sides, pa.array(((log < 0) | (model < 0)).astype(np.int32))], fields=list(self.KIND))
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), moves)
+
+
+def report(tree: Tree, case: Case, moves: Moves, ended: Moves) -> None:
+    """Add the reported alignment and the complete one."""
+    moves.add(_parts(case))
+    node = _nearest(tree, case)
+    ended.add(_parts(case, node), tree.ending(node))

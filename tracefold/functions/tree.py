@@ -11,6 +11,7 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections import OrderedDict
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,12 @@ ROOT_SYMBOL = -1
 SEPARATOR = "\x1f"  # between labels in the text of a bag
 #: Searches and hits that are remembered, and nodes whose children are kept as a dict.
 MEMO_LIMIT, KEPT_KIDS = 200_000, 100_000
+#: Symbols of the ways to the nearest end that are kept.
+KEPT_MOVES = 1_000_000
 
 
 class Tree:
-    _weight = 0  # of what is remembered
+    _weight, _ending_moves = 0, 0  # of what is remembered
 
     def __init__(self, data: dict):
         self.labels = data["labels"]  # in order of the symbol number
@@ -39,6 +42,7 @@ class Tree:
         self._named: dict | None = None
         self._kids: dict[int, dict[int, int]] = {}
         self._memo: dict = {}
+        self._endings: dict[int, tuple[int, ...]] = {}
 
     def kids(self, node: int) -> dict[int, int]:
         got = self._kids.get(node)
@@ -55,6 +59,26 @@ class Tree:
     def rest(self) -> None:
         """Called between cases: what was only cached is dropped where it is filled, as cases may be long."""
 
+    def ending(self, node: int) -> tuple[int, ...]:
+        """Symbols on the way down to the nearest end, the smallest of equally near ones; ways that were asked for are kept up to ``KEPT_MOVES`` symbols."""
+        got = self._endings.get(node)
+        if got is None:
+            to_end, at, way = self.to_end, node, []
+            for left in range(to_end[node] - 1, -1, -1):
+                symbol, at = next((s, c) for s, c in self._below(at).items() if to_end[c] == left)  # children are in the order of their symbols
+                way.append(symbol)
+            got = tuple(way)
+            if self._ending_moves > KEPT_MOVES:
+                self._endings.clear()
+                self._ending_moves = 0
+            self._ending_moves += len(got) + 20
+            self._endings[node] = got
+        return got
+
+    @cached_property
+    def names(self) -> pa.Array:
+        return pa.array(self.labels, pa.string())
+
     def walk(self, node: int, seq) -> int | None:
         for s in seq:
             node = self.kids(node).get(s)
@@ -93,13 +117,18 @@ class Tree:
             return []
         known = next((i for i, s in enumerate(reversed(events)) if type(s) is str), n)
         first = max(n - known, n + 1 - room)  # what is left after giving up must fit below a skipped node
+        kids, kept = self.kids, self._kids
         layers = [[node]]
 
         def hits(given_up: int, skipped: int) -> list[int]:
             while len(layers) <= skipped:
-                layers.append([c for p in layers[-1] for c in self.kids(p).values()])
-            seq = events[given_up:]
-            return [h for h in (self.walk(c, seq) for c in layers[skipped]) if h is not None]
+                layers.append([c for p in layers[-1] for c in (kept.get(p) or kids(p)).values()])
+            found = layers[skipped]
+            for s in events[given_up:]:
+                found = [c for at in found if (c := (kept.get(at) or kids(at)).get(s)) is not None]
+                if not found:
+                    break
+            return found
 
         def deepest(given_up: int) -> int:
             return min(n - given_up, room - n + given_up)
@@ -180,7 +209,7 @@ class ArrayTree(Tree):
         self.parent, self.symbol, self.level, self.to_end, self.height = map(memoryview, (parent, symbol, level, to_end, height))
         self._first, self._next = memoryview(first), memoryview(following)
         self._names = None
-        self._kids, self._memo = {}, {}
+        self._kids, self._memo, self._endings = {}, {}, {}
 
     def _below(self, node: int) -> dict[int, int]:
         symbol, following, at, got = self.symbol, self._next, self._first[node], {}
@@ -230,7 +259,7 @@ class TableTree(Tree):
         self.to_end, self.height = [self._root[0]], [self._root[1]]
         self._keys = [(0, 0, 0)]
         self._at = {(0, 0, 0): 0}
-        self._kids, self._memo = {}, {}
+        self._kids, self._memo, self._endings = {}, {}, {}
 
     def rest(self) -> None:
         if len(self._keys) > self.KEEP_NODES or len(self._memo) > MEMO_LIMIT:
@@ -272,6 +301,8 @@ class TableTree(Tree):
             self._kids[node] = got
         return got
 
+    _below = kids  # node numbers are given here
+
     def identity(self, node: int) -> tuple[int, int, int]:
         return self._keys[node]
 

@@ -288,7 +288,7 @@ def _fold(batches, shipped, sets: list[Params], alignments: bool):
     now, case, p = None, None, None
     for batch in batches:
         cols = (batch.column(c).to_pylist() for c in ("setting", "case_id", "activity", "multiplier"))
-        out, moves, ended = [], [], []
+        out, moves, ended = [], step.Moves(model), step.Moves(model)
         for setting, case_id, activity, mult, ts in zip(*cols, step.millis(batch.column("event_time"))):
             if (setting, case_id) != now:
                 now, p = (setting, case_id), sets[setting]
@@ -297,17 +297,10 @@ def _fold(batches, shipped, sets: list[Params], alignments: bool):
             flag, redone = step.observe(model, p, case, number.get(activity, activity), ts, mult, alignments)
             out.append((case.cost, step.states(case), case.gens[0][0], flag, redone, step.complete_cost(model, case)))
             if alignments:
-                moves.append(_as_moves(step.alignment(model, case)))
-                ended.append(_as_moves(step.complete_alignment(model, case)))
+                step.report(model, case, moves, ended)
         result = batch
         for name, values in zip(RESULT, zip(*out)):
             result = result.append_column(name, pa.array(values, pa.int32()))
         if alignments:
-            kind = pa.list_(pa.struct([("log", pa.string()), ("model", pa.string()), ("cost", pa.int32())]))
-            result = result.append_column("alignment", pa.array(moves, kind))
-            result = result.append_column("complete_alignment", pa.array(ended, kind))
+            result = result.append_column("alignment", moves.array()).append_column("complete_alignment", ended.array())
         yield result
-
-
-def _as_moves(pairs: list[tuple]) -> list[dict]:
-    return [{"log": a, "model": b, "cost": int(a is None or b is None)} for a, b in pairs]
