@@ -8,6 +8,9 @@ running value never needs a single-partition window on a large log.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +72,11 @@ def with_chunks(df: DataFrame, keys: list[str], order: list[str], limit: int | N
     )
     cuts = write_through(cuts, "cuts")
     marked = _join(_join(df, hot, keys, "left", few), cuts, keys, "left", few).withColumn("_f", place.cast("double"))
-    marked = marked.withColumn(CHUNK, F.coalesce(F.expr("size(filter(_cuts, x -> x < _f))"), F.lit(0)))
+    if keys:
+        marked = marked.withColumn(CHUNK, F.coalesce(F.expr("size(filter(_cuts, x -> x < _f))"), F.lit(0)))
+    else:  # every row has the same cuts, which grow with the log: searched by halves
+        splits = [-math.inf, *cuts.first()["_cuts"], math.inf]
+        marked = Bucketizer(splits=splits, inputCol="_f", outputCol=CHUNK).transform(marked).withColumn(CHUNK, F.col(CHUNK).cast("int"))
     return write_through(marked.drop("_n", "_a0", "_b0", "_b1", "_cuts", "_f"), "chunks"), True
 
 
