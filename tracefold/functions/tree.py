@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 ROOT_SYMBOL = -1
 SEPARATOR = "\x1f"  # between labels in the text of a bag
 #: Searches and hits that are remembered, and nodes whose children are kept as a dict.
-MEMO_LIMIT, KEPT_KIDS = 200_000, 100_000
+MEMO_LIMIT, KEPT_KIDS = 30_000, 20_000
 #: Symbols of the ways to the nearest end that are kept.
 KEPT_MOVES = 1_000_000
 
