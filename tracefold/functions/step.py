@@ -94,37 +94,174 @@ def observe(tree: Tree, p: Params, case: Case, sym: int, ts: int, mult: float |
     return flag, len(redo)
 
 
+class State:
+    """What a case carries from one event to the next, without times and with costs counted from its own; never changed."""
+
+    __slots__ = ("size", "tail", "gens", "n_states", "more", "next")
+
+    def __init__(self, size: int, tail: tuple, gens: list | None, n_states: int = 0, more: int = 0):
+        self.size, self.tail, self.gens = size, tail, gens
+        self.n_states, self.more = n_states, more  # as ``states`` and ``complete_cost`` without the cost
+        self.next: dict = {}  # event or replay and lives -> (state, its cost)
+
+
+#: States that ``Runs`` remembers.
+KEPT_STATES = 30_000
+
+
+class Runs:
+    """Cases under several parameter sets, event by event, as ``observe`` takes them: the next state depends on the state, on the events to replay and on how long
+    the new states live, so runs and cases that share these share the work.  Sets whose runs agree so far go on as one.  What is remembered is bounded."""
+
+    def __init__(self, tree: Tree, sets: list[Params]):
+        self.tree, self.sets = tree, sets
+        self._kind = [(p.event_time_aware, p.min_decay, p.discounted) for p in sets]
+        self._alike = [[i for i, kind in enumerate(self._kind) if kind == one] for one in dict.fromkeys(self._kind)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self._states: dict = {}
+        self.start = State(0, (), None)
+
+    def begin(self) -> list:
+        """A case under all sets: state, cost, times of the retained events, and the sets that have these."""
+        if self.tree.rest():
+            self._forget()
+        return [(self.start, 0, [], alike) for alike in self._alike]
+
+    def observe(self, case: list, sym: int, ts: int, mults: list[float], out: list) -> list:
+        """Take one event, with a multiplier for each set; returns the case after it.  ``out`` gets a result at the place of each set: (cost, states, open events,
+        late flag or None, events replayed, complete cost)."""
+        after = []
+        for state, cost, times, alike in case:
+            p, back, flag, at = self.sets[alike[0]], 0, None, len(times)
+            if p.event_time_aware and at:
+                flag = 0
+                if ts <= times[-1]:
+                    lo, at = bisect_left(times, ts), bisect_right(times, ts)
+                    if lo < at and (len(alike) > 1 or p.order != "none"):
+                        for order in dict.fromkeys(self.sets[i].order for i in alike):
+                            some = [i for i in alike if self.sets[i].order == order]
+                            self._tied(after, state, cost, times, some, order, sym, ts, lo, at, mults, out)
+                        continue
+                    back = len(times) - at
+                    flag = 1 if back else 0
+            self._go(after, state, cost, times, alike, (sym, *state.tail[at:]) if back else sym, back, ts, at, mults, flag, out)
+        return after
+
+    def _tied(self, after, state, cost, times, alike, order, sym, ts, lo, at, mults, out) -> None:
+        """Equal timestamps: the sets of one order."""
+        if order == "none":
+            back = len(times) - at
+            self._go(after, state, cost, times, alike, (sym, *state.tail[at:]) if back else sym, back, ts, at, mults, 1 if back else 0, out)
+            return
+        back = len(times) - lo
+        group = [*state.tail[lo:at], sym]
+        starts = [n for k, _, _, nodes in state.gens if k == back for n in sorted(nodes)]
+        done = arrange(self.tree, order, group, starts)
+        self._go(after, state, cost, times, alike, (*done, *state.tail[at:]), back, ts, at, mults, 1 if done != group else None, out)
+
+    def _go(self, after, state, cost, times, alike, redo, back, ts, at, mults, flag, out) -> None:
+        p, avg_len, size = self.sets[alike[0]], self.tree.avg_len, state.size - back
+        if not p.discounted or size >= avg_len:
+            ways = [(alike, (redo, p.min_decay))]
+        else:
+            found: dict = {}
+            for i in alike:
+                m = mults[i]
+                lives = [int((avg_len - n) * m + 0.5) for n in range(size if state.gens is None else size + 1, min(size + back + 1, avg_len) + 1)]
+                found.setdefault((redo, p.min_decay, *[x if x > p.min_decay else p.min_decay for x in lives]), []).append(i)
+            ways = [(some, key) for key, some in found.items()]
+        for some, key in ways:
+            got = state.next.get(key)
+            if got is None:
+                got = state.next[key] = self._after(state, p, redo if back else (redo,), back, mults[some[0]])
+            then, more = got
+            if p.event_time_aware:
+                now = times.copy()
+                now.insert(at, ts)
+                del now[: len(now) - len(then.tail)]
+            else:
+                now = times
+            total = cost + more
+            row = (total, then.n_states, then.gens[0][0], flag, back + 1, total + then.more)
+            for i in some:
+                out[i] = row
+            for j, (other, its, when, sets) in enumerate(after):
+                if other is then and its == total and when == now and self._kind[sets[0]] == self._kind[some[0]]:
+                    after[j] = (then, total, now, sets + some)
+                    break
+            else:
+                after.append((then, total, now, some))
+
+    def _after(self, state: State, p: Params, redo: tuple, back: int, mult: float) -> tuple[State, int]:
+        tree, case = self.tree, Case(mult)
+        case.size, case.tail, case.gens = state.size - back, list(state.tail[: len(state.tail) - back]), state.gens
+        if case.gens is None:
+            case.gens = [[0, 0, life(p, tree.avg_len, 0, mult) + 1, {0: None}]]
+        if back:
+            case.gens = [[k - back, c, d, nodes] for k, c, d, nodes in case.gens if k >= back]
+        last = len(redo) - 1
+        for i, s in enumerate(redo):
+            best, nodes = _fitting(tree, case.gens, s, False) or _reached(tree, case.gens, case.tail, s, False)
+            _grow(tree, p, case, best, nodes, mult, i == last)
+            case.tail.append(s)
+        cost, tail = case.cost, tuple(case.tail[max(len(case.tail) - case.gens[0][0], 0) :])
+        gens = [[k, c - cost, d, nodes] for k, c, d, nodes in case.gens]
+        key = (case.size, tail, tuple([(k, c, d, tuple(nodes)) for k, c, d, nodes in gens]))
+        kept = self._states.get(key)
+        if kept is None:
+            if len(self._states) >= KEPT_STATES:
+                self._forget()
+            kept = self._states[key] = State(case.size, tail, gens, sum(len(g[3]) for g in gens), min(tree.to_end[n] for n in gens[-1][3]))
+        return kept, cost
+
+
 def _advance(tree: Tree, p: Params, case: Case, sym: int, mult: float, last: bool, keep: bool) -> None:
-    gens = case.gens
+    best, nodes = _fitting(tree, case.gens, sym, keep) or _reached(tree, case.gens, case.tail, sym, keep)
+    _grow(tree, p, case, best, nodes, mult, last)
+
+
+def _fitting(tree: Tree, gens: list, sym: int, keep: bool) -> tuple[int, dict] | None:
+    """Cost and nodes of the new generation where the event fits below the newest one."""
+    if not gens or gens[-1][0] != 0:
+        return None
     nodes: dict = {}
-    if gens and gens[-1][0] == 0:
-        best = gens[-1][1]
-        for n, al in gens[-1][3].items():
-            to = tree.kids(n).get(sym)
-            if to is not None:
-                nodes.setdefault(to, (al, ((sym, sym),)) if keep else None)
-    if not nodes:
-        best = min(cost + k + 1 for k, cost, _, _ in gens)
-        height, tail, size = tree.height, case.tail, len(case.tail)
-        known = type(sym) is int
-        for k, cost, _, at in reversed(gens):  # newest first
-            events = None
-            if cost + k + 1 == best:
-                events = (*tail[size - k :], sym)
-                for n, al in at.items():
-                    nodes.setdefault(n, (al, tuple((e, None) for e in events)) if keep else None)
-            if cost > best or not known:
-                continue
+    for n, al in gens[-1][3].items():
+        to = tree.kids(n).get(sym)
+        if to is not None:
+            nodes.setdefault(to, (al, ((sym, sym),)) if keep else None)
+    return (gens[-1][1], nodes) if nodes else None
+
+
+def _reached(tree: Tree, gens: list, tail: list, sym: int, keep: bool) -> tuple[int, dict]:
+    """Cost and nodes of the new generation otherwise."""
+    nodes: dict = {}
+    best = min(cost + k + 1 for k, cost, _, _ in gens)
+    height, size = tree.height, len(tail)
+    known = type(sym) is int
+    for k, cost, _, at in reversed(gens):  # newest first
+        events = None
+        if cost + k + 1 == best:
+            events = (*tail[size - k :], sym)
             for n, al in at.items():
-                if height[n] < 2:  # model moves need a node to skip and one to reach
-                    continue
-                events = events or (*tail[size - k :], sym)
-                for to, sync, extra in tree.ahead(n, events, best - cost):
-                    if cost + extra < best:
-                        best, nodes = cost + extra, {}
-                    if cost + extra == best and to not in nodes:
-                        nodes[to] = (al, _moves(tree, n, to, events, sync)) if keep else None
-    grown = [[k + 1, c, d - 1 if last else d, at] for k, c, d, at in gens if d >= 2]
+                nodes.setdefault(n, (al, tuple((e, None) for e in events)) if keep else None)
+        if cost > best or not known:
+            continue
+        for n, al in at.items():
+            if height[n] < 2:  # model moves need a node to skip and one to reach
+                continue
+            events = events or (*tail[size - k :], sym)
+            for to, sync, extra in tree.ahead(n, events, best - cost):
+                if cost + extra < best:
+                    best, nodes = cost + extra, {}
+                if cost + extra == best and to not in nodes:
+                    nodes[to] = (al, _moves(tree, n, to, events, sync)) if keep else None
+    return best, nodes
+
+
+def _grow(tree: Tree, p: Params, case: Case, best: int, nodes: dict, mult: float, last: bool) -> None:
+    grown = [[k + 1, c, d - 1 if last else d, at] for k, c, d, at in case.gens if d >= 2]
     case.size += 1
     case.cost = best
     grown.append([0, best, life(p, tree.avg_len, case.size, mult), nodes])

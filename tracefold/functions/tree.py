@@ -56,8 +56,9 @@ class Tree:
     def _below(self, node: int) -> dict[int, int]:
         return {self.symbol[c]: c for c in self._child[self._offset[node] : self._offset[node + 1]]}
 
-    def rest(self) -> None:
-        """Called between cases: what was only cached is dropped where it is filled, as cases may be long."""
+    def rest(self) -> bool:
+        """Called between cases: what was only cached is dropped where it is filled, as cases may be long.  True if nodes are numbered anew."""
+        return False
 
     def ending(self, node: int) -> tuple[int, ...]:
         """Symbols on the way down to the nearest end, the smallest of equally near ones; ways that were asked for are kept up to ``KEPT_MOVES`` symbols."""
@@ -261,9 +262,11 @@ class TableTree(Tree):
         self._at = {(0, 0, 0): 0}
         self._kids, self._memo, self._endings = {}, {}, {}
 
-    def rest(self) -> None:
-        if len(self._keys) > self.KEEP_NODES or len(self._memo) > MEMO_LIMIT:
+    def rest(self) -> bool:
+        full = len(self._keys) > self.KEEP_NODES or len(self._memo) > MEMO_LIMIT
+        if full:
             self._reset()
+        return full
 
     def _bucket(self, b: int):
         got = self._loaded.pop(b, None)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,40 +132,73 @@ class Model:
 
 
 def check(log: DataFrame, model: Model, params: Params | list[Params] = Params(), alignments: bool = False,
-          ewma_keys: list[str] | None = None, limit: int | None = None) -> DataFrame:
+          ewma_keys: list[str] | None = None, limit: int | None = None, near: list[str] | None = None) -> DataFrame:
     """One row per usable event (``messages.rejected`` has the others): the input columns plus the columns of RESULT.
 
     With several parameter sets all run in the same job; ``setting`` is the index of the set.  ``alignments`` adds the moves
     of the reported alignment, and of the complete one if the case ended there: both as long as the case so far, so only
     for logs of short cases.  The adaptive multiplier
-    follows the whole log in delivery order, or each of ``ewma_keys``.
+    follows the whole log in delivery order, or each of ``ewma_keys``.  Several sets share the work of cases that go alike; cases that may do so
+    have the same values in ``near``.
     """
     many = isinstance(params, list)
     sets = params if many else [params]
     log = usable(log)
     shipped = model.ship(any(p.order == "ngrams" for p in sets))
     plan = FoldPlan.of(log, limit)
-    todo, done = [], []
-    for i, p in enumerate(sets):
-        tagged = log.withColumn("setting", F.lit(i))
-        if not p.adapts:
-            todo.append(tagged.withColumn("multiplier", F.lit(float(p.multiplier))))
-            continue
-        flagged = disorder.first_flags(tagged, p.order, limit).withColumnRenamed("flag", "used")
-        if p.order == "none" and p.min_decay >= 2:  # the flags need no fold
-            todo.append(_multiplier(flagged, p, ewma_keys, limit).drop("used"))
+    if not many and not (params.adapts and _needs_fold(params)):
+        tagged = log.withColumn("setting", F.lit(0))
+        if params.adapts:
+            ready = _multiplier(disorder.first_flags(tagged, params.order, limit).withColumnRenamed("flag", "used"), params, ewma_keys, limit).drop("used")
         else:
-            settled = _settle(flagged, p, sets, model, plan, ewma_keys, limit)
-            if alignments:
-                todo.append(settled.drop("used", *RESULT))
-            else:
-                done.append(settled.drop("used"))
-    if todo:
-        done.append(fold(reduce(DataFrame.unionByName, todo), sets, shipped, plan, alignments))
-    out = reduce(DataFrame.unionByName, done)
+            ready = tagged.withColumn("multiplier", F.lit(float(params.multiplier)))
+        return fold(ready, sets, shipped, plan, alignments).drop("multiplier", "setting")
+    ready = multipliers(log, model, sets, plan, ewma_keys)
+    out = fold_sets(ready, sets, shipped, plan, near) if many and not alignments else fold(_tagged(ready, sets), sets, shipped, plan, alignments)
     return out.drop("multiplier") if many else out.drop("multiplier", "setting")
 
 
+def _needs_fold(p: Params) -> bool:
+    """Whether flags depend on the fold."""
+    return p.order != "none" or p.min_decay < 2
+
+
+def _own(i: int) -> str:
+    return f"_m{i}"
+
+
+def _tagged(ready: DataFrame, sets: list[Params]) -> DataFrame:
+    """The rows of ``multipliers`` once per set, with ``setting`` and ``multiplier``."""
+    columns = [c for c in ready.columns if c not in map(_own, range(len(sets)))]
+    own = lambda i: F.col(_own(i)) if sets[i].adapts else F.lit(float(sets[i].multiplier))
+    return reduce(DataFrame.unionByName, [ready.select(*columns, F.lit(i).alias("setting"), own(i).alias("multiplier")) for i in range(len(sets))])
+
+
+def multipliers(log: DataFrame, model: Model, sets: list[Params], plan: "FoldPlan", keys: list[str] | None) -> DataFrame:
+    """The log with a column ``_m{i}`` for each adaptive set."""
+    adaptive = {i: (p.alpha, p.multiplier, p.order == "none") for i, p in enumerate(sets) if p.adapts}
+    if not adaptive:
+        return log
+    tasks = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan.total // EVENTS_PER_TASK)
+    # without long cases no window needs cuts
+    delivery = disorder.Delivery(log, keys, tasks, plan.limit if plan.hot else max(plan.total, 1))
+    used, open_ = None, [i for i in adaptive if _needs_fold(sets[i])]
+    if open_:
+        tied = _tied_rows(delivery.rows, any(sets[i].min_decay < 2 for i in open_))
+        used = _settle(tied, sets, open_, model, plan, delivery, {i: adaptive[i] for i in open_})
+    found = delivery.averages(adaptive, used)
+    rows = delivery.rows.repartition(tasks, "_block").join(found.repartition(tasks, "_block").hint("shuffle_hash"), "_block")
+    return rows.select(*log.columns, *[F.element_at(_own(i), F.col("_at") + 1).alias(_own(i)) for i in adaptive])
+
+
+def _tied_rows(rows: DataFrame, every: bool) -> DataFrame:
+    """The cases whose flags depend on the fold: those with equal timestamps, or every one."""
+    if every:
+        return rows
+    same = rows.groupBy("case_id", F.unix_millis("event_time").alias("_ms")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return write_through(rows.join(same.select("case_id").distinct(), "case_id", "left_semi"), "tied")
+
+
 def retained(log: DataFrame, model: Model, p: Params = Params(), limit: int | None = None) -> DataFrame:
     """The states that are kept after the last event of each case, one row each: case_id, open_events, the node's identity, base_cost, postfix (the open
     events) and complete_cost of the case.  As many rows as states are in memory; a case is read by one task, whatever its length."""
@@ -173,11 +208,10 @@ def retained(log: DataFrame, model: Model, p: Params = Params(), limit: int | No
     if not p.adapts:
         ready = tagged.withColumn("multiplier", F.lit(float(p.multiplier)))
     else:
-        flagged = disorder.first_flags(tagged, p.order, limit).withColumnRenamed("flag", "used")
-        if p.order == "none" and p.min_decay >= 2:
-            ready = _multiplier(flagged, p, None, limit).drop("used")
+        if _needs_fold(p):
+            ready = _tagged(multipliers(tagged.drop("setting"), model, [p], FoldPlan.of(log, limit), None), [p])
         else:
-            ready = _settle(flagged, p, [p], model, FoldPlan.of(log, limit), None, limit).select(*tagged.columns, "multiplier")
+            ready = _multiplier(disorder.first_flags(tagged, p.order, limit).withColumnRenamed("flag", "used"), p, None, limit).drop("used")
     n = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), log.count() // EVENTS_PER_TASK)
     ranged = ready.repartition(n, "case_id").sortWithinPartitions("case_id", "arrival_seq")
     schema = "case_id string, open_events int, level long, z1 long, z2 long, base_cost int, postfix array<string>, complete_cost int"
@@ -218,31 +252,41 @@ def _multiplier(flagged: DataFrame, p: Params, keys, limit) -> DataFrame:
     return disorder.ewma_multiplier(flagged.withColumn("flag", F.col("used")), p.alpha, p.multiplier, limit, keys).drop("flag")
 
 
-def _lives(p: Params, avg_len: int, multiplier: str) -> Column:
+def _lives(sets: list[Params], avg_len: int, multiplier: str) -> Column:
     """Equal for two multipliers exactly if every state lives equally long with both (``step.life``): no life falls as the multiplier grows, so their sum tells."""
-    if not p.discounted:
-        return F.lit(0)
-    shortest = F.lit(p.min_decay).cast("bigint")
+    shortest = F.element_at(F.lit([p.min_decay if p.discounted else 2**31 - 1 for p in sets]), F.col("setting") + 1).cast("bigint")
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(avg_len, 1))), F.lit(0).cast("bigint"), lambda n, left: n + F.greatest(F.floor(left * F.col(multiplier) + 0.5), shortest))
 
 
-def _settle(flagged: DataFrame, p: Params, sets, model: Model, plan, keys, limit) -> DataFrame:
-    """Results of an adaptive run whose flags depend on the fold.
+def _settle(tied: DataFrame, sets: list[Params], which: list[int], model: Model, plan, delivery: disorder.Delivery, adaptive: dict) -> DataFrame:
+    """Flags of the rows of ``tied`` under the sets of ``which``, whose flags depend on the fold: setting, _block, _at, used.
 
     The flag of a tie depends on the order chosen for it, which depends on the multiplier so far.  The earliest wrong flag
-    of a round is right in the next, so this ends; usually after one or two rounds.  The fold of a case reads its events and the lives that the multipliers
-    give only, so a later round folds the cases in which a life changed and keeps the rows of the others, with their new multipliers.
+    of a round is right in the next, so this ends; usually after one or two rounds.  Other cases have their flags from the start, so only these are folded; the
+    fold of a case reads its events and the lives that the multipliers give only, so a later round folds the cases in which a life changed and keeps the rows of the others,
+    with their new multipliers.
     """
     shipped = model.ship(any(q.order == "ngrams" for q in sets))
-    result = write_through(fold(_multiplier(flagged, p, keys, limit), sets, shipped, plan), "round")
+    plan, place = replace(plan, total=tied.count()), ["setting", "_block", "_at"]
+
+    def averaged(rows: DataFrame) -> DataFrame:
+        found = delivery.averages(adaptive, rows.select(*place, "used"))
+        mine = F.coalesce(*[F.when(F.col("setting") == i, F.element_at(_own(i), F.col("_at") + 1)) for i in which])
+        joined = rows.join(found, "_block").withColumn("multiplier", mine)
+        return joined.drop(*map(_own, which))
+
+    start = reduce(DataFrame.unionByName, [tied.withColumn("setting", F.lit(i)).withColumn("used", delivery.flag(sets[i].order)) for i in which])
+    kept = [c for c in start.columns if c not in ("_code", "_codes")]
+    result = write_through(fold(averaged(start.select(*kept)), sets, shipped, plan), "round")
     while not result.filter("not (flag <=> used)").isEmpty():
         again = result.drop("used").withColumnsRenamed({"flag": "used", "multiplier": "_was"})
-        again = write_through(_multiplier(again, p, keys, limit), "flags")
-        moved = write_through(again.filter(_lives(p, model.avg_len, "multiplier") != _lives(p, model.avg_len, "_was")).select("case_id").distinct(), "moved")
-        kept = again.join(moved, "case_id", "left_anti").withColumn("flag", F.col("used")).select(*result.columns)
-        folded = fold(again.join(moved, "case_id", "left_semi").drop("_was", *RESULT), sets, shipped, plan)
-        result = write_through(kept.unionByName(folded), "round")
-    return result
+        again = write_through(averaged(again), "flags")
+        changed = _lives(sets, model.avg_len, "multiplier") != _lives(sets, model.avg_len, "_was")
+        moved = write_through(again.filter(changed).select("setting", "case_id").distinct(), "moved")
+        same = again.join(moved, ["setting", "case_id"], "left_anti").withColumn("flag", F.col("used")).select(*result.columns)
+        folded = fold(again.join(moved, ["setting", "case_id"], "left_semi").drop("_was", *RESULT), sets, shipped, plan)
+        result = write_through(same.unionByName(folded), "round")
+    return result.select(*place, "used")
 
 
 @dataclass(frozen=True)
@@ -282,6 +326,47 @@ def fold_plain(log: DataFrame, total: int, sets: list[Params], shipped, alignmen
     return ranged.mapInArrow(lambda it: _fold(it, shipped, sets, alignments), schema)
 
 
+def fold_sets(log: DataFrame, sets: list[Params], shipped, plan: FoldPlan, near: list[str] | None = None) -> DataFrame:
+    """The fold of the rows of ``multipliers`` under all sets, which come out as ``setting``; hot cases by themselves."""
+    n = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan.total * len(sets) // EVENTS_PER_TASK)
+    near = near or ["case_id"]
+    rest = log
+    if plan.hot:
+        cases = F.broadcast(log.sparkSession.createDataFrame([(c,) for c, _ in plan.hot], "case_id string"))
+        rest = log.join(cases, "case_id", "left_anti")
+    ranged = rest.repartition(n, *near).sortWithinPartitions(*dict.fromkeys([*near, "case_id", "arrival_seq"]))
+    columns = [c for c in log.columns if c not in map(_own, range(len(sets)))]
+    schema = with_fields(log.select(*columns).schema, f"setting int, {RESULT_DDL}")
+    out = ranged.mapInArrow(lambda it: _fold_sets(it, shipped, sets), schema)
+    if not plan.hot:
+        return out
+    long = _tagged(log.join(cases, "case_id", "left_semi"), sets)
+    hot = [(i, c, n) for i in range(len(sets)) for c, n in plan.hot]
+    return out.unionByName(fold_hot(long, hot, sets, shipped, plan.limit).select(*out.columns))
+
+
+def _fold_sets(batches, shipped, sets: list[Params]):
+    model = tree.local_tree(shipped)
+    number, runs = model.number, step.Runs(model, sets)
+    now, case, n = None, None, len(sets)
+    for batch in batches:
+        out: list = []
+        own = [batch.column(_own(i)).to_pylist() if p.adapts else repeat(float(p.multiplier)) for i, p in enumerate(sets)]
+        cols = (batch.column(c).to_pylist() for c in ("case_id", "activity"))
+        for case_id, activity, ts, mults in zip(*cols, step.millis(batch.column("event_time")), zip(*own)):
+            if case_id != now:
+                now, case = case_id, runs.begin()
+            rows = [None] * n
+            case = runs.observe(case, number.get(activity, activity), ts, mults, rows)
+            out.append(rows)
+        kept = batch.select([c for c in batch.schema.names if c not in map(_own, range(n))])
+        for i, rows in enumerate(zip(*out)):
+            result = kept.append_column("setting", pa.array(np.full(len(rows), i, np.int32)))
+            for name, values in zip(RESULT, zip(*rows)):
+                result = result.append_column(name, pa.array(values, pa.int32()))
+            yield result
+
+
 def _fold(batches, shipped, sets: list[Params], alignments: bool):
     model = tree.local_tree(shipped)
     number = model.number

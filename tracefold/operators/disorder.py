@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.operators.hotkeys import CHUNK, position, running, with_chunks
-from tracefold.session import write_through
+from tracefold.session import with_fields, write_through
 
 # probability in percent -> largest distance of a swap (fixed values)
 SWAP_SETTINGS = {"01": 1, "05": 5, "10": 7, "20": 10, "50": 20, "99": 99}
@@ -62,14 +65,14 @@ def ewma_multiplier(
     return out.select(*log.columns, F.greatest(F.lit(floor), F.when(F.col("_j") == 0, F.col("_start")).otherwise(value)).alias("multiplier"))
 
 
-def _starts(maps: DataFrame, keys: list[str], floor: float, fan: int) -> DataFrame:
+def _starts(maps: DataFrame, keys: list[str], floor: float | Column, fan: int) -> DataFrame:
     """The value before each block, from the maps (a, b, c) of the blocks: arrays of at most ``fan`` maps, composed to one map each, and so on upwards."""
     maps = write_through(maps, "maps")
     blocks = (maps.agg(F.max("_block")).first()[0] or 0) + 1
     group = F.floor(F.col("_block") / fan).cast("bigint").alias("_group")
     some = maps.groupBy(*keys, group).agg(F.sort_array(F.collect_list(F.struct("_block", "a", "b", "c"))).alias("_maps"))
     if blocks <= fan:
-        some = some.withColumn("_first", F.lit(float(floor)))
+        some = some.withColumn("_first", floor if isinstance(floor, Column) else F.lit(float(floor)))
     else:
         whole = f"aggregate(_maps, named_struct('a', {NONE}D, 'b', 0D, 'c', 1D), (s, t) -> named_struct('a', greatest(t.a, t.b + t.c * s.a), 'b', t.b + t.c * s.b, 'c', t.c * s.c))"
         above = some.select(*keys, F.col("_group").alias("_block"), F.expr(whole).alias("w")).select(*keys, "_block", "w.*")
@@ -80,6 +83,151 @@ def _starts(maps: DataFrame, keys: list[str], floor: float, fan: int) -> DataFra
     return some.select(*keys, F.expr(f"inline({scan})"))
 
 
+CODE_IN_ORDER, CODE_LATE, CODE_FIRST, CODE_TIE = range(4)
+
+
+class Delivery:
+    """A log in the order in which it was delivered (or each of ``keys``), for the multipliers of several settings.
+
+    The log is dealt by ranges of ``arrival_seq`` and cut into blocks of at most ``BLOCK`` rows: ``rows`` has the block and the place in it beside each row,
+    ``blocks`` a row per block with a code per row that tells its flag as far as no fold is needed.
+    """
+
+    def __init__(self, log: DataFrame, keys: list[str] | None, tasks: int, limit: int | None = None):
+        self.keys, self.tasks = keys or [], tasks
+        flags = late_flags(log, limit)
+        code = F.when(F.col("seen_ms").isNull(), CODE_FIRST).when(F.col("late"), CODE_LATE).when(F.col("late_or_tied"), CODE_TIE).otherwise(CODE_IN_ORDER)
+        coded = flags.withColumn("_code", code.cast("int")).drop("seen_ms", "late", "late_or_tied")
+        order, keys, block = [*self.keys, "arrival_seq"], self.keys, BLOCK
+        ranged = coded.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+        schema = with_fields(coded.schema, "_task long, _n long, _at int, _codes binary")
+        rows = write_through(ranged.mapInArrow(lambda it: _cut(it, keys, block), schema), "delivered")
+        most = (rows.agg(F.max("_n")).first()[0] or 0) + 1
+        self.columns = log.columns
+        self.rows = rows.withColumn("_block", F.col("_task") * most + F.col("_n")).drop("_task", "_n")
+        self.blocks = self.rows.filter("_codes IS NOT NULL").select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_block", "_codes")
+
+    def flag(self, order: str) -> Column:
+        """The flag of ``rows`` as ``first_flags`` has it."""
+        code = F.col("_code")
+        return F.when(code == CODE_LATE, 1).when(code == CODE_IN_ORDER, 0).when((code == CODE_TIE) & F.lit(order == "none"), 0)
+
+    def averages(self, sets: dict[int, tuple], used: DataFrame | None = None, fan: int = FAN) -> DataFrame:
+        """Per block an array ``_m{setting}`` with the multiplier after each of its rows.  ``sets``: by setting (alpha, floor, whether ties count as in order);
+        ``used`` has other flags than those of the codes: setting, _block, _at, used."""
+        names = [c for c in self.blocks.columns if c.startswith("_key")]
+        kind = "array<struct<setting:int,_at:int,used:int>>"
+        if used is None:
+            blocks = self.blocks.withColumn("_used", F.lit(None).cast(kind))
+        else:
+            known = used.groupBy("_block").agg(F.collect_list(F.struct(F.col("setting").cast("int").alias("setting"), "_at", "used")).cast(kind).alias("_used"))
+            blocks = self.blocks.join(known, "_block", "left")
+        schema = with_fields(blocks.select(*names, "_block").schema, "setting int, a double, b double, c double")
+        maps = blocks.mapInArrow(lambda it: _maps(it, names, sets), schema)
+        floor = F.element_at(F.lit([float(sets[i][1]) if i in sets else 0.0 for i in range(max(sets) + 1)]), F.col("setting") + 1)
+        starts = _starts(maps, ["setting", *names], floor, fan)
+        starts = starts.groupBy("_block").agg(F.collect_list(F.struct("setting", "_start")).alias("_starts"))
+        ready = blocks.join(starts, "_block").select("_block", "_codes", "_used", "_starts")
+        return ready.mapInArrow(lambda it: _values(it, sets), "_block long, " + ", ".join(f"_m{i} array<double>" for i in sets))
+
+
+def _cut(batches, keys: list[str], block: int):
+    """Rows with task, block and place; the last row of a block has the codes of the whole block."""
+    task, n, held = TaskContext.get().partitionId(), 0, None
+
+    def placed(rows, number, at, codes):
+        new = {"_task": np.full(len(rows), task), "_n": number, "_at": at.astype(np.int32)}
+        for name, values in new.items():
+            rows = rows.append_column(name, pa.array(values))
+        return rows.append_column("_codes", pa.array(codes, pa.binary()))
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        if not len(rows):
+            continue
+        ends = [len(rows)]
+        if keys:  # where another key begins
+            new = np.zeros(len(rows), bool)
+            for k in keys:
+                at = rows[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= at[1:] != at[:-1]
+            ends = [*np.flatnonzero(new).tolist(), len(rows)]
+        cuts, begin = [0], 0
+        for end in ends:
+            cuts += [*range(begin + block, end, block), end]
+            begin = end
+        held = rows.slice(cuts[-2]).combine_chunks().to_batches()[0]  # may go on in the next batch
+        done, cuts = rows.slice(0, cuts[-2]), cuts[:-1]
+        if len(done):
+            yield from placed(done, *_numbered(done, cuts, n)).combine_chunks().to_batches()
+            n += len(cuts) - 1
+    if held is not None:
+        done = pa.Table.from_batches([held])
+        yield from placed(done, *_numbered(done, [0, len(done)], n)).combine_chunks().to_batches()
+
+
+def _numbered(rows, cuts: list[int], n: int):
+    codes = np.asarray(rows["_code"]).astype(np.uint8)
+    sizes = np.diff(cuts)
+    whole = [None] * len(codes)
+    for a, b in zip(cuts, cuts[1:]):
+        whole[b - 1] = codes[a:b].tobytes()
+    return np.repeat(np.arange(n, n + len(sizes)), sizes), np.arange(len(codes)) - np.repeat(cuts[:-1], sizes), whole
+
+
+def _flags(batch, sets: dict[int, tuple], many: int = 256):
+    """Some blocks at a time, per setting: (index of the first, setting, flags in a row per block); a flag of nan changes nothing."""
+    codes, used = batch.column("_codes").to_pylist(), batch.column("_used").to_pylist()
+    for first in range(0, len(codes), many):
+        some = codes[first : first + many]
+        grid = np.full((len(some), max(map(len, some))), CODE_FIRST, np.uint8)
+        for i, c in enumerate(some):
+            grid[i, : len(c)] = np.frombuffer(c, np.uint8)
+        for setting, (_, _, ties) in sets.items():
+            flags = np.array([0.0, 1.0, np.nan, 0.0 if ties else np.nan])[grid]
+            for i, known in enumerate(used[first : first + many]):
+                for u in known or ():
+                    if u["setting"] == setting:
+                        flags[i, u["_at"]] = np.nan if u["used"] is None else u["used"]
+            yield first, setting, flags, [len(c) for c in some]
+
+
+def _maps(batches, names: list[str], sets: dict[int, tuple]):
+    """The map of each block, m -> max(a, b + c * m)."""
+    for batch in batches:
+        for first, setting, flags, sizes in _flags(batch, sets):
+            alpha, floor, _ = sets[setting]
+            a, b, c = np.full(len(sizes), NONE), np.zeros(len(sizes)), np.ones(len(sizes))
+            for flag in flags.T:
+                on, f = ~np.isnan(flag), alpha * flag
+                a = np.where(on, np.maximum(floor, f + (1 - alpha) * a), a)
+                b, c = np.where(on, f + (1 - alpha) * b, b), np.where(on, (1 - alpha) * c, c)
+            rows = batch.select([*names, "_block"]).slice(first, len(sizes))
+            rows = rows.append_column("setting", pa.array(np.full(len(sizes), setting, np.int32)))
+            for name, values in (("a", a), ("b", b), ("c", c)):
+                rows = rows.append_column(name, pa.array(values))
+            yield rows
+
+
+def _values(batches, sets: dict[int, tuple]):
+    """The multipliers themselves, from the value before each block."""
+    for batch in batches:
+        starts = [{s["setting"]: s["_start"] for s in row} for row in batch.column("_starts").to_pylist()]
+        columns: list = []
+        for first, setting, flags, sizes in _flags(batch, sets):
+            alpha, floor, _ = sets[setting]
+            m = np.array([s[setting] for s in starts[first : first + len(sizes)]])
+            out = np.empty_like(flags)
+            for j, flag in enumerate(flags.T):
+                m = np.where(np.isnan(flag), m, np.maximum(floor, alpha * flag + (1 - alpha) * m))
+                out[:, j] = m
+            inside = np.arange(out.shape[1]) < np.array(sizes)[:, None]
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(out[inside])))
+            if len(columns) == len(sets):
+                yield pa.RecordBatch.from_arrays([batch.column("_block").slice(first, len(sizes)), *columns], names=["_block", *[f"_m{i}" for i in sets]])
+                columns = []
+
+
 def _beside(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with the columns of the one row of ``more`` that has their keys; null keys are keys too."""
     more = more.withColumnsRenamed({k: f"_is_{k}" for k in keys})

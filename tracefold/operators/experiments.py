@@ -11,6 +11,7 @@ from tracefold.functions.labels import last_segment, run_columns
 from tracefold.operators.conformance import Model, check
 from tracefold.operators.hotkeys import position
 from tracefold.params import Params
+from tracefold.session import write_through
 
 # fixed values: the parameter grids of the published experiments
 ALGORITHMS = {
@@ -39,18 +40,19 @@ def param_grid(spark: SparkSession, datasets: DataFrame, kind: str = "orig") ->
     return datasets.crossJoin(F.broadcast(grid))  # at most 315 settings
 
 
-def run_grid(logs: dict[str, DataFrame], model: Model, algorithms: dict[str, Params], dataset: str) -> DataFrame:
-    """Every log (swap setting -> log) under every algorithm in one job: one row per event and run.
+def run_grid(logs: dict[str, DataFrame] | DataFrame, model: Model, algorithms: dict[str, Params], dataset: str) -> DataFrame:
+    """Every log (swap setting -> log, or one log with the setting in ``swap``) under every algorithm in one job: one row per event and run.
 
-    The logs are one log whose cases carry the setting in their names, so late flags, multipliers and rounds are taken once per algorithm; the
-    adaptive multiplier follows each setting by itself.
+    The logs are one log whose cases carry the setting in their names, so late flags, multipliers and rounds are taken once; the
+    adaptive multiplier follows each setting by itself.  A case lies beside itself in the other settings, whose runs share what they have in common.
     """
-    tagged = [log.withColumn("swap", F.lit(swap)) for swap, log in logs.items()]
-    whole = reduce(DataFrame.unionByName, tagged).withColumn("case_id", F.concat_ws("|", "swap", "case_id"))
+    if isinstance(logs, dict):
+        logs = reduce(DataFrame.unionByName, [log.withColumn("swap", F.lit(swap)) for swap, log in logs.items()])
+    whole = logs.withColumn("_case", F.col("case_id")).withColumn("case_id", F.concat_ws("|", "swap", "case_id"))
     names = list(algorithms)
-    out = check(whole, model, [algorithms[n] for n in names], ewma_keys=["swap"])
+    out = check(write_through(whole, "whole"), model, [algorithms[n] for n in names], ewma_keys=["swap"], near=["_case"])
     label = F.element_at(F.lit(names), F.col("setting") + 1)
-    return out.withColumn("algo", label).withColumn("dataset", F.lit(dataset)).drop("setting")
+    return out.withColumn("algo", label).withColumn("dataset", F.lit(dataset)).drop("setting", "_case")
 
 
 def write_results(rows: DataFrame, path: str) -> None:

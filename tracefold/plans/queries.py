@@ -629,8 +629,8 @@ def experiment_orders(spark, sf_dir):
     """
     model = _model(spark, sf_dir, "orders")
     log = write_through(orders_log(spark, sf_dir), "log")
-    swapped = write_through(disorder.inject_disorder(log), "swapped")
-    logs = {"00": log} | {s: swapped.filter(F.col("setting") == s).drop("setting") for s in experiments.SWAPS if s != "00"}
+    swapped = disorder.inject_disorder(log).withColumnRenamed("setting", "swap")
+    logs = log.withColumn("swap", F.lit("00")).unionByName(swapped.filter(F.col("swap").isin(experiments.SWAPS)))
     runs = experiments.run_grid(logs, model, experiments.ALGORITHMS, "orders")
     rows = runs.select("*", F.concat_ws("__", "dataset", "algo", "swap").alias("filename"), F.lit(0).cast("bigint").alias("time_ms"))
     cases = experiments.per_case(rows, SETTINGS, "arrival_seq")
