@@ -30,6 +30,7 @@ MAX_LABELS = 1_000_000
 BUCKET_NODES = 50_000
 CACHE_ROWS = 50_000_000  # larger model logs are read again instead of being kept
 EVENTS_PER_TASK = 250_000
+PLACE = ["_block", "_at"]
 MOVES = "array<struct<log:string,model:string,cost:int>>"
 
 
@@ -155,7 +156,7 @@ def check(log: DataFrame, model: Model, params: Params | list[Params] = Params()
         return fold(ready, sets, shipped, plan, alignments).drop("multiplier", "setting")
     ready = multipliers(log, model, sets, plan, ewma_keys)
     out = fold_sets(ready, sets, shipped, plan, near) if many and not alignments else fold(_tagged(ready, sets), sets, shipped, plan, alignments)
-    return out.drop("multiplier") if many else out.drop("multiplier", "setting")
+    return out.drop("multiplier", *PLACE) if many else out.drop("multiplier", "setting", *PLACE)
 
 
 def _needs_fold(p: Params) -> bool:
@@ -175,7 +176,7 @@ def _tagged(ready: DataFrame, sets: list[Params]) -> DataFrame:
 
 
 def multipliers(log: DataFrame, model: Model, sets: list[Params], plan: "FoldPlan", keys: list[str] | None) -> DataFrame:
-    """The log with a column ``_m{i}`` for each adaptive set."""
+    """The log with a column ``_m{i}`` for each adaptive set, and the place of each row in the delivery order."""
     adaptive = {i: (p.alpha, p.multiplier, p.order == "none") for i, p in enumerate(sets) if p.adapts}
     if not adaptive:
         return log
@@ -188,7 +189,7 @@ def multipliers(log: DataFrame, model: Model, sets: list[Params], plan: "FoldPla
         used = _settle(tied, sets, open_, model, plan, delivery, {i: adaptive[i] for i in open_})
     found = delivery.averages(adaptive, used)
     rows = delivery.rows.repartition(tasks, "_block").join(found.repartition(tasks, "_block").hint("shuffle_hash"), "_block")
-    return rows.select(*log.columns, *[F.element_at(_own(i), F.col("_at") + 1).alias(_own(i)) for i in adaptive])
+    return rows.select(*log.columns, *PLACE, *[F.element_at(_own(i), F.col("_at") + 1).alias(_own(i)) for i in adaptive])
 
 
 def _tied_rows(rows: DataFrame, every: bool) -> DataFrame:
@@ -209,7 +210,7 @@ def retained(log: DataFrame, model: Model, p: Params = Params(), limit: int | No
         ready = tagged.withColumn("multiplier", F.lit(float(p.multiplier)))
     else:
         if _needs_fold(p):
-            ready = _tagged(multipliers(tagged.drop("setting"), model, [p], FoldPlan.of(log, limit), None), [p])
+            ready = _tagged(multipliers(tagged.drop("setting"), model, [p], FoldPlan.of(log, limit), None), [p]).drop(*PLACE)
         else:
             ready = _multiplier(disorder.first_flags(tagged, p.order, limit).withColumnRenamed("flag", "used"), p, None, limit).drop("used")
     n = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), log.count() // EVENTS_PER_TASK)
@@ -267,7 +268,7 @@ def _settle(tied: DataFrame, sets: list[Params], which: list[int], model: Model,
     with their new multipliers.
     """
     shipped = model.ship(any(q.order == "ngrams" for q in sets))
-    plan, place = replace(plan, total=tied.count()), ["setting", "_block", "_at"]
+    plan, place = replace(plan, total=tied.count()), ["setting", *PLACE]
 
     def averaged(rows: DataFrame) -> DataFrame:
         found = delivery.averages(adaptive, rows.select(*place, "used"))
@@ -319,9 +320,14 @@ def fold(log: DataFrame, sets: list[Params], shipped, plan: FoldPlan, alignments
     return rest.unionByName(fold_hot(long, hot, sets, shipped, plan.limit)) if hot else rest
 
 
+def _in_delivery(log: DataFrame) -> list[str]:
+    """Columns that order the events of a case; rows that come twice stay in the order that their multipliers were taken in."""
+    return ["arrival_seq", *[c for c in PLACE if c in log.columns]]
+
+
 def fold_plain(log: DataFrame, total: int, sets: list[Params], shipped, alignments: bool = False) -> DataFrame:
     n = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // EVENTS_PER_TASK)
-    ranged = log.repartition(n, "setting", "case_id").sortWithinPartitions("setting", "case_id", "arrival_seq")
+    ranged = log.repartition(n, "setting", "case_id").sortWithinPartitions("setting", "case_id", *_in_delivery(log))
     schema = with_fields(log.schema, RESULT_DDL + (f", alignment {MOVES}, complete_alignment {MOVES}" if alignments else ""))
     return ranged.mapInArrow(lambda it: _fold(it, shipped, sets, alignments), schema)
 
@@ -334,7 +340,7 @@ def fold_sets(log: DataFrame, sets: list[Params], shipped, plan: FoldPlan, near:
     if plan.hot:
         cases = F.broadcast(log.sparkSession.createDataFrame([(c,) for c, _ in plan.hot], "case_id string"))
         rest = log.join(cases, "case_id", "left_anti")
-    ranged = rest.repartition(n, *near).sortWithinPartitions(*dict.fromkeys([*near, "case_id", "arrival_seq"]))
+    ranged = rest.repartition(n, *near).sortWithinPartitions(*dict.fromkeys([*near, "case_id", *_in_delivery(log)]))
     columns = [c for c in log.columns if c not in map(_own, range(len(sets)))]
     schema = with_fields(log.select(*columns).schema, f"setting int, {RESULT_DDL}")
     out = ranged.mapInArrow(lambda it: _fold_sets(it, shipped, sets), schema)
