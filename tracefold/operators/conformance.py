@@ -147,16 +147,23 @@ def check(log: DataFrame, model: Model, params: Params | list[Params] = Params()
     log = usable(log)
     shipped = model.ship(any(p.order == "ngrams" for p in sets))
     plan = FoldPlan.of(log, limit)
-    if not many and not (params.adapts and _needs_fold(params)):
-        tagged = log.withColumn("setting", F.lit(0))
-        if params.adapts:
-            ready = _multiplier(disorder.first_flags(tagged, params.order, limit).withColumnRenamed("flag", "used"), params, ewma_keys, limit).drop("used")
+    if many:
+        ready = multipliers(log, model, sets, plan, ewma_keys)
+        out = fold(_tagged(ready, sets), sets, shipped, plan, True) if alignments else fold_sets(ready, sets, shipped, plan, near)
+        return out.drop("multiplier", *PLACE)
+    tagged, p = log.withColumn("setting", F.lit(0)), params
+    if not p.adapts:
+        ready = tagged.withColumn("multiplier", F.lit(float(p.multiplier)))
+    else:
+        flagged = disorder.first_flags(tagged, p.order, limit).withColumnRenamed("flag", "used")
+        if _needs_fold(p):
+            settled = _settle(flagged, p, sets, model, plan, ewma_keys, limit).drop("used")
+            if not alignments:
+                return settled.drop("multiplier", "setting")
+            ready = settled.drop(*RESULT)
         else:
-            ready = tagged.withColumn("multiplier", F.lit(float(params.multiplier)))
-        return fold(ready, sets, shipped, plan, alignments).drop("multiplier", "setting")
-    ready = multipliers(log, model, sets, plan, ewma_keys)
-    out = fold_sets(ready, sets, shipped, plan, near) if many and not alignments else fold(_tagged(ready, sets), sets, shipped, plan, alignments)
-    return out.drop("multiplier", *PLACE) if many else out.drop("multiplier", "setting", *PLACE)
+            ready = _multiplier(flagged, p, ewma_keys, limit).drop("used")
+    return fold(ready, sets, shipped, plan, alignments).drop("multiplier", "setting")
 
 
 def _needs_fold(p: Params) -> bool:
@@ -186,7 +193,7 @@ def multipliers(log: DataFrame, model: Model, sets: list[Params], plan: "FoldPla
     used, open_ = None, [i for i in adaptive if _needs_fold(sets[i])]
     if open_:
         tied = _tied_rows(delivery.rows, any(sets[i].min_decay < 2 for i in open_))
-        used = _settle(tied, sets, open_, model, plan, delivery, {i: adaptive[i] for i in open_})
+        used = _settle_ties(tied, sets, open_, model, plan, delivery, {i: adaptive[i] for i in open_})
     found = delivery.averages(adaptive, used)
     rows = delivery.rows.repartition(tasks, "_block").join(found.repartition(tasks, "_block").hint("shuffle_hash"), "_block")
     return rows.select(*log.columns, *PLACE, *[F.element_at(_own(i), F.col("_at") + 1).alias(_own(i)) for i in adaptive])
@@ -209,10 +216,11 @@ def retained(log: DataFrame, model: Model, p: Params = Params(), limit: int | No
     if not p.adapts:
         ready = tagged.withColumn("multiplier", F.lit(float(p.multiplier)))
     else:
-        if _needs_fold(p):
-            ready = _tagged(multipliers(tagged.drop("setting"), model, [p], FoldPlan.of(log, limit), None), [p]).drop(*PLACE)
+        flagged = disorder.first_flags(tagged, p.order, limit).withColumnRenamed("flag", "used")
+        if not _needs_fold(p):
+            ready = _multiplier(flagged, p, None, limit).drop("used")
         else:
-            ready = _multiplier(disorder.first_flags(tagged, p.order, limit).withColumnRenamed("flag", "used"), p, None, limit).drop("used")
+            ready = _settle(flagged, p, [p], model, FoldPlan.of(log, limit), None, limit).select(*tagged.columns, "multiplier")
     n = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), log.count() // EVENTS_PER_TASK)
     ranged = ready.repartition(n, "case_id").sortWithinPartitions("case_id", "arrival_seq")
     schema = "case_id string, open_events int, level long, z1 long, z2 long, base_cost int, postfix array<string>, complete_cost int"
@@ -253,19 +261,37 @@ def _multiplier(flagged: DataFrame, p: Params, keys, limit) -> DataFrame:
     return disorder.ewma_multiplier(flagged.withColumn("flag", F.col("used")), p.alpha, p.multiplier, limit, keys).drop("flag")
 
 
-def _lives(sets: list[Params], avg_len: int, multiplier: str) -> Column:
+def _lives(p: Params, avg_len: int, multiplier: str) -> Column:
     """Equal for two multipliers exactly if every state lives equally long with both (``step.life``): no life falls as the multiplier grows, so their sum tells."""
-    shortest = F.element_at(F.lit([p.min_decay if p.discounted else 2**31 - 1 for p in sets]), F.col("setting") + 1).cast("bigint")
+    if not p.discounted:
+        return F.lit(0)
+    shortest = F.lit(p.min_decay).cast("bigint")
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(avg_len, 1))), F.lit(0).cast("bigint"), lambda n, left: n + F.greatest(F.floor(left * F.col(multiplier) + 0.5), shortest))
 
 
-def _settle(tied: DataFrame, sets: list[Params], which: list[int], model: Model, plan, delivery: disorder.Delivery, adaptive: dict) -> DataFrame:
-    """Flags of the rows of ``tied`` under the sets of ``which``, whose flags depend on the fold: setting, _block, _at, used.
+def _settle(flagged: DataFrame, p: Params, sets, model: Model, plan, keys, limit) -> DataFrame:
+    """Results of an adaptive run whose flags depend on the fold.
 
     The flag of a tie depends on the order chosen for it, which depends on the multiplier so far.  The earliest wrong flag
-    of a round is right in the next, so this ends; usually after one or two rounds.  Other cases have their flags from the start, so only these are folded; the
-    fold of a case reads its events and the lives that the multipliers give only, so a later round folds the cases in which a life changed and keeps the rows of the others,
-    with their new multipliers.
+    of a round is right in the next, so this ends; usually after one or two rounds.  The fold of a case reads its events and the lives that the multipliers
+    give only, so a later round folds the cases in which a life changed and keeps the rows of the others, with their new multipliers.
+    """
+    shipped = model.ship(any(q.order == "ngrams" for q in sets))
+    result = write_through(fold(_multiplier(flagged, p, keys, limit), sets, shipped, plan), "round")
+    while not result.filter("not (flag <=> used)").isEmpty():
+        again = result.drop("used").withColumnsRenamed({"flag": "used", "multiplier": "_was"})
+        again = write_through(_multiplier(again, p, keys, limit), "flags")
+        moved = write_through(again.filter(_lives(p, model.avg_len, "multiplier") != _lives(p, model.avg_len, "_was")).select("case_id").distinct(), "moved")
+        kept = again.join(moved, "case_id", "left_anti").withColumn("flag", F.col("used")).select(*result.columns)
+        folded = fold(again.join(moved, "case_id", "left_semi").drop("_was", *RESULT), sets, shipped, plan)
+        result = write_through(kept.unionByName(folded), "round")
+    return result
+
+
+def _settle_ties(tied: DataFrame, sets: list[Params], which: list[int], model: Model, plan, delivery: disorder.Delivery, adaptive: dict) -> DataFrame:
+    """Flags of the rows of ``tied`` under the sets of ``which``, whose flags depend on the fold: setting, _block, _at, used.
+
+    As in ``_settle``; other cases have their flags from the start, so only these are folded.
     """
     shipped = model.ship(any(q.order == "ngrams" for q in sets))
     plan, place = replace(plan, total=tied.count()), ["setting", *PLACE]
@@ -282,7 +308,8 @@ def _settle(tied: DataFrame, sets: list[Params], which: list[int], model: Model,
     while not result.filter("not (flag <=> used)").isEmpty():
         again = result.drop("used").withColumnsRenamed({"flag": "used", "multiplier": "_was"})
         again = write_through(averaged(again), "flags")
-        changed = _lives(sets, model.avg_len, "multiplier") != _lives(sets, model.avg_len, "_was")
+        lives = lambda m: F.coalesce(*[F.when(F.col("setting") == i, _lives(sets[i], model.avg_len, m)) for i in which])
+        changed = lives("multiplier") != lives("_was")
         moved = write_through(again.filter(changed).select("setting", "case_id").distinct(), "moved")
         same = again.join(moved, ["setting", "case_id"], "left_anti").withColumn("flag", F.col("used")).select(*result.columns)
         folded = fold(again.join(moved, ["setting", "case_id"], "left_semi").drop("_was", *RESULT), sets, shipped, plan)
@@ -317,7 +344,13 @@ def fold(log: DataFrame, sets: list[Params], shipped, plan: FoldPlan, alignments
     long = log.join(cases, "case_id", "left_semi")
     # those in this log, which need not have every set and every case; at most MAX_HOT_CASES per set
     hot = [(r["setting"], r["case_id"], r["n"]) for r in long.groupBy("setting", "case_id").agg(F.count(F.lit(1)).alias("n")).collect()]
-    return rest.unionByName(fold_hot(long, hot, sets, shipped, plan.limit)) if hot else rest
+    return rest.unionByName(_fold_hot(long, hot, sets, shipped, plan.limit)) if hot else rest
+
+
+def _fold_hot(long: DataFrame, hot: list, sets: list[Params], shipped, limit: int) -> DataFrame:
+    """``fold_hot``, whose blocks are others than those of the delivery."""
+    out = fold_hot(long.withColumnsRenamed({c: f"{c}_delivered" for c in PLACE}), hot, sets, shipped, limit)
+    return out.withColumnsRenamed({f"{c}_delivered": c for c in PLACE})
 
 
 def _in_delivery(log: DataFrame) -> list[str]:
@@ -348,7 +381,7 @@ def fold_sets(log: DataFrame, sets: list[Params], shipped, plan: FoldPlan, near:
         return out
     long = _tagged(log.join(cases, "case_id", "left_semi"), sets)
     hot = [(i, c, n) for i in range(len(sets)) for c, n in plan.hot]
-    return out.unionByName(fold_hot(long, hot, sets, shipped, plan.limit).select(*out.columns))
+    return out.unionByName(_fold_hot(long, hot, sets, shipped, plan.limit).select(*out.columns))
 
 
 def _fold_sets(batches, shipped, sets: list[Params]):
